@@ -11,7 +11,7 @@ several documents are dropped, but for their first line.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -29,7 +29,10 @@ MAP_BITS, ROW_BITS = 1 << 22, 1 << 15
 
 def masked(line: Column) -> Column:
     """The line's tokens with ``<*>`` for those with a digit, joined by single spaces; empty if it has none."""
-    plain = F.trim(F.regexp_replace(line, r"[\x09-\x0D ]+", " "))
+    odd = F.contains(line, F.lit("  "))
+    for mark in "\t\v\f\r":
+        odd = odd | F.contains(line, F.lit(mark))
+    plain = F.trim(F.when(odd, F.regexp_replace(line, r"[\x09-\x0D ]+", " ")).otherwise(line))
     return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(plain)
 
 
@@ -65,7 +68,8 @@ def _generalised(docs: DataFrame, occurrences: DataFrame) -> DataFrame:
     byte = F.conv(F.hex(F.substring("__map", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     lines = _lines(docs).filter(F.col("n") > DEPTH).withColumn("__row", row).join(F.broadcast(marks), "__row")
     lines = lines.filter(F.floor(byte / F.pow(F.lit(2), bit % 8)) % 2 == 1)
-    lines = lines.select("leaf", "line").join(leaves, "leaf", "left_semi").groupBy("leaf", "line").agg(F.lit(1).alias("one"))
+    # An inner join: a semi join would be moved before the map's, and shuffle every line.
+    lines = lines.select("leaf", "line").join(leaves, "leaf").distinct()
     lines = materialize(lines.select("leaf", "line", F.xxhash64("line").alias("lh")), "candidates")
     tokens = lines.select("leaf", "lh", F.posexplode(F.slice(F.split("line", " "), DEPTH + 1, 1 << 30)).alias("pos", "token"))
     shared = tokens.groupBy("leaf", "pos", "token").agg(F.count("*").alias("n")).filter("n > 1").select("leaf", "pos", "token", F.lit(True).alias("constant"))
@@ -88,11 +92,15 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     occurrences = materialize(occurrences, "lines")
     keyed = occurrences.filter("plain").join(_generalised(docs, occurrences), "lh", "left")
     keyed = keyed.select("doc_id", "th", "line_no", F.coalesce("template", "lh").alias("key"))
-    by_doc = keyed.groupBy("key", "doc_id").agg(F.min(F.struct("th", "line_no")).alias("at"))
-    first = F.min(F.struct("doc_id", "at.th", "at.line_no")).alias("first")
-    recurring = by_doc.groupBy("key").agg(F.count("*").alias("docs"), first).filter(F.col("docs") >= min_docs)
-    here = F.struct("doc_id", "th", "line_no")
-    gone = keyed.join(recurring.select("key", "first"), "key").filter(here != F.col("first"))
+    docs_of = keyed.groupBy("key")
+    if min_docs <= 2:
+        recurring = docs_of.agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first <> last or %d < 2" % min_docs)
+    else:
+        recurring = keyed.select("key", "doc_id").distinct().groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("docs")).filter(F.col("docs") >= min_docs)
+    found = keyed.join(recurring.select("key", "first"), "key")
+    order = Window.partitionBy("key").orderBy("th", "line_no")
+    again = found.filter("doc_id = first").withColumn("r", F.row_number().over(order)).filter("r > 1")
+    gone = found.filter("doc_id <> first").select("doc_id", "th", "line_no").unionByName(again.select("doc_id", "th", "line_no"))
     return gone.groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("lines"))
 
 
