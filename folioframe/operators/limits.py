@@ -101,8 +101,8 @@ def gap_counters(requests: DataFrame) -> DataFrame:
 
 
 def daily_quota(requests: DataFrame) -> DataFrame:
-    """(user_id, day, n, bytes) used on each date."""
-    return requests.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.sum("data_size").alias("bytes"))
+    """(user_id, day, n, bytes) used on each date, as yyyy-MM-dd."""
+    return requests.groupBy("user_id", F.to_date("ts").cast("string").alias("day")).agg(F.count("*").alias("n"), F.sum("data_size").alias("bytes"))
 
 
 def cumulative_histogram(rows: DataFrame, key: str, value: str, bounds: tuple[float, ...]) -> DataFrame:

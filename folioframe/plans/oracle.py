@@ -331,7 +331,7 @@ gaps as (select *, ts - lag(ts) over (partition by user_id order by ts, event_id
 runs as (select *, sum(case when gap >= interval 1 minute then 1 else 0 end) over w as m, sum(case when gap >= interval 1 hour then 1 else 0 end) over w as hr
   from gaps window w as (partition by user_id order by ts, event_id))""",
 )
-SQL["quota_daily"] = on("f_requests", "select user_id, ts::date as day, count(*) as n, sum(data_size)::bigint as bytes from f_requests group by all")
+SQL["quota_daily"] = on("f_requests", "select user_id, ts::date::varchar as day, count(*) as n, sum(data_size)::bigint as bytes from f_requests group by all")
 SQL["request_histogram"] = on("f_requests", "select event_type, le, count(*) filter (le is null or data_size <= le) as n from f_requests cross join (select unnest([1024.0, 10240.0, 102400.0, null])::double as le) where data_size is not null group by all")
 SQL["memory_average"] = on(
     "f_requests",
@@ -376,11 +376,11 @@ res as (
     case when ord % 5 = 0 then '  ' else ' line ' || ord || case when ord % 3 = 0 then ', "quoted" ' else '' end end as text, (region_id % 8) / 8.0::double as rec_conf
   from numbered)"""
 _FIELD = """case when regexp_matches(text, '[",\\r\\n]') then '"' || replace(text, '"', '""') || '"' else text end"""
-SQL["csv_rows"] = on("f_regions", f"select image_id, ord, concat_ws(',', x, y, w, h, printf('%.3f', det_conf), {_FIELD}, printf('%.3f', rec_conf)) as line from res", RESULTS)
+SQL["csv_rows"] = on("f_regions", f"select image_id, ord, concat_ws(',', x, y, w, h, printf('%.3f', round(det_conf::decimal(12, 6), 3)), {_FIELD}, printf('%.3f', round(rec_conf::decimal(12, 6), 3))) as line from res", RESULTS)
 SQL["batch_csv_rows"] = on(
     "f_regions",
     f"""select 'img,' || image_id || '.png' as file, ord - 1 as region_index,
-      concat_ws(',', '"img,' || image_id || '.png"', ord - 1, {_FIELD}, printf('%.3f', rec_conf), printf('%.3f', det_conf), x, y, w, h, 'en') as line from res
+      concat_ws(',', '"img,' || image_id || '.png"', ord - 1, {_FIELD}, printf('%.3f', round(rec_conf::decimal(12, 6), 3)), printf('%.3f', round(det_conf::decimal(12, 6), 3)), x, y, w, h, 'en') as line from res
     union all select 'img,-1.png', 0, '"img,-1.png",0,,0.000,0.000,0,0,0,0,'""",
     RESULTS,
 )

@@ -114,7 +114,7 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _table(spark, sf_dir, "events")
-    return events.select("event_id", (F.col("user_id") % 5).alias("user_id"), "ts", F.round(F.col("value") * 100).cast("long").alias("data_size"), "event_type")
+    return events.select("event_id", (F.col("user_id") % 5).alias("user_id"), F.col("ts").cast("timestamp").alias("ts"), F.round(F.col("value") * 100).cast("long").alias("data_size"), "event_type")
 
 
 def dictionary(spark: SparkSession) -> DataFrame:

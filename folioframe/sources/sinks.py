@@ -13,6 +13,7 @@ from ..functions import text as T
 
 
 def number(x: Column, digits: int = 3) -> Column:
+    """A fixed number of digits; halves of the decimal form go up."""
     return F.format_string(f"%.{digits}f", x)
 
 
