@@ -28,7 +28,7 @@ FILTERS = 16
 #: Bounds of the training sample: labelled documents a language, languages (the most frequent), windows a document.
 DOCS_A_LANGUAGE, LANGUAGES, WINDOWS_A_DOC = 300, 64, 3
 #: A document's language counts as known for filtering from this score on.
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.3
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

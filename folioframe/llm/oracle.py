@@ -33,7 +33,7 @@ with lines as (
 ), rec as (
   select n, lead, tkey, own from keyed group by all having count(distinct doc_id) >= 2
 ), ranked as (
-  select k.*, row_number() over (partition by n, lead, tkey, own order by doc_id, text, line_no) as r
+  select k.*, rank() over (partition by n, lead, tkey, own order by doc_id, text, line_no) as r
   from keyed k join rec using (n, lead, tkey, own)
 ), gone as (
   select doc_id, text, list(line_no) as drops from ranked where r > 1 group by doc_id, text

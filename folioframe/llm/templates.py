@@ -99,7 +99,7 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
         recurring = keyed.select("key", "doc_id").distinct().groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("docs")).filter(F.col("docs") >= min_docs)
     found = keyed.join(recurring.select("key", "first"), "key")
     order = Window.partitionBy("key").orderBy("th", "line_no")
-    again = found.filter("doc_id = first").withColumn("r", F.row_number().over(order)).filter("r > 1")
+    again = found.filter("doc_id = first").withColumn("r", F.rank().over(order)).filter("r > 1")  # equal rows tie
     gone = found.filter("doc_id <> first").select("doc_id", "th", "line_no").unionByName(again.select("doc_id", "th", "line_no"))
     return gone.groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("lines"))
 
