@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from ..config import CleanText
 
 # Typographic marks and what replaces them, for all languages and for single ones.
-REPLACEMENTS = {"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", " ": " ", " ": " "}
-REPLACEMENTS_OF = {"de": {"„": '"'}, "fr": {"«": '"', "»": '"'}}
+REPLACEMENTS = {"\u2018": "'", "\u2019": "'", "\u201c": '"', "\u201d": '"', "\u2013": "-", "\u2014": "-", "\u00a0": " ", "\u2009": " "}
+REPLACEMENTS_OF = {"de": {"\u201e": '"'}, "fr": {"\u00ab": '"', "\u00bb": '"'}}
 # Letters that speak for a language.
 MARKS = {"de": "äöüÄÖÜß", "fr": "èêàùçÈÀÇ", "es": "áíóúñÁÍÓÚÑ"}
 # Characters of no width.
-ZERO_WIDTH = "​‌‍﻿"
+ZERO_WIDTH = "\u200b\u200c\u200d\ufeff"
 
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]"
 EDGES = r"[\x09-\x0D\x20\x85\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"

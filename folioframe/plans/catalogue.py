@@ -12,6 +12,7 @@ from ..functions import let
 from ..functions import text as T
 from ..operators import boxes as B
 from ..operators import components as C
+from ..operators import contours as N
 from ..operators import geometry as G
 from ..operators import images as I
 from ..operators import limits as L
@@ -20,6 +21,7 @@ from ..operators import pages as P
 from ..operators import sequences as S
 from ..sources import fixtures as X
 from ..sources import sinks as K
+from . import reading as R
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -135,6 +137,20 @@ def detect_regions(spark, d):
     return rounded(rows.filter(F.col("confidence") >= Detector().box_threshold + 0.2).select("image_id", "label", "n", "bx0", "by0", "bx1", "by1", "confidence"))
 
 
+@query
+def component_outlines(spark, d):
+    found = N.outlines(_cells(spark, d)).withColumn("box", G.bounding_box(F.col("points")))
+    return found.select("image_id", "label", "box.*")
+
+
+@query
+def read_images(spark, d):
+    """Maps to texts: regions, made-up scores for each from the vectors, decoding, cleaning, reading order."""
+    maps, scores = X.maps(spark, d), X.logits(spark, d)
+    give = lambda regions: regions.select("image_id", "region_id").join(scores.withColumnRenamed("seq_id", "image_id"), "image_id")
+    return rounded(R.results(maps, SIDE, SIDE, give, X.dictionary(spark), Detector(box_threshold=0.7)))
+
+
 # ---- boxes -----------------------------------------------------------------------------
 
 

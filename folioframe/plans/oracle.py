@@ -132,6 +132,8 @@ SQL["detect_regions"] = on(
     LABELS + "," + BOXED,
 )
 
+SQL["component_outlines"] = on("f_pixels", "select image_id, label, min_x::double as min_x, min_y::double as min_y, max_x::double as max_x, max_y::double as max_y from cstats", LABELS)
+
 # ---- boxes -----------------------------------------------------------------------------
 
 

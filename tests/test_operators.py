@@ -120,7 +120,7 @@ def test_language_and_validity(spark):
     assert one(spark, T.language(F.lit("über süß"))) == "de"
     assert one(spark, T.language(F.lit("plain words"))) == "en"
     assert one(spark, T.language(F.lit("123"))) == ""
-    assert one(spark, T.is_valid(F.lit(""))) and not one(spark, T.is_valid(F.lit("....ab")))
+    assert one(spark, T.is_valid(F.lit(""))) and not one(spark, T.is_valid(F.lit(".......ab")))
 
 
 def test_similarity_counts_repeats(spark):
@@ -263,3 +263,33 @@ def test_json_round_trip(spark):
     rows = [(1, 1, 3, 4, 5, 6, 'say "hi"\n'), (1, 2, 0, 0, 1, 1, "b")]
     df = spark.createDataFrame(rows, "image_id long, ord int, x int, y int, w int, h int, text string")
     assert sorted(map(tuple, sinks.regions_from_json(sinks.json_regions(df)).collect())) == sorted(rows)
+
+
+# ---- outlines ------------------------------------------------------------------------------
+
+
+def test_outline_is_one_lap():
+    from folioframe.operators import contours
+
+    mask = np.zeros((8, 8), bool)
+    mask[2:6, 2:6] = True
+    assert sorted(contours.trace(mask)) == [(2, 2), (2, 5), (5, 2), (5, 5)]
+    bar = np.zeros((3, 7), bool)
+    bar[1, 1:6] = True
+    assert {(1, 1), (5, 1)} <= set(contours.trace(bar))
+    dot = np.zeros((3, 3), bool)
+    dot[1, 1] = True
+    assert contours.trace(dot) == [(1, 1)] and contours.trace(dot & False) == []
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 8), st.integers(1, 8), st.randoms(use_true_random=False))
+def test_outline_spans_the_component(h, w, rng):
+    from folioframe.operators import contours
+
+    labels = components.label(np.array([[rng.random() < 0.6 for _ in range(w)] for _ in range(h)]))
+    if labels.max():
+        ys, xs = np.nonzero(labels == 1)
+        out = contours.trace(labels == 1)
+        assert all(labels[y, x] == 1 for x, y in out)
+        assert (min(x for x, _ in out), max(x for x, _ in out), min(y for _, y in out), max(y for _, y in out)) == (xs.min(), xs.max(), ys.min(), ys.max())
