@@ -208,11 +208,11 @@ def test_packing(odd):
 def test_forest_against_brute_force(spark):
     rng = np.random.default_rng(8)
     x = rng.standard_normal((600, 16)) * rng.uniform(0.5, 2, (600, 1))
-    x[50:90] = x[50]  # copies
+    x[50:90] = x[50] / np.linalg.norm(x[50]) * 1.01 * np.linalg.norm(x, axis=1).max()  # copies, longer than all others
     rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {}
-    for r in hash_forest.nearest(df, df.filter("vec_id % 20 = 0"), k=10, trees=12, share=0.5, least=100, block=64).collect():
+    for r in hash_forest.nearest(df, df.filter("vec_id % 20 = 0"), k=10, least=100, block=64).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     hits = 0
     for q in range(0, 600, 20):
