@@ -183,8 +183,8 @@ SQL["inverse_rotation"] = on(
 )
 SQL["region_validation"] = on("f_regions", "select region_id, max_x > min_x and max_y > min_y and min_x >= 0 and min_y >= 0 and max_x <= 160 and max_y <= 96 as valid from f_regions")
 SQL["crop_boxes"] = on("f_regions", "select region_id, greatest(0, least(floor(min_x)::int, 160)) as x0, greatest(0, least(floor(min_y)::int, 96)) as y0, greatest(0, least(ceil(max_x)::int, 160)) as x1, greatest(0, least(ceil(max_y)::int, 96)) as y1 from f_regions")
-SQL["reading_order"] = on("f_regions", "select image_id, region_id, row_number() over (partition by image_id order by min_y, min_x, region_id) as ord from f_regions")
-SQL["topk_regions"] = on("f_regions", "select image_id, region_id, rank, confidence from (select *, row_number() over (partition by image_id order by confidence desc, region_id) as rank from f_regions) where rank <= 3")
+SQL["reading_order"] = on("f_regions", "select image_id, region_id, row_number() over (partition by image_id order by min_y, min_x, region_id)::int as ord from f_regions")
+SQL["topk_regions"] = on("f_regions", "select image_id, region_id, rank::int as rank, confidence from (select *, row_number() over (partition by image_id order by confidence desc, region_id) as rank from f_regions) where rank <= 3")
 
 # ---- sequences -------------------------------------------------------------------------
 
@@ -272,7 +272,7 @@ SQL["page_strategy"] = f"""with {_ANALYSED} select doc_id, s[1] as strategy, s[2
     when images > 0 then ['ocr', '0.7'] else ['vector', '0.3'] end as s from pages_)"""
 SQL["ocr_benefit"] = f"with {_ANALYSED} select doc_id, round(case when images <= 0 then 0 when not has_text then 1 else greatest(0.1, ((1 - q) + (1 - c)) / 2) end, 6)::double as benefit from pages_"
 SQL["text_coverage"] = on("f_elements", "select page_id, round(least(1.0, sum(w * h) / (612.0::double * 792.0)), 6) as coverage from f_elements group by page_id")
-SQL["page_range_expand"] = """select id, row_number() over (partition by id order by part, page) as ord, page::int as page from (
+SQL["page_range_expand"] = """select id, (row_number() over (partition by id order by part, page))::int as ord, page::int as page from (
   select doc_id as id, 0 as part, unnest(range(doc_id % 5 + 1, doc_id % 5 + 2 + doc_id % 3)) as page from documents
   union all select doc_id, 1, doc_id % 7 + 1 from documents)"""
 SQL["page_outer_union"] = """select doc_id, 1 as page, doc_id % 3 <> 0 as has_images, doc_id % 2 = 0 as analysed from documents where doc_id % 3 <> 0 or doc_id % 2 = 0"""
@@ -310,7 +310,7 @@ scores as (select page_id, """
 )
 SQL["element_order"] = on(
     "f_elements",
-    "select page_id, elem_id, row_number() over (partition by page_id order by line, x, y, elem_id) as ord from lines",
+    "select page_id, elem_id, (row_number() over (partition by page_id order by line, x, y, elem_id))::int as ord from lines",
     """
 jumps as (select *, case when y - lag(y) over w > lag(h) over w / 2 then 1 else 0 end as jump from f_elements window w as (partition by page_id order by y, x, elem_id)),
 lines as (select *, sum(jump) over (partition by page_id order by y, x, elem_id) as line from jumps)""",
@@ -378,10 +378,10 @@ res as (
     case when ord % 5 = 0 then '  ' else ' line ' || ord || case when ord % 3 = 0 then ', "quoted" ' else '' end end as text, (region_id % 8) / 8.0::double as rec_conf
   from numbered)"""
 _FIELD = """case when regexp_matches(text, '[",\\r\\n]') then '"' || replace(text, '"', '""') || '"' else text end"""
-SQL["csv_rows"] = on("f_regions", f"select image_id, ord, concat_ws(',', x, y, w, h, printf('%.3f', round(det_conf::decimal(12, 6), 3)), {_FIELD}, printf('%.3f', round(rec_conf::decimal(12, 6), 3))) as line from res", RESULTS)
+SQL["csv_rows"] = on("f_regions", f"select image_id, ord::int as ord, concat_ws(',', x, y, w, h, printf('%.3f', round(det_conf::decimal(12, 6), 3)), {_FIELD}, printf('%.3f', round(rec_conf::decimal(12, 6), 3))) as line from res", RESULTS)
 SQL["batch_csv_rows"] = on(
     "f_regions",
-    f"""select 'img,' || image_id || '.png' as file, ord - 1 as region_index,
+    f"""select 'img,' || image_id || '.png' as file, (ord - 1)::int as region_index,
       concat_ws(',', '"img,' || image_id || '.png"', ord - 1, {_FIELD}, printf('%.3f', round(rec_conf::decimal(12, 6), 3)), printf('%.3f', round(det_conf::decimal(12, 6), 3)), x, y, w, h, 'en') as line from res
     union all select 'img,-1.png', 0, '"img,-1.png",0,,0.000,0.000,0,0,0,0,'""",
     RESULTS,
