@@ -41,9 +41,11 @@ def _lines(docs: DataFrame) -> DataFrame:
     rows = docs.filter("doc_id is not null and text is not null").select(
         "doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw")
     )
-    rows = rows.select("doc_id", "th", "line_no", masked(F.col("raw")).alias("line")).filter("line <> ''")
+    # inline() of one struct makes columns that are computed once, however often filters and joins above use them.
+    rows = rows.select("doc_id", "th", "line_no", F.inline(F.array(F.struct(masked(F.col("raw")).alias("line"))))).filter("line <> ''")
     n = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    return rows.select("*", n.alias("n"), F.xxhash64(n, F.substring_index("line", " ", DEPTH)).alias("leaf"))
+    rows = rows.select("*", F.inline(F.array(F.struct(n.alias("n")))))
+    return rows.select("*", F.inline(F.array(F.struct(F.xxhash64("n", F.substring_index("line", " ", DEPTH)).alias("leaf")))))
 
 
 def _fields(line: Column) -> Column:
