@@ -10,6 +10,10 @@ segments differs by (0, 0..2), (1, 1) or (2, 0) bits. Keys that join the own
 index of one segment to the nearby indices of the other therefore meet for
 every pair of fingerprints within four bits. Groups of equal keys are verified
 by exact distance and yield links; links are contracted to components.
+
+Texts that share 0.8 of their shingles differ in about ten bits, beyond such
+keys. For these, :func:`similar_texts` takes minima of the shingles' hashes as
+keys and verifies the exact Jaccard similarity of the shingle sets.
 """
 
 from __future__ import annotations
@@ -33,6 +37,10 @@ BLOCK = 4096
 #: Groups up to this size give all their links, larger ones a spanning forest.
 SMALL = 8
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
+#: Keys of a shingle set, and minima in each: sets of similarity 0.8 have none in common once in 70,000.
+BANDS, ROWS = 28, 5
+#: Texts, and bytes of text, of a block of texts that are compared in one task.
+TEXTS, TEXT_BYTES = 2048, 8 << 20
 
 
 # ---- fingerprints ----------------------------------------------------------------
@@ -328,13 +336,158 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = MAX_BITS) -
     return fps.join(nodes, "fp").select("doc_id", hexed, "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 4, max_bits: int = MAX_BITS) -> DataFrame:
+# ---- texts that share most of their shingles ----------------------------------------
+
+_RNG = np.random.default_rng(SEED)
+_FLIPS = _RNG.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64)
+_FACTORS = _RNG.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
+_MIX = _RNG.integers(0, 1 << 64, (BANDS, ROWS), np.uint64) | np.uint64(1)
+
+
+def shingle_set(data: bytes, words: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles, as :func:`fingerprint` cuts them; a text without words has none."""
+    found, tail = [], []
+    for run in _word_runs(data.lower()):
+        run = tail + run
+        if len(run) >= words:
+            shingles = map(b" ".join, zip(*(run[i:] for i in range(words)), strict=False))
+            found.append(np.frombuffer(b"".join([xxhash.xxh64_digest(s, SEED) for s in shingles]), ">u8"))
+        tail = run[len(run) - words + 1 :] if len(run) >= words else run
+    if not found and tail:
+        found.append(np.array([xxhash.xxh64_intdigest(b" ".join(tail), SEED)], np.uint64))
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *found]).astype(np.uint64))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """Keys of a shingle set that is not empty; each stands for ROWS minima."""
+    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+    for i in range(0, len(hashes), 512):
+        least = np.minimum(least, ((hashes[None, i : i + 512] ^ _FLIPS) * _FACTORS).min(axis=1))
+    return ((least.reshape(BANDS, ROWS) * _MIX).sum(axis=1, dtype=np.uint64)).view(np.int64)
+
+
+def _sets(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, th, bytes, fp, keys): a row for each row of ``docs``; th stands for the text, fp for its shingle set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 1024):
+                part = batch.slice(at, 1024)
+                fps, sizes, keys = [], [], []
+                for t in part.column(2):
+                    data = t.as_py() or b""
+                    hashes = shingle_set(data, words)
+                    sizes.append(len(data))
+                    fps.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED) if len(hashes) else 0)
+                    keys.append(band_keys(hashes) if len(hashes) else np.empty(0, np.int64))
+                fps = np.array(fps, np.uint64).view(np.int64)
+                columns = [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(fps), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.record_batch(columns, names=["doc_id", "th", "bytes", "fp", "keys"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, th long, bytes long, fp long, keys array<long>")
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links from the first fp of each key to its others, of (key, fp) sorted by both."""
+    last = None
+    for batch in batches:
+        key, fp = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:2])
+        if not len(key):
+            continue
+        new = np.r_[last is None or key[0] != last[0], key[1:] != key[:-1]]
+        at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+        first = np.where(at >= 0, fp[at], fp[0] if last is None else last[1])
+        last = (key[-1], first[-1])
+        other = first != fp
+        pairs = np.unique(np.stack([first[other], fp[other]], axis=1), axis=0)
+        yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def jaccard_links(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """Links (positions in ``sets``) whose components are those of all pairs with at least this Jaccard similarity."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    ends = np.cumsum(sizes)
+    _, token = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)[np.argsort(token, kind="stable")]
+    n = np.bincount(token)
+    stop = np.cumsum(n)
+    rest, a, b = np.ones(len(sets), bool), [], []
+    for start in range(len(sets)):
+        if not rest[start]:
+            continue
+        rest[start] = False
+        wave = [start]
+        while wave and rest.any():
+            x = wave.pop()
+            own = token[ends[x] - sizes[x] : ends[x]]
+            if n[own].sum() <= sizes[rest].sum():
+                shared = np.bincount(np.concatenate([owner[stop[t] - n[t] : stop[t]] for t in own]), minlength=len(sets))
+            else:
+                shared = np.zeros(len(sets), np.int64)
+                mark = np.zeros(len(n), bool)
+                mark[own] = True
+                for y in np.flatnonzero(rest):
+                    shared[y] = np.count_nonzero(mark[token[ends[y] - sizes[y] : ends[y]]])
+            found = np.flatnonzero(rest & (shared >= similarity * (sizes[x] + sizes - shared) - 1e-9))
+            rest[found] = False
+            a += [x] * len(found)
+            b += found.tolist()
+            wave += found.tolist()
+    return a, b
+
+
+def _verifier(words: int, similarity: float):
+    """For applyInArrow over (block, fp, text): the links within a block."""
+
+    def run(table: pa.Table) -> pa.Table:
+        fps, at = np.unique(table.column("fp").to_numpy(), return_index=True)
+        texts = table.column("text")
+        a, b = jaccard_links([shingle_set(texts[int(i)].as_py(), words) for i in at], similarity)
+        return pa.table({"a": fps[np.array(a, np.int64)], "b": fps[np.array(b, np.int64)]})
+
+    return run
+
+
+def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, th, root, component_id): a row for each row of ``docs``; th is the text's xxhash64.
+
+    Links join texts whose sets of shingles have at least this Jaccard
+    similarity; root stands for the component, component_id is its smallest
+    doc_id. Texts without words are one another's copies. Texts with a band key
+    in common are candidates; groups of candidates are compared exactly, in
+    pairs of blocks where a group is large, so no group is cut.
+    """
+    rows = materialize(_sets(docs, words), "sets")
+    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("th", "doc_id", "bytes")).alias("one"), F.first("keys").alias("keys"))
+    nodes = materialize(nodes, "nodes")
+    keyed = nodes.select(F.explode("keys").alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
+    groups = components(keyed.mapInArrow(_stars, "a long, b long").distinct())
+    groups = groups.select(F.col("node").alias("fp"), F.col("root").alias("group"))
+    members = materialize(nodes.select("fp", "one.*").join(groups, "fp"), "members")
+    n = F.greatest(F.ceil(F.count("*") / F.lit(TEXTS)), F.ceil(F.sum("bytes") / F.lit(TEXT_BYTES))).cast("int")
+    dealt = members.join(members.groupBy("group").agg(n.alias("n")), "group")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__h"), F.col("text").cast("binary").alias("text"))
+    dealt = dealt.join(texts, (F.col("th") == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__id")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    dealt = dealt.select(F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")).alias("block"), "fp", "text")
+    edges = dealt.groupBy("block").applyInArrow(_verifier(words, similarity), "a long, b long")
+    roots = components(edges).select(F.col("node").alias("fp"), "root")
+    nodes = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    ids = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
+    nodes = nodes.join(ids, "root").select("fp", "root", "component_id")
+    return rows.select("doc_id", "th", "fp").join(nodes, "fp").select("doc_id", "th", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 4, max_bits: int = MAX_BITS, similarity: float | None = None) -> DataFrame:
     """The rows of ``docs`` that stay if each component keeps its smallest doc_id.
 
+    Components are those of :func:`similar_texts` if a ``similarity`` is given, and of :func:`near_duplicates` if not.
     Rows that share this doc_id are one document: one of them stays (the
     smallest by all columns). Rows without a doc_id can't be told apart and stay.
     """
-    found = near_duplicates(docs, words, max_bits)
+    found = near_duplicates(docs, words, max_bits) if similarity is None else similar_texts(docs, words, similarity)
     keep = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__n"))
     keep = keep.select(F.col("doc_id").alias("__id"), "__n")
     rows = docs.join(keep, docs["doc_id"] == keep["__id"])

@@ -103,3 +103,48 @@ def test_long_texts_in_chunks(monkeypatch):
     whole = simhash.fingerprint(text)
     monkeypatch.setattr(simhash, "CHUNK", 50)
     assert simhash.fingerprint(text) == whole == brute(text.decode())
+
+
+def five_words(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_similar_texts_against_brute_force(spark, docs_of, monkeypatch):
+    """Copies of similarity about 0.8, which differ in more than four bits; whole and in pairs of blocks."""
+    rng = random.Random(11)
+    rows = [(900, ""), (901, None), (902, "one two"), (903, "One  two")]
+    for i in range(40):
+        w = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(30, 300))]
+        rows.append((i, " ".join(w)))
+        for c in range(2):
+            v = list(w)
+            for _ in range(max(1, len(w) // rng.choice((50, 60, 70)))):
+                v[rng.randrange(len(v))] = "other"
+            rows.append((100 * (c + 1) + i, " ".join(v)))
+    sets = [five_words(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    border = 0
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if x == y or len(x & y) >= 0.8 * len(x | y):
+                border += x != y and len(x & y) < 0.9 * len(x | y) and (brute(rows[i][1]) ^ brute(rows[j][1])).bit_count() > 4
+                root[find(i)] = find(j)
+    assert border >= 20
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), doc), doc)
+    want = {doc: least[find(i)] for i, (doc, _) in enumerate(rows)}
+    docs = docs_of(rows)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(docs).collect()} == want
+    kept = simhash.one_of_each(docs, words=5, similarity=0.8)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
+    monkeypatch.setattr(simhash, "TEXTS", 1)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(docs).collect()} == want
+    assert simhash.similar_texts(docs.limit(0)).collect() == []
