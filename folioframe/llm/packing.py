@@ -35,6 +35,8 @@ RANK_GROUPS = 1024
 
 _ENCODERS: dict[str, _Encoder] = {}
 _DOUBLE_SPACE = re.compile(r"\s\s")
+#: A special token of the vocabulary, wherever it stands in a text.
+SPECIAL = "<|endoftext|>"
 
 
 class _Encoder(dict):

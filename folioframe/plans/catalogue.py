@@ -313,8 +313,8 @@ def word_stats(spark, d):
 
 
 def _pairs(spark, d):
-    """Neighbouring benchmark items, ASCII ones."""
-    items = spark.read.parquet(f"{d}/benchmark.parquet").filter(F.col("text").rlike(r"^[\x00-\x7F]*$"))
+    """Neighbouring benchmark items."""
+    items = spark.read.parquet(f"{d}/benchmark.parquet")
     other = items.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other"))
     return items.join(other, "item_id")
 

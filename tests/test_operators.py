@@ -293,3 +293,36 @@ def test_outline_spans_the_component(h, w, rng):
         out = contours.trace(labels == 1)
         assert all(labels[y, x] == 1 for x, y in out)
         assert (min(x for x, _ in out), max(x for x, _ in out), min(y for _, y in out), max(y for _, y in out)) == (xs.min(), xs.max(), ys.min(), ys.max())
+
+
+# ---- neighbouring benchmark items --------------------------------------------------------
+
+
+def test_all_neighbours_have_figures(spark, tmp_path):
+    """Accented items too; figures by brute force."""
+    from collections import Counter
+
+    from folioframe.plans import catalogue
+
+    texts = ["plain words here", "Größe der Tür", "größe der Türen", "", "été à Paris", "漢字 𝒳 here", "plain"]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    car, war, similarity = {}, {}, {}
+    for i, (a, b) in enumerate(zip(texts, texts[1:])):
+        a, b = a.lower(), b.lower()
+        x, y = a.split(), b.split()
+        car[i] = 1 - distance(a, b) / max(len(a), len(b))
+        war[i] = sum(min(n, Counter(x)[w]) for w, n in Counter(y).items()) / len(y) if y else 1
+        common = sum(w in x for w in y)
+        similarity[i] = common / (len(x) + len(y) - common) if x and y else 0
+    for name, want in (("levenshtein_car", car), ("war", war), ("text_similarity", similarity)):
+        rows = catalogue.QUERIES[name](spark, str(tmp_path)).collect()
+        assert {r["item_id"]: r[1] for r in rows} == pytest.approx(want, abs=1e-6), name
