@@ -59,7 +59,7 @@ def _at(leaf: Column) -> tuple[Column, Column]:
 
 
 def _generalised(docs: DataFrame, occurrences: DataFrame) -> DataFrame:
-    """(lh, template): for the lines that a template with variable fields stands for."""
+    """(lh, template): for the lines that another template stands for; a line that equals a template has its hash already."""
     leaves = occurrences.filter(F.col("n") > DEPTH).groupBy("leaf")
     leaves = leaves.agg(F.min("doc_id").alias("d"), F.max("doc_id").alias("e"), F.min("lh").alias("l"), F.max("lh").alias("m"))
     leaves = materialize(leaves.filter("d <> e and l <> m").select("leaf"), "leaves")
@@ -72,7 +72,7 @@ def _generalised(docs: DataFrame, occurrences: DataFrame) -> DataFrame:
     lines = lines.filter(F.floor(byte / F.pow(F.lit(2), bit % 8)) % 2 == 1)
     # An inner join: a semi join would be moved before the map's, and shuffle every line.
     lines = lines.select("leaf", "line").join(leaves, "leaf").distinct()
-    lines = materialize(lines.select("leaf", "line", F.xxhash64("line").alias("lh")), "candidates")
+    lines = materialize(lines.select("leaf", "line", F.xxhash64("leaf", "line").alias("lh")), "candidates")
     tokens = lines.select("leaf", "lh", F.posexplode(F.slice(F.split("line", " "), DEPTH + 1, 1 << 30)).alias("pos", "token"))
     shared = tokens.groupBy("leaf", "pos", "token").agg(F.count("*").alias("n")).filter("n > 1").select("leaf", "pos", "token", F.lit(True).alias("constant"))
     tokens = tokens.join(shared, ["leaf", "pos", "token"], "left")
@@ -90,7 +90,7 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, th, lines): the numbers (from 0) of the lines that go, for each document that loses any."""
     lines = _lines(docs)
     plain = _fields(F.col("line")) * 2 <= F.col("n")  # a line of fields only says nothing
-    occurrences = lines.select("doc_id", "th", "line_no", "n", "leaf", F.xxhash64("line").alias("lh"), plain.alias("plain"))
+    occurrences = lines.select("doc_id", "th", "line_no", "n", "leaf", F.xxhash64("leaf", "line").alias("lh"), plain.alias("plain"))
     occurrences = materialize(occurrences, "lines")
     keyed = occurrences.filter("plain").join(_generalised(docs, occurrences), "lh", "left")
     keyed = keyed.select("doc_id", "th", "line_no", F.coalesce("template", "lh").alias("key"))

@@ -123,3 +123,14 @@ def test_conversations(spark):
     assert got[5]["loss_sha256"] == hashlib.sha256("𝒳 </s>𝒳 </s>".encode()).hexdigest()
     assert got[6]["turns_sha256"] == hashlib.sha256(b"\n\n").hexdigest()
     assert reply_trees.check_conversations(df.limit(0)).collect() == []
+
+
+def test_masked_and_generalised_lines_are_one_template(docs_of):
+    docs = docs_of([
+        (1, "error at node in worker7 now"),
+        (2, "error at node in Alpha now"),
+        (3, "error at node in Beta now"),
+        (4, "error at node in worker9 now"),
+    ])
+    assert texts(templates.drop_recurring_lines(docs)) == {1: "error at node in worker7 now", 2: "", 3: "", 4: ""}
+    assert texts(templates.drop_recurring_lines(docs.filter("doc_id < 3"))) == {1: "error at node in worker7 now", 2: ""}
