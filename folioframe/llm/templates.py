@@ -27,22 +27,27 @@ MIN_DOCS = 2
 MAP_BITS, ROW_BITS = 1 << 22, 1 << 15
 
 
-def masked(line: Column) -> Column:
-    """The line's tokens with ``<*>`` for those with a digit, joined by single spaces; empty if it has none."""
+def spaced(line: Column) -> Column:
+    """The line's tokens joined by single spaces; empty if it has none."""
     odd = F.contains(line, F.lit("  "))
     for mark in "\t\v\f\r":
         odd = odd | F.contains(line, F.lit(mark))
-    plain = F.trim(F.when(odd, F.regexp_replace(line, r"[\x09-\x0D ]+", " ")).otherwise(line))
+    return F.trim(F.when(odd, F.regexp_replace(line, r"[\x09-\x0D ]+", " ")).otherwise(line))
+
+
+def masked(plain: Column) -> Column:
+    """A line of :func:`spaced` with ``<*>`` for the tokens with a digit."""
     return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(plain)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, line_no, line, n, leaf): the lines that have tokens; th stands for the text."""
+    """(doc_id, th, line_no, own, line, n, leaf): the lines that have tokens, as they are and masked; th stands for the text."""
     rows = docs.filter("doc_id is not null and text is not null").select(
         "doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw")
     )
     # inline() of one struct makes columns that are computed once, however often filters and joins above use them.
-    rows = rows.select("doc_id", "th", "line_no", F.inline(F.array(F.struct(masked(F.col("raw")).alias("line"))))).filter("line <> ''")
+    rows = rows.select("doc_id", "th", "line_no", F.inline(F.array(F.struct(spaced(F.col("raw")).alias("own"))))).filter("own <> ''")
+    rows = rows.select("*", F.inline(F.array(F.struct(masked(F.col("own")).alias("line")))))
     n = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
     rows = rows.select("*", F.inline(F.array(F.struct(n.alias("n")))))
     return rows.select("*", F.inline(F.array(F.struct(F.xxhash64("n", F.substring_index("line", " ", DEPTH)).alias("leaf")))))
@@ -61,8 +66,8 @@ def _at(leaf: Column) -> tuple[Column, Column]:
 def _generalised(docs: DataFrame, occurrences: DataFrame) -> DataFrame:
     """(lh, template): for the lines that another template stands for; a line that equals a template has its hash already."""
     leaves = occurrences.filter(F.col("n") > DEPTH).groupBy("leaf")
-    leaves = leaves.agg(F.min("doc_id").alias("d"), F.max("doc_id").alias("e"), F.min("lh").alias("l"), F.max("lh").alias("m"))
-    leaves = materialize(leaves.filter("d <> e and l <> m").select("leaf"), "leaves")
+    leaves = leaves.agg(F.min("doc_id").alias("d"), F.max("doc_id").alias("e"), F.min("lh").alias("l"), F.max("lh").alias("m"), F.bool_or("plain").alias("plain"))
+    leaves = materialize(leaves.filter("d <> e and l <> m and plain").select("leaf"), "leaves")
     # The lines' texts are cut again from the documents; a map of fixed size keeps most of them out of the shuffle.
     row, bit = _at(F.col("leaf"))
     marks = leaves.select(row.alias("__row"), bit.alias("bit")).groupBy("__row").agg(F.bitmap_construct_agg("bit").alias("__map"))
@@ -89,10 +94,11 @@ def _generalised(docs: DataFrame, occurrences: DataFrame) -> DataFrame:
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, th, lines): the numbers (from 0) of the lines that go, for each document that loses any."""
     lines = _lines(docs)
-    plain = _fields(F.col("line")) * 2 <= F.col("n")  # a line of fields only says nothing
-    occurrences = lines.select("doc_id", "th", "line_no", "n", "leaf", F.xxhash64("leaf", "line").alias("lh"), plain.alias("plain"))
+    plain = _fields(F.col("line")) * 2 <= F.col("n")  # a line of fields only says nothing, but its copies are known
+    lh = F.when(F.col("plain"), F.xxhash64("leaf", "line")).otherwise(F.xxhash64("own"))
+    occurrences = lines.withColumn("plain", plain).select("doc_id", "th", "line_no", "n", "leaf", lh.alias("lh"), "plain")
     occurrences = materialize(occurrences, "lines")
-    keyed = occurrences.filter("plain").join(_generalised(docs, occurrences), "lh", "left")
+    keyed = occurrences.join(_generalised(docs, occurrences), "lh", "left")
     keyed = keyed.select("doc_id", "th", "line_no", F.coalesce("template", "lh").alias("key"))
     docs_of = keyed.groupBy("key")
     if min_docs <= 2:
@@ -110,9 +116,9 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame
     """Every row of ``docs`` with its text less the recurring lines, and n_lines and n_dropped.
 
     A line goes if its template occurs in ``min_docs`` or more doc_ids and it
-    is not the template's first line by (doc_id, text, line). Lines without
-    tokens, and lines of which more than half is variable fields, stay. A text
-    may become empty; its row stays. Null texts stay null with no lines; rows
+    is not the template's first line by (doc_id, text, line). Lines of
+    which more than half holds digits are their own templates, unmasked, so
+    only copies of them go. Lines without tokens stay. A text may become empty; its row stays. Null texts stay null with no lines; rows
     without doc_id stay as they are and don't count. Rows with equal doc_id
     count as one document; equal rows lose the same lines. No rows give none.
     """

@@ -134,3 +134,8 @@ def test_masked_and_generalised_lines_are_one_template(docs_of):
     ])
     assert texts(templates.drop_recurring_lines(docs)) == {1: "error at node in worker7 now", 2: "", 3: "", 4: ""}
     assert texts(templates.drop_recurring_lines(docs.filter("doc_id < 3"))) == {1: "error at node in worker7 now", 2: ""}
+
+
+def test_copies_of_lines_of_digits_go(docs_of):
+    docs = docs_of([(1, "12 34 56 total\nown"), (2, "12 34  56 total\nother"), (3, "12 34 57 total"), (4, "12 34 56 total\n12 34 56 total")])
+    assert texts(templates.drop_recurring_lines(docs)) == {1: "12 34 56 total\nown", 2: "other", 3: "12 34 57 total", 4: ""}
