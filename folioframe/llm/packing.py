@@ -35,6 +35,8 @@ RANK_GROUPS = 1024
 
 _ENCODERS: dict[str, _Encoder] = {}
 _DOUBLE_SPACE = re.compile(r"\s\s")
+#: The vocabulary's special token, which has an id of its own after the ranks.
+SPECIAL = "<|endoftext|>"
 #: A special token of the vocabulary, wherever it stands in a text.
 SPECIAL = "<|endoftext|>"
 
@@ -55,6 +57,7 @@ class _Encoder(dict):
         merges = {base64.b64decode(token): int(rank) for token, rank in lines}
         self.encode = tiktoken.Encoding("ids", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={}).encode_ordinary
         self.line_feed = self.ids("\n")
+        self.special = np.array([len(merges)], "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
         return np.array(self.encode(text), "<u4").tobytes()
@@ -74,6 +77,10 @@ class _Encoder(dict):
             lines.append((self.ids(head) if head else b"") + b"".join([self[w] for w in words]))
         return self.line_feed.join(lines)
 
+    def document_ids(self, text: str) -> bytes:
+        """The ids of a text in which the special token is one id, as the tokenizer library gives them."""
+        return self.special.join([self.text_ids(part) if part else b"" for part in text.split(SPECIAL)])
+
 
 def encoder(ranks: str) -> _Encoder:
     if ranks not in _ENCODERS:
@@ -101,7 +108,7 @@ def pieces(docs: DataFrame, ranks: str | None = None, capacity: int = CAPACITY,
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(ranks).text_ids
+        ids_of = encoder(ranks).document_ids
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

@@ -154,6 +154,17 @@ def test_ids_are_those_of_the_tokenizer(spark, data):
         assert np.frombuffer(ids(text), "<u4").tolist() == want.ids, repr(text[:80])
 
 
+def test_special_token_has_its_id(docs_of):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|>\ny", "<|endoftext|><|endoftext|>", " <|endoftext|>  z\n", "a  b<|endoftext|>  c", "<|endoftext", "no such token", ""]
+    rows = packing.pieces(docs_of(list(enumerate(texts))), with_ids=True).collect()
+    for text, row in zip(texts, sorted(rows, key=lambda r: r["doc_id"]), strict=True):
+        assert row["ids"] == tokenizer.encode(text, add_special_tokens=False).ids + [packing.END_ID], repr(text)
+
+
 def test_plan_is_feasible_and_full():
     rng = random.Random(6)
     for n, capacity in ((1, 10), (40, 10), (500, 64), (300, 2048)):
