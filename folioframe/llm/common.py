@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,11 +12,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests), a new folder that becomes the checkpoint folder."""
+    """The folder of ``spark.checkpoint.dir``, or the checkpoint folder that the session was given; RuntimeError where there is none.
+
+    A folder of this machine would not do: other executors neither see nor keep it.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="folioframe-")
-        spark.sparkContext.setCheckpointDir(found)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found
 
 
@@ -32,6 +33,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key with more than one in HOT of all rows is hot; there are fewer than HOT of them, so they may be broadcast.
+HOT = 1024
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], spread: Column) -> DataFrame:
+    """A left join on ``keys`` for which no key brings more than one in HOT of the rows of ``left`` together.
+
+    ``right`` is a written table with one row for each key, without nulls, and the number of rows of ``left`` with
+    that key in ``__n``, which is left out. Its hot rows, fewer than HOT, are broadcast; rows of
+    ``left`` that met one of them are dealt out by ``spread``, all others by their keys.
+    """
+    total = right.agg(F.sum("__n")).first()[0] or 0
+    facts = [c for c in right.columns if c not in (*keys, "__n")]
+    hot = right.filter(F.col("__n") * HOT > total).select(*keys, F.lit(True).alias("__hot"), *[F.col(c).alias(f"__hot_{c}") for c in facts])
+    met = left.join(F.broadcast(hot), keys, "left")
+    # The rows that are served already carry a key that no other row has.
+    met = met.withColumn("__salt", F.when(F.col("__hot"), spread).otherwise(F.lit(0)))
+    cold = right.filter(F.col("__n") * HOT <= total).select(*keys, F.lit(0).cast("long").alias("__salt"), *facts)
+    found = met.join(cold, [*keys, "__salt"], "left")
+    return found.select(*left.columns, *[F.coalesce(f"__hot_{c}", c).alias(c) for c in facts])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -8,7 +8,7 @@ with lines as (
   from (select doc_id, text, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) as i
         from documents where doc_id is not null)
 ), masks as (
-  select doc_id, text, line_no, string_split(regexp_replace(plain, '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' ') as toks
+  select doc_id, text, line_no, plain, string_split(regexp_replace(plain, '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' ') as toks
   from lines where plain <> ''
 ), occ as (
   select *, len(toks) as n, array_to_string(toks, ' ') as line, array_to_string(toks[1:4], ' ') as lead from masks
@@ -27,14 +27,14 @@ with lines as (
   select n, lead, line, template from tpl
   where template <> line and (length(template) - length(replace(template, '<*>', ''))) / 3 <= (1 - 0.7) * n
 ), keyed as (
-  select doc_id, text, line_no, n, lead, coalesce(template, line) as tkey, template is null as own
-  from (select occ.*, gen.template from occ left join gen using (n, lead, line))
-  where (length(line) - length(replace(line, '<*>', ''))) / 3 * 2 <= n
+  select doc_id, text, line_no, says, case when says then coalesce(template, line) else plain end as tkey
+  from (select occ.*, gen.template, (length(line) - length(replace(line, '<*>', ''))) / 3 * 2 <= n as says
+        from occ left join gen using (n, lead, line))
 ), rec as (
-  select n, lead, tkey, own from keyed group by all having count(distinct doc_id) >= 2
+  select says, tkey from keyed group by all having count(distinct doc_id) >= 2
 ), ranked as (
-  select k.*, rank() over (partition by n, lead, tkey, own order by doc_id, text, line_no) as r
-  from keyed k join rec using (n, lead, tkey, own)
+  select k.*, rank() over (partition by says, tkey order by doc_id, text, line_no) as r
+  from keyed k join rec using (says, tkey)
 ), gone as (
   select doc_id, text, list(line_no) as drops from ranked where r > 1 group by doc_id, text
 )

@@ -6,7 +6,10 @@ the lines with the same number of tokens and the same leading tokens. In a
 leaf, a later position is a constant of a line if another line of the leaf has
 the same token there, and a variable field otherwise; a line that keeps enough
 constants has the generalised line as its template. Templates that recur in
-several documents are dropped, but for their first line.
+several documents are dropped, but for their first line (or that too).
+
+Lines and templates are known by 96 bits of hash: among 10^12 lines the chance
+that any two different ones are taken for one is below 1 in 100,000.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_hot, materialize
 
 FIELD = "<*>"
 #: Leading tokens that a leaf's lines share.
@@ -23,8 +26,13 @@ DEPTH = 4
 SIMILARITY = 0.7
 #: Documents from which a template recurs.
 MIN_DOCS = 2
-#: Bits and bits a row of the map of leaves; it has 512 KB whatever the input.
-MAP_BITS, ROW_BITS = 1 << 22, 1 << 15
+#: Bits of a map of hashes; it has 1 MB whatever the input.
+MAP_BITS = 1 << 23
+
+
+def _with(df: DataFrame, **made: Column) -> DataFrame:
+    """``df`` and columns that are computed once, however often filters and joins above use them."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))))
 
 
 def spaced(line: Column) -> Column:
@@ -37,98 +45,120 @@ def spaced(line: Column) -> Column:
 
 def masked(plain: Column) -> Column:
     """A line of :func:`spaced` with ``<*>`` for the tokens with a digit."""
-    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(plain)
+    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, "[^ 0-9]*+[0-9][^ ]*+", FIELD)).otherwise(plain)
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, line_no, own, line, n, leaf): the lines that have tokens, as they are and masked; th stands for the text."""
-    rows = docs.filter("doc_id is not null and text is not null").select(
-        "doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw")
-    )
-    # inline() of one struct makes columns that are computed once, however often filters and joins above use them.
-    rows = rows.select("doc_id", "th", "line_no", F.inline(F.array(F.struct(spaced(F.col("raw")).alias("own"))))).filter("own <> ''")
-    rows = rows.select("*", F.inline(F.array(F.struct(masked(F.col("own")).alias("line")))))
-    n = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    rows = rows.select("*", F.inline(F.array(F.struct(n.alias("n")))))
-    return rows.select("*", F.inline(F.array(F.struct(F.xxhash64("n", F.substring_index("line", " ", DEPTH)).alias("leaf")))))
+def _tokens(line: Column) -> Column:
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
 def _fields(line: Column) -> Column:
-    return (F.length(line) - F.length(F.replace(line, F.lit(FIELD), F.lit("")))) / len(FIELD)
+    left = F.octet_length(F.replace(line, F.lit(FIELD), F.lit("")))
+    return F.when(F.contains(line, F.lit(FIELD)), (F.octet_length(line) - left) / len(FIELD)).otherwise(0)
+
+
+def _leaf(n: Column, masked_line: Column) -> Column:
+    return F.xxhash64(n, F.substring_index(masked_line, " ", DEPTH))
+
+
+def _own_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, line_no, own, n): the lines that have tokens, spaced; th stands for the text, n is the number of tokens."""
+    rows = docs.filter("doc_id is not null and text is not null").select("doc_id", "text")
+    rows = _with(rows, th=F.xxhash64("text")).select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
+    rows = _with(rows, own=spaced(F.col("raw"))).filter("own <> ''")
+    return _with(rows.select("doc_id", "th", "line_no", "own"), n=_tokens(F.col("own")))
+
+
+def _occurrences(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, line_no, n, leaf, lh, lx, plain): every line with its leaf and its 96 bits.
+
+    A line of which more than half are fields says nothing (plain is false); it is known unmasked, by its copies only.
+    """
+    lines = _with(_own_lines(docs), line=masked(F.col("own")))
+    lines = _with(lines, leaf=_leaf(F.col("n"), F.col("line")), plain=_fields(F.col("line")) * 2 <= F.col("n"))
+    lines = _with(lines, known=F.when(F.col("plain"), F.col("line")).otherwise(F.col("own")), tree=F.when(F.col("plain"), F.col("leaf")).otherwise(0))
+    return lines.select("doc_id", "th", "line_no", "n", "leaf", F.xxhash64("tree", "known").alias("lh"), F.hash("known").alias("lx"), "plain")
 
 
-def _at(leaf: Column) -> tuple[Column, Column]:
-    """Row and bit of a leaf in the map."""
-    bit = F.pmod(leaf, F.lit(MAP_BITS))
-    return F.floor(bit / ROW_BITS).cast("int"), (bit % ROW_BITS).cast("long")
+def _marked(rows: DataFrame, hashes: DataFrame, name: str) -> DataFrame:
+    """The rows whose hash ``name`` may be among ``hashes``: all that are, and few others while the map has room for them."""
+    word, bit = F.shiftright(F.col(name).bitwiseAND(MAP_BITS - 1), 6), F.col(name).bitwiseAND(63).cast("int")
+    words = hashes.select(word.alias("__w"), bit.alias("__b")).groupBy("__w").agg(F.expr("bit_or(shiftleft(1L, __b))").alias("__bits"))
+    found = _with(rows, __w=word, __b=bit).join(F.broadcast(words), "__w").filter(F.expr("getbit(__bits, __b) = 1"))
+    return found.drop("__w", "__b", "__bits")
 
 
 def _generalised(docs: DataFrame, occurrences: DataFrame) -> DataFrame:
-    """(lh, template): for the lines that another template stands for; a line that equals a template has its hash already."""
+    """(lh, lx, k, kx): for the lines that another template stands for; a line that equals a template has its hashes already."""
     leaves = occurrences.filter(F.col("n") > DEPTH).groupBy("leaf")
     leaves = leaves.agg(F.min("doc_id").alias("d"), F.max("doc_id").alias("e"), F.min("lh").alias("l"), F.max("lh").alias("m"), F.bool_or("plain").alias("plain"))
     leaves = materialize(leaves.filter("d <> e and l <> m and plain").select("leaf"), "leaves")
-    # The lines' texts are cut again from the documents; a map of fixed size keeps most of them out of the shuffle.
-    row, bit = _at(F.col("leaf"))
-    marks = leaves.select(row.alias("__row"), bit.alias("bit")).groupBy("__row").agg(F.bitmap_construct_agg("bit").alias("__map"))
-    row, bit = _at(F.col("leaf"))
-    byte = F.conv(F.hex(F.substring("__map", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    lines = _lines(docs).filter(F.col("n") > DEPTH).withColumn("__row", row).join(F.broadcast(marks), "__row")
-    lines = lines.filter(F.floor(byte / F.pow(F.lit(2), bit % 8)) % 2 == 1)
+    # These lines are cut again from the documents; only the leading tokens are masked to see whether a line is one of them.
+    lines = _own_lines(docs).filter(F.col("n") > DEPTH)
+    lines = _with(lines, leaf=_leaf(F.col("n"), masked(F.substring_index("own", " ", DEPTH)))).select("leaf", "own", "n")
     # An inner join: a semi join would be moved before the map's, and shuffle every line.
-    lines = lines.select("leaf", "line").join(leaves, "leaf").distinct()
-    lines = materialize(lines.select("leaf", "line", F.xxhash64("leaf", "line").alias("lh")), "candidates")
-    tokens = lines.select("leaf", "lh", F.posexplode(F.slice(F.split("line", " "), DEPTH + 1, 1 << 30)).alias("pos", "token"))
-    shared = tokens.groupBy("leaf", "pos", "token").agg(F.count("*").alias("n")).filter("n > 1").select("leaf", "pos", "token", F.lit(True).alias("constant"))
-    tokens = tokens.join(shared, ["leaf", "pos", "token"], "left")
-    word = F.when(F.col("constant"), F.col("token")).otherwise(F.lit(FIELD))
-    rest = tokens.groupBy("leaf", "lh").agg(F.sort_array(F.collect_list(F.struct("pos", word.alias("word")))).alias("rest"))
-    made = rest.join(lines, ["leaf", "lh"]).select(
-        "leaf", "lh", "line", F.concat_ws(" ", F.substring_index("line", " ", DEPTH), F.array_join("rest.word", " ")).alias("template")
-    )
-    tokens_in = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    enough = _fields(F.col("template")) <= (1 - SIMILARITY) * tokens_in
-    return made.filter((F.col("template") != F.col("line")) & enough).select("lh", F.xxhash64("leaf", "template").alias("template"))
-
-
-def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    lines = _marked(lines, leaves, "leaf").select("leaf", "n", masked(F.col("own")).alias("line")).join(leaves, "leaf").distinct()
+    lines = materialize(lines.select("leaf", "n", "line", F.xxhash64("leaf", "line").alias("lh"), F.hash("line").alias("lx")), "candidates")
+    tokens = lines.select("leaf", "lh", "lx", F.posexplode(F.slice(F.split("line", " "), DEPTH + 1, 1 << 30)).alias("pos", "token"))
+    # A token that no other line of the leaf has at its place is a field; its group names its only line, so no join goes back to it.
+    alone = tokens.groupBy("leaf", "pos", "token").agg(F.count("*").alias("lines"), F.min("lh").alias("lh"), F.min("lx").alias("lx")).filter("lines = 1")
+    fields = alone.groupBy("lh", "lx").agg(F.collect_set("pos").alias("fields"))
+    made = lines.join(fields, ["lh", "lx"]).filter(F.size("fields") <= (1 - SIMILARITY) * F.col("n"))
+    word = F.transform(F.split("line", " "), lambda x, i: F.when(F.array_contains("fields", i - DEPTH), F.lit(FIELD)).otherwise(x))
+    made = _with(made, template=F.array_join(word, " "))
+    enough = _fields(F.col("template")) <= (1 - SIMILARITY) * F.col("n")
+    return made.filter((F.col("template") != F.col("line")) & enough).select("lh", "lx", F.xxhash64("leaf", "template").alias("k"), F.hash("template").alias("kx"))
+
+
+def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = True) -> DataFrame:
     """(doc_id, th, lines): the numbers (from 0) of the lines that go, for each document that loses any."""
-    lines = _lines(docs)
-    plain = _fields(F.col("line")) * 2 <= F.col("n")  # a line of fields only says nothing, but its copies are known
-    lh = F.when(F.col("plain"), F.xxhash64("leaf", "line")).otherwise(F.xxhash64("own"))
-    occurrences = lines.withColumn("plain", plain).select("doc_id", "th", "line_no", "n", "leaf", lh.alias("lh"), "plain")
-    occurrences = materialize(occurrences, "lines")
-    keyed = occurrences.join(_generalised(docs, occurrences), "lh", "left")
-    keyed = keyed.select("doc_id", "th", "line_no", F.coalesce("template", "lh").alias("key"))
-    docs_of = keyed.groupBy("key")
-    if min_docs <= 2:
-        recurring = docs_of.agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first <> last or %d < 2" % min_docs)
+    occurrences = materialize(_occurrences(docs), "lines")
+    # One row for each different line, then for each template: the documents it is in, as far as they matter.
+    seen = [F.count("*").alias("__n"), F.min("doc_id").alias("d"), F.max("doc_id").alias("e")]
+    if min_docs > 2:
+        once = occurrences.groupBy("lh", "lx", "doc_id").agg(F.count("*").alias("__n"))
+        seen[0] = F.sum("__n").alias("__n")
     else:
-        recurring = keyed.select("key", "doc_id").distinct().groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("docs")).filter(F.col("docs") >= min_docs)
-    found = keyed.join(recurring.select("key", "first"), "key")
-    order = Window.partitionBy("key").orderBy("th", "line_no")
-    again = found.filter("doc_id = first").withColumn("r", F.rank().over(order)).filter("r > 1")  # equal rows tie
-    gone = found.filter("doc_id <> first").select("doc_id", "th", "line_no").unionByName(again.select("doc_id", "th", "line_no"))
+        once = occurrences
+    lines = once.groupBy("lh", "lx").agg(*seen).join(_generalised(docs, occurrences), ["lh", "lx"], "left")
+    lines = materialize(lines.select("lh", "lx", F.coalesce("k", "lh").alias("k"), F.coalesce("kx", "lx").alias("kx"), "d", "e", "__n"), "templates")
+    recurring = lines.groupBy("k", "kx").agg(F.min("d").alias("first"), F.max("e").alias("last"), F.count("*").alias("__n"))
+    recurring = recurring.filter("first <> last" if min_docs > 1 else "true").select("k", "kx", "first", "__n")
+    if min_docs > 2:
+        of = once.join(lines.select("lh", "lx", "k", "kx"), ["lh", "lx"]).select("k", "kx", "doc_id").distinct()
+        of = of.groupBy("k", "kx").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs)
+        recurring = recurring.join(of.select("k", "kx"), ["k", "kx"])
+    lines = join_hot(lines.withColumnRenamed("__n", "times"), materialize(recurring, "recurring"), ["k", "kx"], spread=F.col("lh"))
+    lines = lines.filter("first is not null").select("lh", "lx", "k", "kx", "first", F.col("times").alias("__n"))
+    lines = materialize(lines, "recurring_lines")
+    found = join_hot(_marked(occurrences.select("doc_id", "th", "line_no", "lh", "lx"), lines.select("lh"), "lh"), lines, ["lh", "lx"], spread=F.xxhash64("th", "line_no"))
+    found = found.filter("first is not null")
+    gone = found
+    if keep_first:
+        order = Window.partitionBy("k", "kx").orderBy("th", "line_no")
+        again = found.filter("doc_id = first").withColumn("r", F.rank().over(order)).filter("r > 1")  # equal rows tie
+        gone = found.filter("doc_id <> first").select("doc_id", "th", "line_no").unionByName(again.select("doc_id", "th", "line_no"))
     return gone.groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("lines"))
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = True) -> DataFrame:
     """Every row of ``docs`` with its text less the recurring lines, and n_lines and n_dropped.
 
     A line goes if its template occurs in ``min_docs`` or more doc_ids and it
-    is not the template's first line by (doc_id, text, line). Lines of
+    is not the template's first line by (doc_id, text, line); without
+    ``keep_first`` the first goes too. Lines of
     which more than half holds digits are their own templates, unmasked, so
     only copies of them go. Lines without tokens stay. A text may become empty; its row stays. Null texts stay null with no lines; rows
     without doc_id stay as they are and don't count. Rows with equal doc_id
     count as one document; equal rows lose the same lines. No rows give none.
     """
     names = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    gone = dropped_lines(docs, min_docs).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("lines").alias("__lines"))
+    gone = dropped_lines(docs, min_docs, keep_first).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("lines").alias("__lines"))
     rows = docs.select(*names, "text", F.xxhash64("text").alias("__h"))
     rows = rows.join(gone, (rows["doc_id"] == gone["__id"]) & (rows["__h"] == gone["__th"]), "left")
-    cut = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col("__lines"))
-    left = F.array_join(F.transform(kept, lambda i: F.get(cut, i)), "\n")
+    rows = _with(rows, __cut=F.when(F.col("__lines").isNotNull(), F.split("text", "\n")))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__cut") - 1), F.col("__lines"))
+    left = F.array_join(F.transform(kept, lambda i: F.get("__cut", i)), "\n")
     text = F.when(F.col("__lines").isNull(), F.col("text")).otherwise(left)
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(cut))
+    n = F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0))
     return rows.select(*names, text.alias("text"), n.alias("n_lines"), F.coalesce(F.size("__lines"), F.lit(0)).alias("n_dropped"))
