@@ -87,25 +87,24 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs:
     """The mix as rows of ``docs``: a row for each epoch of a document, and the cut document of a source to its last word taken.
 
     Rows that no word is taken of go; rows without words have none to take and
-    stay as they are, once. The columns are those of ``docs``; where there is
+    stay as they are, once. Equal texts under one doc_id are counted source by source, so each source gives what the mix takes of it. The columns are those of ``docs``; where there is
     n_chars, a cut text's is its new length.
     """
     names = docs.columns
-    rows = docs.withColumn("__size", word_count(F.col("text")))
     known = F.concat_ws("\n", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
-    rows = rows.withColumn("__key", F.md5(known.cast("binary")))
-    mixed = mix(docs, weights, epochs).filter("taken > 0")
-    # Equal rows share a key: together they have the sum of what was taken of them.
-    order = Window.partitionBy("mix_key").orderBy(F.col("source").isNull(), F.col("source"), F.col("taken").desc())
-    mixed = mixed.select(F.col("mix_key").alias("__k"), F.row_number().over(order).alias("__i"), "taken")
-    same = Window.partitionBy("__key").orderBy(F.col("source").isNull(), F.col("source"))
-    rows = rows.withColumn("__n", F.row_number().over(same))
-    found = rows.filter("__size > 0").join(mixed, (F.col("__key") == F.col("__k")) & (F.col("__n") == F.col("__i")))
-    copies = F.expr("explode(sequence(0L, (taken - 1) div __size))")
-    found = found.withColumn("__copy", copies).withColumn("__words", F.least("__size", F.col("taken") - F.col("__copy") * F.col("__size")))
+    rows = docs.withColumn("__size", word_count(F.col("text"))).withColumn("__key", F.md5(known.cast("binary")))
+    mixed = mix(docs, weights, epochs).filter("size > 0")
+    # Rows with the same key in the same source are numbered on both sides before any of them is left out; together they have the sum of what was taken of them.
+    order = Window.partitionBy("mix_key", "source").orderBy(F.col("taken").desc())
+    mixed = mixed.select(F.col("mix_key").alias("__k"), F.col("source").alias("__s"), F.row_number().over(order).alias("__i"), "taken").filter("taken > 0")
+    same = Window.partitionBy("__key", "source").orderBy("__size")
+    found = rows.filter("__size > 0").withColumn("__n", F.row_number().over(same))
+    found = found.join(mixed, (F.col("__key") == F.col("__k")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("__n") == F.col("__i")))
+    found = found.withColumn("__copy", F.expr("explode(sequence(0L, (taken - 1) div __size))"))
+    found = found.withColumn("__words", F.least("__size", F.col("taken") - F.col("__copy") * F.col("__size")))
     parts = F.slice(F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1)), F.lit(1), F.col("__words").cast("int"))
-    cut = F.when(F.col("__words") < F.col("__size"), F.array_join(parts, "")).otherwise(F.col("text"))
-    found = found.withColumn("text", cut)
+    whole = F.col("__words") >= F.col("__size")
+    found = found.withColumn("text", F.when(whole, F.col("text")).otherwise(F.array_join(parts, "")))
     if "n_chars" in names:
-        found = found.withColumn("n_chars", F.when(F.col("__words") < F.col("__size"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        found = found.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return found.select(*names).unionByName(rows.filter("__size = 0").select(*names))
