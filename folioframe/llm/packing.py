@@ -37,8 +37,6 @@ _ENCODERS: dict[str, _Encoder] = {}
 _DOUBLE_SPACE = re.compile(r"\s\s")
 #: The vocabulary's special token, which has an id of its own after the ranks.
 SPECIAL = "<|endoftext|>"
-#: A special token of the vocabulary, wherever it stands in a text.
-SPECIAL = "<|endoftext|>"
 
 
 class _Encoder(dict):
