@@ -1,207 +1,211 @@
 """Approximate nearest neighbours by a hash-prefix forest.
 
-Each tree gives every vector a long hash string (signs of random projections)
-and keeps the strings sorted, so the vectors that share a prefix are one run.
-A query descends to its longest matches in all trees and then ascends in all
-trees at once, a bit at a time, until the runs together hold enough
-candidates. How many there are at each depth comes from a histogram of short
-prefixes of bounded size, so the ascent needs no search; the runs lie in
-sorted blocks, each of which scores the queries whose runs reach into it.
-
-Vectors are scored by inner product. They are extended by one coordinate to
-equal length, which leaves the order of inner products with a query as it is
-and makes it the order of angles that the hash strings see.
+The vectors are dealt to shards of bounded size, each with a forest of its own.
+A tree gives every vector of its shard a long hash string (signs of
+projections, orthogonal in groups) and keeps the strings in a sorted array, so
+vectors that share a prefix are one run. A query descends in every tree to the
+longest prefix that the tree holds, of whatever length, and then ascends in
+all trees at once, from the longest match of all to the depth at which the runs
+together hold enough candidates; at the root that is every vector. The
+forest lies in the memory of the task that searches its shard: what is shipped
+is each vector once for each chunk of queries, and no hash string.
+
+Vectors are scored by inner product. For hashing they are extended by one
+coordinate to equal length, which leaves the order of inner products with a
+query as it is and makes it the order of angles that the hash strings see.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
 
-TREES = 32
-#: Bits of a hash string, and of the prefixes that are counted.
-BITS, PREFIX = 48, 12
-#: Candidates the runs of a query hold together at least: a share of all vectors, and a number.
-SHARE, LEAST = 0.7, 2000
-#: Vectors in a block, about.
-BLOCK = 4096
+TREES, BITS = 128, 48
+#: Candidates that the runs of a query hold together at least in a shard: a share of its vectors, and a number.
+SHARE, LEAST = 0.4, 256
+#: Vectors in a shard and queries in a chunk, about: what one task holds.
+SHARD, CHUNK = 8192, 4096
 SEED = 17
+#: Queries that are scored at a time.
+STEP = 64
 
 
 def usable(rows: DataFrame) -> DataFrame:
-    """(vec_id, v): vectors as doubles, less those that are null, zero or hold a null, NaN or infinity, and rows without id."""
-    v = F.transform("embedding", lambda x: x.cast("double"))
+    """(vec_id, v): vectors as they are, less those that are null, zero or hold a null, NaN or infinity, and rows without id."""
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = rows.filter("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
+    rows = rows.filter("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"))
     return rows.filter(fine & F.exists("v", lambda x: x != 0))
 
 
-def _planes(dim: int, trees: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((dim + 1, trees * BITS))
-
-
-def hash_strings(x: np.ndarray, longest: float, planes: np.ndarray) -> np.ndarray:
-    """(rows, trees) hash strings as integers, for vectors extended to the length ``longest``; None for queries, which get a 0."""
-    square = (x * x).sum(axis=1)
-    more = np.sqrt(np.maximum(longest * longest - square, 0)) if longest else np.zeros(len(x))
-    bits = np.concatenate([x, more[:, None]], axis=1) @ planes > 0
-    out = np.zeros((len(x), planes.shape[1] // BITS), np.int64)
-    for k in range(BITS):
-        out = out << 1 | bits[:, k::BITS]
-    return out
-
-
-def _hashed(vectors: DataFrame, id_name: str, longest: float, dim: int, trees: int, seed: int) -> DataFrame:
-    """A row for each vector and tree: id, tree, h, v."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = _planes(dim, trees, seed)
-        for batch in batches:
-            for at in range(0, len(batch), 1024):
-                part = batch.slice(at, 1024)
-                x = np.array(part.column(1).to_pylist(), np.float64).reshape(-1, dim)
-                h = hash_strings(x, longest, planes)
-                yield pa.record_batch([part.column(0), pa.array(list(h), pa.list_(pa.int64()))], names=[id_name, "h"])
-
-    hashed = vectors.select(F.col("id").alias(id_name), "v").mapInArrow(run, f"{id_name} long, h array<long>")
-    return hashed.select(id_name, F.posexplode("h").alias("tree", "h"))
-
-
-def _blocks(counts: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first block, number of blocks) of each (tree, prefix): neighbours share a block, a large prefix has several."""
-    first, several = np.zeros(counts.shape, np.int64), np.ones(counts.shape, np.int64)
-    for t, row in enumerate(counts):
-        no = held = 0
-        for p, n in enumerate(row):
-            if n > block:
-                no += held > 0
-                first[t, p], several[t, p] = no, -(-n // block)
-                no, held = no + several[t, p], 0
-                continue
-            if held + n > block:
-                no, held = no + 1, 0
-            first[t, p] = no
-            held += n
-    return first, several
-
-
-def depths(counts: np.ndarray, prefixes: np.ndarray, want: float) -> np.ndarray:
-    """For each query (its prefix in each tree) the depth at which all trees' runs together hold ``want`` vectors first, from the deepest up."""
-    out = np.zeros(len(prefixes), np.int64)
-    open_ = np.ones(len(prefixes), bool)
-    trees = np.arange(counts.shape[0])
-    level = counts
-    for depth in range(PREFIX, -1, -1):
-        total = level[trees[None, :], prefixes >> (PREFIX - depth)].sum(axis=1)
-        done = open_ & (total >= want)
-        out[done] = depth
-        open_ &= ~done
-        level = level.reshape(level.shape[0], -1, 2).sum(axis=2) if depth else level
-    return out
-
-
-def nearest(index: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES, share: float = SHARE, least: int = LEAST, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+# ---- the forest of a shard ------------------------------------------------------------
+
+
+def planes(dim: int, trees: int, seed: int) -> np.ndarray:
+    """Directions (dim + 1, trees * BITS), orthogonal in groups of dim + 1."""
+    rng, n, out = np.random.default_rng(seed), trees * BITS, []
+    while n > 0:
+        out.append(np.linalg.qr(rng.standard_normal((dim + 1, dim + 1)))[0][:, :n])
+        n -= dim + 1
+    return np.concatenate(out, axis=1).astype(np.float32)
+
+
+def hash_strings(x: np.ndarray, longest: float, directions: np.ndarray) -> np.ndarray:
+    """(rows, trees): the tree's number above the BITS of its hash string, for vectors extended to the length ``longest``; 0 for queries, which get a 0."""
+    trees, out = directions.shape[1] // BITS, []
+    for at in range(0, len(x), 512):
+        part = x[at : at + 512]
+        size = np.sqrt((part * part).sum(axis=1))
+        more = np.sqrt(np.maximum(longest * longest - size * size, 0))
+        scale = longest or np.maximum(size, np.finfo(float).tiny)[:, None]
+        bits = np.concatenate([part, more[:, None]], axis=1) / scale
+        bits = (bits.astype(np.float32) @ directions > 0).reshape(len(part), trees, BITS)
+        packed = np.packbits(bits, axis=2).astype(np.int64)
+        h = np.zeros(packed.shape[:2], np.int64)
+        for k in range(packed.shape[2]):
+            h = h << 8 | packed[:, :, k]
+        out.append(h)
+    return np.concatenate(out) | np.arange(trees, dtype=np.int64) << BITS
+
+
+class Forest:
+    """The sorted hash strings of all trees, one tree after the other, and the vectors they belong to."""
+
+    def __init__(self, x: np.ndarray, trees: int = TREES, seed: int = SEED):
+        self.n, self.trees, self.directions = len(x), trees, planes(x.shape[1], trees, seed)
+        h = hash_strings(x, float(np.sqrt((x * x).sum(axis=1).max())), self.directions)
+        order = np.argsort(h, axis=0, kind="stable")
+        self.keys = np.take_along_axis(h, order, axis=0).T.reshape(-1)
+        self.vector = order.T.reshape(-1).astype(np.int32)
+
+    def descend(self, h: np.ndarray) -> np.ndarray:
+        """For each query and tree the length of the longest prefix that the tree holds."""
+        at, start = np.searchsorted(self.keys, h), np.arange(self.trees) * self.n
+        before, after = self.keys[np.maximum(at - 1, start)], self.keys[np.minimum(at, start + self.n - 1)]
+        return BITS - np.frexp(np.minimum(h ^ before, h ^ after).astype(np.float64))[1]
+
+    def at_depth(self, h: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(low, high) of the runs that share ``depth`` bits with each query."""
+        up = (BITS - depth)[:, None]
+        prefix = h >> up
+        return np.searchsorted(self.keys, prefix << up), np.searchsorted(self.keys, prefix + 1 << up)
+
+    def runs(self, q: np.ndarray, want: float) -> tuple[np.ndarray, np.ndarray]:
+        """(low, high) of each query's run in each tree, after the ascent to ``want`` candidates in all runs together.
+
+        Runs only grow on the way up, so the depth at which the ascent ends is found by halving the way.
+        """
+        h = hash_strings(q, 0.0, self.directions)
+        root, deepest = np.zeros(len(q), np.int64), self.descend(h).max(axis=1).astype(np.int64)
+        while (rising := np.flatnonzero(root < deepest)).size:
+            middle = (root[rising] + deepest[rising] + 1) // 2
+            low, high = self.at_depth(h[rising], middle)
+            enough = (high - low).sum(axis=1) >= want
+            root[rising[enough]] = middle[enough]
+            deepest[rising[~enough]] = middle[~enough] - 1
+        return self.at_depth(h, root)
+
+    def candidates(self, q: np.ndarray, want: float) -> np.ndarray:
+        """(queries, vectors): whether a vector is in one of the query's runs."""
+        low, high = self.runs(q, want)
+        n = (high - low).reshape(-1)
+        at = np.repeat(low.reshape(-1) - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        found = np.zeros((len(q), self.n), bool)
+        found[np.repeat(np.arange(len(q)), (high - low).sum(axis=1)), self.vector[at]] = True
+        return found
+
+
+def best_of(forest: Forest, x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int, want: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's row, id, score) of the ``k`` best candidates of each query; equal scores by id.
+
+    Scores are summed one way, coordinate by coordinate, so equal vectors of
+    products tie wherever they are scored. The quick products that choose what
+    is scored so may differ in their last bits: all that they leave in doubt is kept.
+    """
+    found = forest.candidates(q, want)
+    if found.mean() > 0.1:  # one matrix product is less work than fetching so many vectors one by one
+        rough = np.where(found, q @ x.T, -np.inf)
+    else:
+        r, c = np.nonzero(found)
+        rough = np.full(found.shape, -np.inf)
+        rough[r, c] = np.einsum("ij,ij->i", q[r], x[c])
+    if rough.shape[1] > k:
+        doubt = 1e-12 * x.shape[1] * np.sqrt((q * q).sum(axis=1)) * np.sqrt((x * x).sum(axis=1).max())
+        edge = np.partition(rough, rough.shape[1] - k, axis=1)[:, rough.shape[1] - k]
+        found &= rough >= (edge - doubt)[:, None]
+    r, c = np.nonzero(found)
+    score = np.zeros(len(r))
+    for j in range(x.shape[1]):
+        score += x[c, j] * q[r, j]
+    order = np.lexsort((ids[c], -score, r))
+    r, c, score = r[order], c[order], score[order]
+    place = np.arange(len(r)) - np.searchsorted(r, r)
+    return r[place < k], ids[c[place < k]], score[place < k]
+
+
+# ---- all shards -----------------------------------------------------------------------
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1)
+
+
+def nearest(index: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES, share: float = SHARE, least: int = LEAST, shard: int = SHARD, chunk: int = CHUNK, seed: int = SEED) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found for each query, itself left out.
 
     ``index`` and ``queries`` have vec_id and embedding. Ties go to the smaller
-    vec_id; scores are inner products in double precision. Equal vectors are
+    vec_id; scores are inner products in double precision. Equal vectors (by
+    128 bits of hash) are
     indexed once with their k + 1 smallest ids, which is all that can be among
     k neighbours, so copies never crowd a run. Rows that :func:`usable` drops
     take no part; repeated ids with equal vectors count once. No usable rows
     give none. Vectors of another length than the first's raise ValueError.
     """
     spark = index.sparkSession
-    shape = "query_id long, rank int, vec_id long, score double"
-    rows = usable(index)
-    order = Window.partitionBy("v").orderBy("vec_id")
-    members = rows.distinct().withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1)
-    members = members.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("members"))
-    members = materialize(members.select(F.col("members")[0].alias("id"), "v", "members"), "vectors")
+    rows = usable(index).select("vec_id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"))
+    # Which ids share a vector is found on hashes, without shipping the vectors.
+    order = Window.partitionBy("h1", "h2").orderBy("vec_id")
+    same = rows.select("vec_id", "h1", "h2").distinct().withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1)
+    same = same.groupBy("h1", "h2").agg(F.sort_array(F.collect_list("vec_id")).alias("members"))
+    same = materialize(same.select(F.col("members")[0].alias("id"), "h1", "h2", "members"), "members")
+    n = same.count()
     asked = materialize(usable(queries).distinct().select(F.col("vec_id").alias("id"), "v"), "queries")
-    about = members.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), F.min(F.size("v")), F.max(F.size("v"))).first()
-    n, square, dim, widest = about
-    if not n or asked.isEmpty():
-        return spark.createDataFrame([], shape)
-    if dim != widest:
-        raise ValueError("vectors of different lengths")
-    longest = float(np.sqrt(square))
-
-    entries = materialize(_hashed(members, "id", longest, dim, trees, seed), "entries")
-    prefix = F.shiftright("h", BITS - PREFIX).cast("int")
-    # At most trees * 2**PREFIX counts reach the driver, whatever the number of vectors.
-    counts = np.zeros((trees, 1 << PREFIX), np.int64)
-    for t, p, c in entries.groupBy("tree", prefix.alias("p")).count().collect():
-        counts[t, p] = c
-    want = min(float(n) * trees, max(share * n, float(least)))
-    first, several = _blocks(counts, block)
-    places = spark.sparkContext.broadcast((counts, first, several))
-
-    def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The blocks that a query's runs reach into, with the bounds of the run."""
-        counts, first, several = places.value
-        planes = _planes(dim, trees, seed)
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                x = np.array(part.column(1).to_pylist(), np.float64).reshape(-1, dim)
-                h = hash_strings(x, 0.0, planes)
-                depth = depths(counts, h >> (BITS - PREFIX), want)
-                out = []
-                for i, d in enumerate(depth):
-                    low = (h[i] >> (BITS - d)) << (BITS - d)
-                    high = low + (1 << int(BITS - d)) - 1
-                    for t in range(trees):
-                        a, b = low[t] >> (BITS - PREFIX), high[t] >> (BITS - PREFIX)
-                        out += [(i, t, int(q), int(low[t]), int(high[t])) for q in range(first[t, a], first[t, b] + several[t, b])]
-                i, t, q, low, high = (np.array(c, np.int64) for c in zip(*out, strict=True))
-                yield pa.record_batch([part.column(0).take(pa.array(i)), pa.array(t.astype(np.int32)), pa.array(q), pa.array(low), pa.array(high), part.column(1).take(pa.array(i))], names=["query", "tree", "block", "low", "high", "v"])
-
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The block of each entry."""
-        _, first, several = places.value
-        for batch in batches:
-            ids, tree, h = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            p = h >> (BITS - PREFIX)
-            no = first[tree, p] + (ids * 0x9E3779B1 >> 8) % several[tree, p]
-            yield pa.record_batch([*batch.columns, pa.array(no)], names=["id", "tree", "h", "block"])
-
-    placed = entries.select("id", "tree", "h").mapInArrow(settle, "id long, tree int, h long, block long")
-    placed = placed.join(members.select("id", "v"), "id")
-    visits = asked.mapInArrow(descend, "query long, tree int, block long, low long, high long, v array<double>")
-
-    def search(run: pd.DataFrame, seeking: pd.DataFrame) -> pd.DataFrame:
-        """Each query's best of the part of its run that lies in this block."""
-        out = {"query": [], "id": [], "score": []}
-        if len(run) and len(seeking):
-            run = run.sort_values(["h", "id"])
-            h, ids, x = run["h"].to_numpy(), run["id"].to_numpy(), np.stack(run["v"].to_list())
-            lows, highs = np.searchsorted(h, seeking["low"], "left"), np.searchsorted(h, seeking["high"], "right")
-            q = np.stack(seeking["v"].to_list())
-            for at in range(0, len(q), 256):
-                s = q[at : at + 256] @ x.T
-                for i, (query, lo, hi) in enumerate(zip(seeking["query"].iloc[at : at + 256], lows[at : at + 256], highs[at : at + 256], strict=True)):
-                    part = s[i, lo:hi]
-                    best = np.argpartition(-part, k)[: k + 1] if hi - lo > k + 1 else np.arange(hi - lo)
-                    out["query"].append(np.full(len(best), query))
-                    out["id"].append(ids[lo:hi][best])
-                    out["score"].append(part[best])
-        return pd.DataFrame({c: np.concatenate(x) if x else [] for c, x in out.items()})
-
-    found = placed.groupBy("tree", "block").cogroup(visits.groupBy("tree", "block")).applyInPandas(search, "query long, id long, score double")
+    about = asked.agg(F.count("*"), F.min(F.size("v")), F.max(F.size("v"))).first()
+    if not n or not about[0]:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    shards, chunks, dim = -(-n // shard), -(-about[0] // chunk), about[1]
+
+    first = same.select(F.col("id").alias("vec_id"), "h1", "h2")
+    vectors = rows.join(first, ["vec_id", "h1", "h2"]).dropDuplicates(["vec_id", "h1", "h2"]).select(F.col("vec_id").alias("id"), "v")
+    vectors = vectors.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    asking = asked.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+
+    def search(held: pa.Table, seeking: pa.Table) -> pa.Table:
+        """Each query's best of this shard."""
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        if len(held) and len(seeking):
+            for column in (held["v"], seeking["v"]):
+                if set(np.diff(column.combine_chunks().offsets.to_numpy()).tolist()) != {dim}:
+                    raise ValueError("vectors of different lengths")
+            ids, x = held["id"].to_numpy(), _matrix(held["v"])
+            asks, q = seeking["id"].to_numpy(), _matrix(seeking["v"])
+            forest = Forest(x, trees, seed)
+            for at in range(0, len(q), STEP):
+                r, found, score = best_of(forest, x, ids, q[at : at + STEP], k + 1, max(share * len(x), least, k + 1))
+                out.append((asks[at : at + STEP][r], found, score))
+        query, found, score = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pa.table({"query": query, "id": found, "score": score})
+
+    found = vectors.groupBy("shard", "chunk").cogroup(asking.groupBy("shard", "chunk")).applyInArrow(search, "query long, id long, score double")
     found = found.groupBy("query", "id").agg(F.max("score").alias("score"))
-    # Sums of other lengths differ in their last bits: a few more are kept and scored again one way.
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    found = found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 4).select("query", "id")
-    found = found.join(members, "id").join(asked.select(F.col("id").alias("query"), F.col("v").alias("q")), "query")
-    product = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    found = found.select(F.col("query").alias("query_id"), F.explode("members").alias("vec_id"), product.alias("score")).filter("vec_id <> query_id")
+    found = found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1).join(same.select("id", "members"), "id")
+    found = found.select(F.col("query").alias("query_id"), F.explode("members").alias("vec_id"), "score").filter("vec_id <> query_id")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # an id may have several vectors
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return found.select("query_id", "rank", "vec_id", "score")

@@ -223,7 +223,7 @@ def test_forest_against_brute_force(spark):
     rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {}
-    for r in hash_forest.nearest(df, df.filter("vec_id % 20 = 0"), k=10, least=100, block=64).collect():
+    for r in hash_forest.nearest(df, df.filter("vec_id % 20 = 0"), k=10, least=100, shard=150, chunk=9).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     hits = 0
     for q in range(0, 600, 20):
@@ -245,3 +245,52 @@ def test_forest_odd_rows(spark):
     got = sorted(map(tuple, hash_forest.nearest(df, df.filter("vec_id % 20 = 0")).collect()))
     assert got == [(0, 1, 6, 0.5), (0, 2, 20, 0.0), (20, 1, 6, 1.0), (20, 2, 0, 0.0)]
     assert hash_forest.nearest(df.limit(0), df.limit(0)).collect() == []
+
+
+def test_forest_ties_go_to_the_smaller_id(spark):
+    """One query, and unit vectors that all have the same product with it."""
+    rows = [(0, [1.0] * 32)] + [(i, [1.0 if j == (i * 7) % 32 else 0.0 for j in range(31)] + [0.0 if (i * 7) % 32 < 31 else 1.0]) for i in range(1, 33)]
+    rows = [(i, v, "x", 0.1) for i, v in rows]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, members string, score double")
+    got = hash_forest.nearest(df, df.filter("vec_id = 0"), k=7, least=33, shard=10).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(i, 1.0) for i in range(1, 8)]
+
+
+def test_forest_descends_to_the_longest_prefix_and_ascends():
+    rng = np.random.default_rng(3)
+    x, q = rng.standard_normal((300, 12)), rng.standard_normal((9, 12))
+    forest = hash_forest.Forest(x, trees=6)
+    text = lambda h: f"{int(h) & (1 << hash_forest.BITS) - 1:0{hash_forest.BITS}b}"
+    longest = float(np.sqrt((x * x).sum(axis=1).max()))
+    held = hash_forest.hash_strings(x, longest, forest.directions)
+    asks = hash_forest.hash_strings(q, 0.0, forest.directions)
+
+    def common(a, b):
+        return next((i for i, (s, t) in enumerate(zip(text(a), text(b), strict=True)) if s != t), hash_forest.BITS)
+
+    lengths = np.array([[[common(asks[i, t], held[j, t]) for j in range(300)] for t in range(6)] for i in range(9)])
+    assert (forest.descend(asks) == lengths.max(axis=2)).all()
+    for want in (1, 40, 500, 1800):
+        found = forest.candidates(q, want)
+        for i in range(9):
+            depth = next(d for d in range(hash_forest.BITS, -1, -1) if (lengths[i] >= d).sum() >= want)
+            assert (found[i] == (lengths[i] >= depth).any(axis=0)).all()
+
+
+def test_forest_recall_on_ten_thousand(spark):
+    """Unit vectors without any structure, the hardest case: recall and the share of pairs scored, with the default forest."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((10_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {}
+    for r in hash_forest.nearest(df, df.filter("vec_id % 200 = 0")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for i in range(0, 10_000, 200):
+        s = x @ x[i]
+        s[i] = -np.inf
+        hits += len(set(np.argsort(-s)[:20].tolist()) & got[i])
+    assert hits >= 0.9 * 20 * 50
+    scored = hash_forest.Forest(x[:8192]).candidates(x[::200], 0.4 * 8192).mean()
+    assert scored <= 0.45
