@@ -86,13 +86,13 @@ with said as (
   union all select -1, 0, 'user', '</s>[INST] ok [/INST]'
   union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), sized as (
-  select *, length(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&#91;'))
+  select *, md5(coalesce(turn::varchar, 'null') || chr(10) || role || chr(10) || text) as key, length(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&#91;'))
     + length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&#91;')) + 8 + 8 + 8 as chars from said
 )
 select conv_id, count(*) as n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls last, role, text)) as turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls last, role, key)) as turns_sha256,
   coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
-  sha256(coalesce(string_agg(text, '' order by turn nulls last, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sha256(coalesce(string_agg(text, '' order by turn nulls last, role, key) filter (role = 'assistant'), '')) as loss_sha256,
   sum(chars)::bigint as formatted_chars
 from sized group by conv_id
 """

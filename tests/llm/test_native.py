@@ -112,7 +112,7 @@ def test_long_chain_and_circle(spark):
     assert [t["text"] for t in got["turns"]] == [str(i) for i in range(37)]
     circle = [(1, 1, 2, "user", "a", 0.0), (1, 2, 1, "user", "b", 0.0)]
     with pytest.raises(ValueError):
-        reply_trees.paths(spark.createDataFrame(circle, TREE))
+        reply_trees.best_paths(spark.createDataFrame(circle, TREE))
 
 
 def test_conversations(spark):
@@ -139,3 +139,69 @@ def test_masked_and_generalised_lines_are_one_template(docs_of):
 def test_copies_of_lines_of_digits_go(docs_of):
     docs = docs_of([(1, "12 34 56 total\nown"), (2, "12 34  56 total\nother"), (3, "12 34 57 total"), (4, "12 34 56 total\n12 34 56 total")])
     assert texts(templates.drop_recurring_lines(docs)) == {1: "12 34 56 total\nown", 2: "other", 3: "12 34 57 total", 4: ""}
+
+
+def test_line_dedup_may_take_the_first_too(docs_of):
+    docs = docs_of([(1, "a b\nown one"), (2, "a b"), (3, "c d")])
+    assert texts(templates.drop_recurring_lines(docs, keep_first=False)) == {1: "own one", 2: "", 3: "c d"}
+
+
+def test_one_text_of_many_lines_takes_seconds(docs_of):
+    """Work is linear in the lines of a text: 50,000 lines of 1 MB in one row."""
+    import time
+
+    long = "\n".join(f"line {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)} says" for i in range(50_000))
+    docs = docs_of([(1, long), (2, long)])
+    began = time.time()
+    got = texts(templates.drop_recurring_lines(docs))
+    assert got[1] == long and got[2] == "" and time.time() - began < 60
+
+
+def test_mix_counts_equal_rows_by_source(docs_of):
+    """The same (doc_id, text) in several sources: each source gives what the mix takes of it."""
+    rows = [(i, f"w{i} " * (1 + i % 7), s) for i in range(60) for s in ("a", "b", None)] + [(i, f"w{i} " * (1 + i % 7), "a") for i in range(20)]
+    docs = docs_of(rows)
+    taken = {}
+    for r in mixing.mix(docs).collect():
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+    found = mixing.mixed_documents(docs).groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()
+    assert {r["source"]: r["n"] for r in found} == taken and taken["a"] < taken["b"]
+
+
+def test_branch_ties_and_long_texts(spark):
+    """Tied branches go to the smaller leaf, one of them with a very long text; all branches where asked for."""
+    long = "x<[&" * 300_000
+    rows = [(1, 1, None, "user", "q", 0.5), (1, 5, 1, "assistant", long, 1.0), (1, 3, 1, "assistant", "b", 1.0), (1, 4, 3, "user", "c", -1.0), (1, 6, 3, "assistant", "d", 0.0)]
+    nodes = spark.createDataFrame(rows, TREE)
+    got = {r["leaf"]: r for r in reply_trees.read_back(reply_trees.format_trees(nodes, branches=2)).collect()}
+    assert set(got) == {5, 6} and got[5]["loss_text"] == long and [t["text"] for t in got[6]["turns"]] == ["q", "b", "d"]
+    assert [r["leaf"] for r in reply_trees.format_trees(nodes).collect()] == [5]
+    assert {r["leaf"] for r in reply_trees.format_trees(nodes, branches=None).collect()} == {4, 5, 6}
+
+
+def test_paths_against_brute_force(spark):
+    import random
+
+    rng = random.Random(12)
+    rows, parents = [], {}
+    for tree in range(12):
+        for node in range(rng.randint(1, 40)):
+            up = rng.choice([None, *range(node)]) if node else None
+            parents[(tree, node)] = up
+            rows.append((tree, node, up, "user", "t", rng.choice((0.0, 0.5, 1.0))))
+    scores = {(r[0], r[1]): r[5] for r in rows}
+    inner = {(t, p) for (t, _), p in parents.items() if p is not None}
+    want = set()
+    for tree in range(12):
+        ways = []
+        for t, leaf in parents:
+            if t == tree and (t, leaf) not in inner:
+                way, at = [], leaf
+                while at is not None:
+                    way.append(at)
+                    at = parents[(t, at)]
+                ways.append((-sum(scores[(t, n)] for n in way), leaf, way))
+        for _, leaf, way in sorted(ways)[:2]:
+            want |= {(tree, leaf, n, i) for i, n in enumerate(way)}
+    got = reply_trees.best_paths(spark.createDataFrame(rows, TREE), branches=2).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
