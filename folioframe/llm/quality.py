@@ -2,7 +2,7 @@
 
 Trusted positives are documents labelled good; all other text is unlabelled,
 a mixture of good and bad. With the share of good text (the class prior)
-estimated, the risk of a scorer on good and bad text can be written by
+estimated from the scores of both, the risk of a scorer on good and bad text can be written by
 positives and unlabelled text alone: prior * R_p(+) + max(0, R_u(-) - prior *
 R_p(-)). The second term estimates a risk and so can't be negative; where a
 batch makes it so, the step goes the other way. The scorer is a small network
@@ -97,9 +97,39 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(g.astype(np.float64), -500, 500)))
 
 
-def class_prior(positives: int, negatives: int) -> float:
-    """Share of good text, from the labelled rows of the training folds; it stays off 0 and 1."""
-    return float(np.clip((positives + 1) / (positives + negatives + 2), 0.02, 0.98))
+def held_out_scores(positive: np.ndarray, unlabelled: np.ndarray, parts: int = 3, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of a ridge regression of positives against unlabelled rows, each row scored by a fit without its part."""
+    rng = np.random.default_rng(seed)
+    mean, scale = unlabelled.mean(axis=0), unlabelled.std(axis=0) + 1e-2
+    p, u = (np.concatenate([np.clip((x - mean) / scale, -6, 6), np.ones((len(x), 1))], axis=1) for x in (positive, unlabelled))
+    of_p, of_u = rng.permutation(len(p)) % parts, rng.permutation(len(u)) % parts
+    found_p, found_u = np.zeros(len(p)), np.zeros(len(u))
+    for k in range(parts):
+        a, b = p[of_p != k], u[of_u != k]
+        a, b = (a if len(a) else p), (b if len(b) else u)
+        square = a.T @ a / len(a) + b.T @ b / len(b) + 0.05 * np.eye(p.shape[1])
+        w = np.linalg.solve(square, a.mean(axis=0) - b.mean(axis=0))
+        found_p[of_p == k], found_u[of_u == k] = p[of_p == k] @ w, u[of_u == k] @ w
+    return found_p, found_u
+
+
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, least_share: float = 0.1) -> float:
+    """Share of good text among the unlabelled, from positives and unlabelled text alone.
+
+    Above any score lies the share q of the unlabelled and the share r of the
+    positives; the good among the unlabelled are no more than all of them, so
+    prior * r <= q and q / r bounds the prior, closely where few bad ones score so
+    high. The smallest such bound, with an allowance for the spread of small
+    counts and only where r is at least ``least_share``, is the estimate. It stays off 0 and 1.
+    """
+    if len(positive) < 2 or len(unlabelled) < 2:
+        return 0.5
+    p, u = map(np.sort, held_out_scores(positive.astype(np.float64), unlabelled.astype(np.float64)))
+    edges = np.unique(np.quantile(p, np.linspace(0, 1 - least_share, 200)))
+    r = 1 - np.searchsorted(p, edges) / len(p)
+    q = 1 - np.searchsorted(u, edges) / len(u)
+    spread = np.sqrt(q * (1 - q) / len(u)) + np.sqrt(r * (1 - r) / len(p))
+    return float(np.clip(np.min((q + spread) / r), 0.02, 0.98))
 
 
 def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 40, seed: int = 5) -> Model:
@@ -159,23 +189,21 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
 
     The first ``positives`` documents labelled good and the first
     ``unlabelled`` of all, by hash of the id: a bounded number of feature
-    vectors reaches the driver. The class prior comes from the labels' counts.
+    vectors reaches the driver. Rows labelled bad play no part, not in the class prior either.
     """
-    known = labels.filter((fold(F.col("doc_id"), 3) != 1) & F.col("quality").isNotNull())
-    known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    n = {r["quality"]: r["count"] for r in known.filter("quality in (0, 1)").groupBy("quality").count().collect()}
-    prior = class_prior(n.get(1, 0), n.get(0, 0))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    good = known.filter("quality = 1").select("doc_id").orderBy(*order).limit(positives).withColumn("good", F.lit(True))
+    good = labels.filter((fold(F.col("doc_id"), 3) != 1) & F.col("quality").isNotNull())
+    good = good.groupBy("doc_id").agg(F.max("quality").alias("quality")).filter("quality = 1").select("doc_id")
+    good = good.orderBy(*order).limit(positives).withColumn("good", F.lit(True))
     ids = docs.select("doc_id").filter(fold(F.col("doc_id"), 3) != 1).distinct()
     text = ids.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(unlabelled)
     picked = good.unionByName(text.withColumn("good", F.lit(False)))
-    chosen = docs.select("doc_id", "text").join(F.broadcast(picked.select("doc_id").distinct()), "doc_id")
-    rows = _features(chosen.groupBy("doc_id").agg(F.min("text").alias("text"))).collect()
-    x = {r["doc_id"]: np.array(r["x"], np.float32) for r in rows}
-    marks = sorted((r["doc_id"], r["good"]) for r in picked.collect() if r["doc_id"] in x)
-    p, u = ([x[i] for i, good in marks if good == want] for want in (True, False))
-    return train(np.array(p), np.array(u), prior) if p and u else None
+    marks = sorted((r["doc_id"], r["good"]) for r in picked.collect())
+    chosen = docs.sparkSession.createDataFrame(sorted({(i,) for i, _ in marks}), docs.select("doc_id").schema)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    x = {r["doc_id"]: np.array(r["x"], np.float32) for r in _features(rows.groupBy("doc_id").agg(F.min("text").alias("text"))).collect()}
+    p, u = (np.array([x[i] for i, good in marks if good == want and i in x]) for want in (True, False))
+    return train(p, u, class_prior(p, u)) if len(p) and len(u) else None
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
