@@ -25,8 +25,9 @@ UNKNOWN = "und"
 WINDOW = 192
 WIDTHS = (2, 3, 4)
 FILTERS = 16
-#: Bounds of the training sample: labelled documents a language, languages (the most frequent), windows a document.
-DOCS_A_LANGUAGE, LANGUAGES, WINDOWS_A_DOC = 300, 64, 3
+#: Bounds of the training sample: labelled documents a language, and windows a document. With many languages
+#: each has fewer documents, so that there are about SAMPLE in all, but no fewer than LEAST_DOCS: every language is learned.
+DOCS_A_LANGUAGE, WINDOWS_A_DOC, SAMPLE, LEAST_DOCS = 300, 3, 60_000, 10
 #: A document's language counts as known for filtering from this score on.
 LEAST_SCORE = 0.3
 
@@ -43,28 +44,26 @@ class Model:
     weight: np.ndarray  # (widths * FILTERS, languages)
     offset: np.ndarray  # (languages,)
 
+    def answers(self, windows: np.ndarray, f: np.ndarray) -> np.ndarray:
+        """(windows, places, FILTERS): the answers of the filters of one width at each place."""
+        reach = windows.shape[1] - len(f) + 1
+        z = f[0].take(windows[:, :reach], axis=0)
+        for k in range(1, len(f)):
+            z += f[k].take(windows[:, k : k + reach], axis=0)
+        return z
+
     def pooled(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Largest answer of each filter in each window, and its place."""
         best, place = [], []
         for f in self.filters:
-            width, reach = len(f), windows.shape[1] - len(f) + 1
-            z = f[0].take(windows[:, :reach], axis=0)
-            for k in range(1, width):
-                z += f[k].take(windows[:, k : k + reach], axis=0)
+            z = self.answers(windows, f)
             at = z.argmax(axis=1)
             place.append(at)
             best.append(np.take_along_axis(z, at[:, None, :], 1)[:, 0])
         return np.concatenate(best, axis=1), np.concatenate(place, axis=1)
 
     def peaks(self, windows: np.ndarray) -> np.ndarray:
-        best = []
-        for f in self.filters:
-            reach = windows.shape[1] - len(f) + 1
-            z = f[0].take(windows[:, :reach], axis=0)
-            for k in range(1, len(f)):
-                z += f[k].take(windows[:, k : k + reach], axis=0)
-            best.append(z.max(axis=1))
-        return np.concatenate(best, axis=1)
+        return np.concatenate([self.answers(windows, f).max(axis=1) for f in self.filters], axis=1)
 
     def logits(self, windows: np.ndarray, step: int = 64) -> np.ndarray:
         out = [np.maximum(self.peaks(windows[i : i + step]) + self.bias, 0) @ self.weight + self.offset for i in range(0, len(windows), step)]
@@ -148,18 +147,19 @@ def shares(model: Model, data: bytes) -> np.ndarray:
     return _softmax(total[None, :] / n)[0]
 
 
-def fit(docs: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE, languages: int = LANGUAGES) -> Model | None:
+def fit(docs: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE, sample: int = SAMPLE) -> Model | None:
     """Train on rows of ``docs`` with a language whose fold (crc32 of the id, modulo 4) is not 2; None if there are none.
 
-    The sample holds the first ``docs_a_language`` documents by hash of each of
-    the ``languages`` most frequent languages, and three windows of each text
-    at most: a bounded number of short strings on the driver.
+    Of every language the sample holds the first ``docs_a_language`` documents by hash
+    (fewer where there are so many languages that they would exceed ``sample`` in all),
+    and three windows of each text at most: a bounded number of short strings for each language on the driver.
     """
     rows = docs.filter((fold(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    named = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
+    languages = rows.agg(F.count_distinct("lang")).first()[0]
+    each = min(docs_a_language, max(LEAST_DOCS, sample // max(1, languages)))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = rows.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= docs_a_language)
-    picked = picked.join(F.broadcast(named), "lang", "left_semi").select("doc_id", F.col("lang").alias("__lang"))
+    picked = rows.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= each)
+    picked = picked.select("doc_id", F.col("lang").alias("__lang"))
     free = F.greatest(F.lit(0), F.length("text") - WINDOW)
     cuts = [F.substring("text", (free * at).cast("int") + 1, F.lit(WINDOW)) for at in (0, 0.5, 1)][:WINDOWS_A_DOC]
     windows = rows.join(F.broadcast(picked), "doc_id").filter(F.col("lang") == F.col("__lang"))
