@@ -3,16 +3,15 @@
 An HTML document is parsed to one ordered array of structs: text runs and
 media references, each with its position, a reference with its caption. Media
 lie in a table of their own under the SHA-256 of the stored bytes; references
-find them by an equi-join on that digest, so a payload shared by many
-documents is described once, and positions and captions stay with the
-reference. Payloads are stored as PNG images of 8-bit RGB samples, 64 pixels
+find them by an equi-join on that digest, which carries what the bytes hold and
+not the bytes; a task describes a payload that it has met before only once, and
+positions and captions stay with the reference. Payloads are stored as PNG images of 8-bit RGB samples, 64 pixels
 (192 bytes) a row, without loss.
 """
 
 from __future__ import annotations
 
 import hashlib
-import html
 import struct
 import zlib
 from collections.abc import Iterator
@@ -20,7 +19,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -28,6 +27,8 @@ from .common import materialize
 #: Bytes a payload is a multiple of: a row of 64 RGB pixels.
 ROW = 192
 LEVEL = 1
+#: References on a page, and digests that a task remembers.
+REFERENCES, REMEMBERED = 4, 100_000
 SCHEME = "sha256:"
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
@@ -176,10 +177,10 @@ def resolved(seqs: DataFrame, key: str, media: DataFrame) -> DataFrame:
     """A row for each item of each sequence: key, pos, kind, text, ref, caption, and the columns of ``media`` by ref = digest.
 
     ``media`` has one row a digest. References to nothing keep nulls, so
-    positions and captions stay aligned whatever is found.
+    positions and captions stay aligned whatever is found. Columns of ``media`` with the names of items' columns are left out.
     """
     items = seqs.select(key, F.explode("seq").alias("i")).select(key, "i.*")
-    about = media.withColumnRenamed("digest", "ref")
+    about = media.select(F.col("digest").alias("ref"), *[c for c in media.columns if c not in ("digest", *items.columns)])
     return items.join(about, "ref", "left")
 
 
@@ -207,12 +208,18 @@ FACTS = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 lo
 
 
 def described(stored: DataFrame) -> DataFrame:
-    """One row a digest with what its stored bytes hold, read back and decoded."""
+    """One row a digest with what its stored bytes hold, read back and decoded where they lie."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[str] = set()  # what this task has described already; REMEMBERED at most
         for batch in batches:
             rows = []
             for digest, media in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if digest in known:
+                    continue
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                known.add(digest)
                 data = media.as_py()
                 samples = from_png(data)
                 payload = samples.tobytes()
@@ -227,27 +234,35 @@ def described(stored: DataFrame) -> DataFrame:
     return facts.groupBy("digest").agg(*[F.min(c).alias(c) for c in names])
 
 
-def page_of(digest, caption) -> F.Column:
-    """A small HTML page with one captioned figure of the given digest."""
-    return F.concat(F.lit('<article><p>'), caption, F.lit('</p><figure><img src="'), digest, F.lit('"><figcaption>'), caption, F.lit("</figcaption></figure></article>"))
+def _title(doc: Column) -> Column:
+    return F.concat(F.lit("Document "), F.coalesce(doc["doc_id"].cast("string"), F.lit("without id")), F.lit(" of "), doc["n_bytes"].cast("string"), F.lit(" bytes"))
+
+
+def pages_of(stored: DataFrame) -> DataFrame:
+    """(docs, html): pages of REFERENCES stored documents each, in the order in which they are stored.
+
+    A page has a paragraph and a captioned figure for each of its documents, which docs lists in the same order.
+    """
+    place = stored.select("doc_id", "n_bytes", "digest", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    pages = place.groupBy("file", F.floor(F.col("row") / REFERENCES).alias("page"))
+    pages = pages.agg(F.sort_array(F.collect_list(F.struct("row", "doc_id", "n_bytes", "digest"))).alias("docs"))
+    figure = lambda d: F.concat(
+        F.lit("<p>Text of "), _title(d), F.lit('</p><figure><img src="'), d["digest"], F.lit('"><figcaption>'), _title(d), F.lit("</figcaption></figure>")
+    )
+    return pages.select("docs", F.concat(F.lit("<article>"), F.array_join(F.transform("docs", figure), ""), F.lit("</article>")).alias("html"))
 
 
 def documents_as_media(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, pos, caption).
 
-    Each whole text becomes an image in the store and a page whose figure
-    refers to it by digest; the page is parsed and its reference resolved. Null
+    Each whole text becomes an image in the store; pages refer to several of
+    them by digest, between paragraphs. The pages are parsed and the references resolved. Null
     texts are empty and become one row of spaces. Equal texts share a digest
-    and all values; equal rows give equal rows; a null doc_id stays null.
+    and all values but pos and caption; equal rows give equal rows but for pos; a null doc_id stays null.
     """
     stored = store_texts(docs)
-    title = F.concat(F.lit("Document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("without id")), F.lit(" of "), F.col("n_bytes").cast("string"), F.lit(" bytes"))
-    pages = stored.select(F.struct("doc_id", "n_bytes").alias("page"), page_of(F.col("digest"), title).alias("html"))
-    items = resolved(sequences(pages, "page"), "page", described(stored)).filter("kind = 'media'")
+    seqs = sequences(pages_of(stored).select(F.col("docs").alias("page"), "html"), "page")
+    items = resolved(seqs, "page", described(stored)).filter("kind = 'media'")
+    doc = F.get("page", F.floor(F.col("pos") / 2).cast("int"))  # paragraphs and references take turns
     facts = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    return items.select("page.doc_id", "page.n_bytes", *facts, "pos", "caption")
-
-
-def escape(text: str) -> str:
-    """Text for use in a page."""
-    return html.escape(text)
+    return items.select(doc["doc_id"].alias("doc_id"), doc["n_bytes"].alias("n_bytes"), *facts, "pos", "caption")

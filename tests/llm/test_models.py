@@ -47,6 +47,34 @@ def test_windows_cover_all_bytes():
     assert b"".join(bytes(x[:step]) for x in w[:-1]) + bytes(w[-1]) == data.ljust(step * (len(w) - 1) + langid.WINDOW)
 
 
+def test_peaks_against_a_plain_convolution():
+    model = langid.train(["der die und das ist"] * 3 + ["the of and is that"] * 3, ["de"] * 3 + ["en"] * 3, epochs=1)
+    text = ("Der Mann and the \n woman é漢 " * 30).encode()
+    want = []
+    for w in langid.windows_of(text):
+        rows = []
+        for f in model.filters:
+            width = len(f)
+            places = [[sum(float(f[k][w[at + k]][c]) for k in range(width)) for c in range(langid.FILTERS)] for at in range(len(w) - width + 1)]
+            rows += [max(p[c] for p in places) for c in range(langid.FILTERS)]
+        want.append(rows)
+    assert np.allclose(model.peaks(langid.windows_of(text)), want, atol=1e-4)
+    h = np.maximum(np.array(want) + model.bias, 0) @ model.weight + model.offset
+    e = np.exp(h.mean(axis=0) - h.mean(axis=0).max())
+    assert np.allclose(langid.shares(model, text), e / e.sum(), atol=1e-4)
+
+
+def test_every_language_is_learned(spark):
+    """More languages than any round number: each has letters of its own."""
+    rows = []
+    for n in range(70):
+        a, b = chr(0x4E00 + 97 * n), chr(0x4E00 + 97 * n + 31)
+        rows += [(n * 100 + i, f"{a}{b} {b}{a}{a} " * 6, f"l{n:02}") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert len(model.languages) == 70
+
+
 # ---- quality ----------------------------------------------------------------------------
 
 
@@ -59,6 +87,22 @@ def test_quality_on_held_out_rows(spark, data):
     assert all(r["predicted"] == (r["score"] >= 0.5) for r in got)
 
 
+@pytest.mark.parametrize("share", [0.15, 0.5, 0.85])
+def test_class_prior_from_positives_and_unlabelled(share):
+    """Two kinds of rows that overlap, of a known mixture; no row is known to be of the second kind."""
+    rng = np.random.default_rng(2)
+    n = int(4000 * share)
+    positive = rng.normal(0, 1, (1500, 12)) + 0.8
+    unlabelled = np.concatenate([rng.normal(0, 1, (n, 12)) + 0.8, rng.normal(0, 1, (4000 - n, 12)) - 0.3])
+    assert abs(quality.class_prior(positive, unlabelled) - share) < 0.08
+
+
+def test_quality_reads_no_bad_labels(spark, data):
+    docs, labels = read(spark, data, "documents"), read(spark, data, "labels")
+    with_bad, without = (quality.fit(docs, x) for x in (labels, labels.filter("quality = 1")))
+    assert np.array_equal(with_bad.hidden, without.hidden)
+
+
 def test_quality_odd_rows(spark, odd):
     labels = spark.createDataFrame([(4, 1, 0), (4, 1, 0), (3, 0, 0), (7, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
     got = quality.classify(odd, labels).collect()
@@ -127,33 +171,74 @@ def test_unresolved_references_stay(spark):
 
 
 def test_documents_as_media(odd):
+    """Every column against values that are made from the texts here."""
     got = media.documents_as_media(odd).collect()
     assert len(got) == 9
     want = {r["doc_id"]: (r["text"] or "").encode() for r in odd.collect()}
     for r in got:
-        payload = media.padded(want[r["doc_id"]])
-        assert (r["n_bytes"], r["payload_bytes"], r["tail_crc32"]) == (len(want[r["doc_id"]]), len(payload), zlib.crc32(payload[-16:]))
+        text = want[r["doc_id"]]
+        payload = text + b" " * (192 if not text else -len(text) % 192)
+        assert (r["n_bytes"], r["payload_bytes"], r["tail_crc32"]) == (len(text), len(payload), zlib.crc32(payload[-16:]))
         assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest()
+        png = media.to_png(payload)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(png), hashlib.sha256(png).hexdigest())
+        channels = [list(payload[c::3]) for c in range(3)]
+        means = [sum(c) / len(c) for c in channels]
+        sds = [math.sqrt(max(0, sum(v * v for v in c) / len(c) - m * m)) for c, m in zip(channels, means, strict=True)]
+        parts = dict(x.split("=") for x in r["feature"].split(";"))
+        assert [float(x) for x in parts["mean"].split(",")] == pytest.approx(means, abs=1e-3)
+        assert [float(x) for x in parts["sd"].split(",")] == pytest.approx(sds, abs=1e-3)
+        assert [int(x) for x in parts["hist"].split(",")] == [sum(b >> 4 == k for b in payload) for k in range(16)]
+        name = "without id" if r["doc_id"] is None else r["doc_id"]
+        assert r["pos"] % 2 == 1 and r["caption"] == f"Document {name} of {len(text)} bytes"
     assert len({r["feature"] for r in got if r["doc_id"] in (4, 5)}) == 1
     assert media.documents_as_media(odd.limit(0)).collect() == []
 
 
+def test_pages_interleave_several_references(spark, data):
+    """Raw pages with references and paragraphs added: order, captions and payloads of all of them; other references stay unresolved."""
+    pages = [(r["page_id"], r["html"]) for r in read(spark, data, "pages").select("page_id", "html").collect()]
+    pages = [(i, (h or "") + "".join(f'<p>para {k} of {i}</p><figure><img src="d{(i + k) % 7}"><figcaption>cap {k}</figcaption></figure>' for k in range(3))) for i, h in pages]
+    store = spark.createDataFrame([(f"d{k}", 10 * k, "clash", 9) for k in range(6)], "digest string, size int, caption string, pos int")
+    df = spark.createDataFrame(pages, "page_id long, html string")
+    got = {}
+    for r in media.resolved(media.sequences(df, "page_id"), "page_id", store).collect():
+        got.setdefault(r["page_id"], []).append(r)
+    assert len(got) == len(pages)
+    for i, _ in pages:
+        rows = sorted(got[i], key=lambda r: r["pos"])
+        assert [r["pos"] for r in rows] == list(range(len(rows)))
+        tail = [(r["kind"], r["text"] or r["ref"], r["caption"], r["size"]) for r in rows[-6:]]
+        want = []
+        for k in range(3):
+            d = (i + k) % 7
+            want += [("text", f"para {k} of {i}", None, None), ("media", f"d{d}", f"cap {k}", 10 * d if d < 6 else None)]
+        assert tail == want
+
+
 # ---- packing ------------------------------------------------------------------------------
 
 
 def test_ids_are_those_of_the_tokenizer(spark, data):
+    """The whole table and odd texts, against the tokenizer library as it is."""
     import public_tokenizers
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    texts = [r["text"] for r in read(spark, data, "documents").select("text").limit(60).collect()]
-    texts += ["", " ", "\n", "a \n b", "a\n\nb", "  two  spaces ", "tab\tand\r\nend\n", "it's we'll 'twas", "é漢字𝒳​x", " nbsp a b", "a ", "\na", "<|endoftext|>", "x<|endoftext|> y", "１２ 3½", " \x1c\x85 z"]
-    ids = packing.encoder(packing.default_ranks()).text_ids
+    texts = [r["text"] or "" for r in read(spark, data, "documents").select("text").collect()]
+    texts += ["", " ", "\n", "a \n b", "a\n\nb", "  two  spaces ", "tab\tand\r\nend\n", "it's we'll 'twas", "é漢字𝒳\u200bx", "\u00a0nbsp a b", "a ", "\na", "<|endoftext|>", "x<|endoftext|> y", "１２ 3½", " \x1c\x85 z"]
+    ids = packing.encoder(packing.default_ranks()).document_ids
     for text, want in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
         assert np.frombuffer(ids(text), "<u4").tolist() == want.ids, repr(text[:80])
 
 
+def test_sequences_are_few(spark, data):
+    """No packing has fewer sequences than the pieces' tokens fill, nor than pieces of over half a sequence; one more is allowed for."""
+    rows = packing.pack_documents(read(spark, data, "documents")).select("length", "sequence_id").collect()
+    least = max(-(-sum(r["length"] for r in rows) // packing.CAPACITY), sum(2 * r["length"] > packing.CAPACITY for r in rows))
+    assert least <= len({r["sequence_id"] for r in rows}) <= least + 1
+
+
 def test_special_token_has_its_id(docs_of):
     import public_tokenizers
     from tokenizers import Tokenizer
