@@ -100,8 +100,9 @@ def _generalised(docs: DataFrame, occurrences: DataFrame) -> DataFrame:
     lines = _marked(lines, leaves, "leaf").select("leaf", "n", masked(F.col("own")).alias("line")).join(leaves, "leaf").distinct()
     lines = materialize(lines.select("leaf", "n", "line", F.xxhash64("leaf", "line").alias("lh"), F.hash("line").alias("lx")), "candidates")
     tokens = lines.select("leaf", "lh", "lx", F.posexplode(F.slice(F.split("line", " "), DEPTH + 1, 1 << 30)).alias("pos", "token"))
-    # A token that no other line of the leaf has at its place is a field; its group names its only line, so no join goes back to it.
-    alone = tokens.groupBy("leaf", "pos", "token").agg(F.count("*").alias("lines"), F.min("lh").alias("lh"), F.min("lx").alias("lx")).filter("lines = 1")
+    tokens = tokens.select("lh", "lx", "pos", F.xxhash64("leaf", "pos", "token").alias("t"), F.hash("pos", "token").alias("u"))
+    # A token that no other line of the leaf has at its place is a field; its group names its only line and place, so no join goes back to it.
+    alone = tokens.groupBy("t", "u").agg(F.count("*").alias("lines"), F.min("lh").alias("lh"), F.min("lx").alias("lx"), F.min("pos").alias("pos")).filter("lines = 1")
     fields = alone.groupBy("lh", "lx").agg(F.collect_set("pos").alias("fields"))
     made = lines.join(fields, ["lh", "lx"]).filter(F.size("fields") <= (1 - SIMILARITY) * F.col("n"))
     word = F.transform(F.split("line", " "), lambda x, i: F.when(F.array_contains("fields", i - DEPTH), F.lit(FIELD)).otherwise(x))
@@ -155,6 +156,8 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first:
     names = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
     gone = dropped_lines(docs, min_docs, keep_first).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("lines").alias("__lines"))
     rows = docs.select(*names, "text", F.xxhash64("text").alias("__h"))
+    # The lines' numbers are a small part of the texts: they are hashed, and the texts pass by without being sorted.
+    gone = gone.hint("shuffle_hash")
     rows = rows.join(gone, (rows["doc_id"] == gone["__id"]) & (rows["__h"] == gone["__th"]), "left")
     rows = _with(rows, __cut=F.when(F.col("__lines").isNotNull(), F.split("text", "\n")))
     kept = F.array_except(F.sequence(F.lit(0), F.size("__cut") - 1), F.col("__lines"))
