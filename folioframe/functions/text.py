@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CleanText
+from . import let
 
 # Typographic marks and what replaces them, for all languages and for single ones.
 REPLACEMENTS = {"\u2018": "'", "\u2019": "'", "\u201c": '"', "\u201d": '"', "\u2013": "-", "\u2014": "-", "\u00a0": " ", "\u2009": " "}
@@ -58,8 +59,9 @@ def clean(text: Column, cfg: CleanText | None = None) -> Column:
     return text
 
 
-def _count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern))
+def _count(text: Column, characters: str) -> Column:
+    """How many characters of a class the text has: runs of it are cut out, which makes one string and no list of matches."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"{characters}+", ""))
 
 
 def is_valid(text: Column) -> Column:
@@ -70,12 +72,18 @@ def is_valid(text: Column) -> Column:
 
 
 def language(text: Column) -> Column:
-    """de, fr or es by the strict majority of their marks, en if over 80 of 100 letters are ASCII (rounded down), else empty."""
-    de, fr, es = (_count(text, f"[{m}]") for m in MARKS.values())
-    letters, ascii_ = _count(text, r"\p{L}"), _count(text, "[A-Za-z]")
-    found = F.when((de > fr) & (de > es), "de").when((fr > de) & (fr > es), "fr").when((es > de) & (es > fr), "es")
-    found = found.when(F.floor(ascii_ * 100 / letters) > 80, "en").otherwise("")
-    return F.when(letters > 0, found).otherwise("")
+    """de, fr or es by the strict majority of their marks, en if over 80 of 100 letters are ASCII (rounded down), else empty.
+
+    One pass leaves the letters and a second those outside ASCII, which are few; all marks are among them.
+    """
+
+    def decide(letters: Column, other: Column) -> Column:
+        de, fr, es = (F.length(other) - F.length(F.translate(other, m, "")) for m in MARKS.values())
+        found = F.when((de > fr) & (de > es), "de").when((fr > de) & (fr > es), "fr").when((es > de) & (es > fr), "es")
+        found = found.when(F.floor((F.length(letters) - F.length(other)) * 100 / F.length(letters)) > 80, "en").otherwise("")
+        return F.when(F.length(letters) > 0, found).otherwise("")
+
+    return let(F.regexp_replace(text, r"[^\p{L}]+", ""), lambda x: let(F.regexp_replace(x, "[A-Za-z]+", ""), lambda y: decide(x, y)))
 
 
 def in_charset(text: Column, characters: str) -> Column:
@@ -122,12 +130,13 @@ def word_accuracy(rows: DataFrame, key: str, found: str, expected: str) -> DataF
 def quality(text: Column, width: Column, height: Column) -> dict[str, Column]:
     """score, has_text, searchable and density (bytes per 1000 square points) of a page's text."""
     plain = F.coalesce(text, F.lit(""))
-    has = F.regexp_replace(plain, EDGES, "") != ""
-    n, size = F.octet_length(plain), F.size(words(plain))
+    has = plain.rlike(f"[^{EDGES[1:-2]}]")
+    n, word = F.octet_length(plain), r"[^\x09-\x0D ]+"
     density = F.when(width * height > 0, n / (width * height) * 1000).otherwise(0.0)
-    score = F.lit(0.4) + F.when(density > 0.1, 0.3).otherwise(0.0) + F.when(size > 5, 0.2).otherwise(0.0)
+    score = F.lit(0.4) + F.when(density > 0.1, 0.3).otherwise(0.0)
+    score = score + F.when(plain.rlike(rf"(?:{word}[\x09-\x0D ]+){{5}}{word}"), 0.2).otherwise(0.0)  # over five words
     score = score + F.when(_count(plain, "[A-Za-z0-9]") / n >= 0.5, 0.1).otherwise(0.0)
-    return {"score": F.when(has, F.least(score, F.lit(1.0))).otherwise(0.0), "has_text": has, "searchable": has & (size > 0), "density": density}
+    return {"score": F.when(has, F.least(score, F.lit(1.0))).otherwise(0.0), "has_text": has, "searchable": has & plain.rlike(word), "density": density}
 
 
 def hex_colour(text: Column) -> Column:

@@ -7,10 +7,10 @@ fold over the boxes of an image and takes one shuffle by image.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,18 +121,31 @@ def soft_nms(boxes: DataFrame, method: str = "linear", threshold: float = 0.3, s
     otherwise 0 from the threshold on. One box is left as it is, whatever its
     score; where at most one reaches ``least``, only that is left.
     """
-    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in boxes.select("image_id", "region_id", *BOX, "confidence").schema)
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["confidence", "region_id"], ascending=[False, True])
-        if len(part) > 1:
-            if (part["confidence"] >= least).sum() > 1:
-                score = _soft(part[list(BOX)].to_numpy(), part["confidence"].to_numpy(), method, threshold, sigma)
-                part = part.assign(confidence=score)
-            part = part[part["confidence"] >= least]
-        return part
-
-    return boxes.select("image_id", "region_id", *BOX, "confidence").groupBy("image_id").applyInPandas(run, shape)
+    item = F.struct(F.col("confidence").cast("double").alias("confidence"), "region_id", *[F.col(c).cast("double").alias(c) for c in BOX])
+    lists = boxes.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("rank"), "region_id", item.alias("b")))).alias("all"))
+    lists = lists.select("image_id", F.col("all.b").alias("all"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Many images in a batch: their boxes lie one after the other."""
+        for batch in batches:
+            ends, flat = batch.column(1).offsets.to_numpy(), batch.column(1).values
+            at = [flat.field(c).to_numpy(zero_copy_only=False) for c in BOX]
+            x, score = np.stack(at, axis=1), flat.field("confidence").to_numpy(zero_copy_only=False).copy()
+            keep = score >= least
+            for i, j in zip(ends[:-1], ends[1:], strict=True):
+                if j - i == 1:
+                    keep[i] = True
+                elif keep[i:j].sum() > 1:
+                    score[i:j] = _soft(x[i:j], score[i:j], method, threshold, sigma)
+                    keep[i:j] = score[i:j] >= least
+            rows = np.flatnonzero(keep)
+            image = np.repeat(np.arange(len(batch)), np.diff(ends))[rows - ends[0]]
+            columns = [batch.column(0).take(pa.array(image)), flat.field("region_id").take(pa.array(rows)), *[pa.array(c[rows]) for c in at], pa.array(score[rows])]
+            yield pa.record_batch(columns, names=["image_id", "region_id", *BOX, "confidence"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in boxes.schema}
+    shape = f"image_id {kinds['image_id']}, region_id {kinds['region_id']}, " + ", ".join(f"{c} double" for c in (*BOX, "confidence"))
+    return lists.mapInArrow(run, shape)
 
 
 def suppress(boxes: DataFrame, cfg: Detector, threshold: float | None = None) -> DataFrame:

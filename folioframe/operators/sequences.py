@@ -65,20 +65,23 @@ def mean_confidence(probs: Column) -> Column:
     return F.when(F.size(probs) > 0, F.aggregate(probs, F.lit(0.0), lambda a, x: a + x) / F.size(probs)).otherwise(0.0)
 
 
-def to_text(decoded: DataFrame, dictionary: DataFrame, key: str = "seq_id") -> DataFrame:
-    """(key, text): class idx stands for the dictionary's token idx - 1; classes without one are left out.
+def tokens_by_class(dictionary: DataFrame) -> Column:
+    """The dictionary's tokens as one array by idx, in an uncorrelated subquery: read once, looked up by position."""
+    top = dictionary.agg(F.max("idx").alias("top")).select(F.explode(F.sequence(F.lit(0), F.col("top").cast("int"))).alias("i"))
+    known = top.join(dictionary.select(F.col("idx").alias("i"), "token"), "i", "left")
+    entries = F.array_sort(F.collect_list(F.struct("i", "token")))
+    return known.agg(F.transform(entries, lambda e: e["token"]).alias("tokens")).scalar()
 
-    ``dictionary`` (idx, token) is a character set of some thousand rows at
-    most, which is why it is gathered to a map in each row's expression.
-    """
-    entries = dictionary.select(F.collect_list(F.struct("idx", "token")).alias("e")).first()["e"]
-    if len(entries) > 100_000:
-        raise ValueError("a dictionary has at most 100,000 tokens")
-    if not entries:
-        return decoded.select(key, F.lit("").alias("text"))
-    known = F.create_map(*[F.lit(v) for e in entries for v in (e["idx"], e["token"])])
-    tokens = F.filter(F.transform("out", lambda x: F.element_at(known, x["idx"] - 1)), lambda t: t.isNotNull())
-    return decoded.select(key, F.array_join(tokens, "").alias("text"))
+
+def spelled(classes: Column, tokens: Column) -> Column:
+    """Text of decoded classes: class idx stands for token idx - 1; classes without one are left out."""
+    return F.array_join(F.filter(F.transform(classes, lambda c: F.get(tokens, c - 1)), lambda t: t.isNotNull()), "")
+
+
+def to_text(decoded: DataFrame, dictionary: DataFrame, key: str = "seq_id") -> DataFrame:
+    """(key, text) of decoded sequences; ``dictionary`` (idx, token) is a character set, idx from 0 and unique."""
+    rows = decoded.select(key, F.col("out.idx").alias("__classes"), tokens_by_class(dictionary).alias("__tokens"))
+    return rows.select(key, spelled(F.col("__classes"), F.col("__tokens")).alias("text"))
 
 
 def _beam(steps: list[list[float]], blank: int, width: int) -> list[tuple[tuple[int, ...], float, tuple[float, ...]]]:

@@ -176,12 +176,12 @@ def nms_size_aware(spark, d):
 
 @query
 def soft_nms_linear(spark, d):
-    return rounded(B.soft_nms(X.region_rows(spark, d), "linear").select("image_id", "region_id", "confidence"))
+    return rounded(B.soft_nms(X.region_rows(spark, d), "linear").select("image_id", "region_id", "confidence"), 9)
 
 
 @query
 def soft_nms_gaussian(spark, d):
-    return rounded(B.soft_nms(X.region_rows(spark, d), "gaussian").select("image_id", "region_id", "confidence"))
+    return rounded(B.soft_nms(X.region_rows(spark, d), "gaussian").select("image_id", "region_id", "confidence"), 9)
 
 
 @query
@@ -368,9 +368,10 @@ def page_range_expand(spark, d):
 
 @query
 def page_outer_union(spark, d):
-    docs = _docs(spark, d)
-    left = docs.filter("doc_id % 3 <> 0").select("doc_id", F.lit(1).alias("page"), F.lit(True).alias("has_images"))
-    right = docs.filter("doc_id % 2 = 0").select("doc_id", F.lit(1).alias("page"), F.lit(True).alias("analysed"))
+    """Pages with images, and pages whose text was analysed."""
+    pages = X.page_text(spark, d)
+    left = pages.filter("image_count > 0").select("doc_id", "page", F.lit(True).alias("has_images"))
+    right = pages.filter(_quality(F.col("text"))["has_text"]).select("doc_id", "page", F.lit(True).alias("analysed"))
     both = P.page_union(left, right)
     return both.select("doc_id", "page", F.coalesce("has_images", F.lit(False)).alias("has_images"), F.coalesce("analysed", F.lit(False)).alias("analysed"))
 

@@ -170,6 +170,34 @@ st as (
 SQL["nms_hard"] = SQL["multiscale_merge"] = _nms("0.3")
 SQL["nms_adaptive"] = _nms("least(greatest(0.3 + 0.1 * least(1.0, (a.size + b.size) / 2 / 10000) - 0.05 * ((a.confidence + b.confidence) / 2 - 0.5), 0.1), 0.8)")
 SQL["nms_size_aware"] = _nms("0.3 + 0.1 * (greatest(0, least(1, ((a.size + b.size) / 2 - 32) / 992)) - 0.5)")
+
+
+def _soft(weight: str) -> str:
+    """Each step takes the best score left and lowers the others that are left; scores are lists in the order of the boxes."""
+    return on(
+        "f_regions",
+        """select r.image_id, r.region_id, round(case when r.n > 1 and r.sure > 1 then t.score else r.confidence end, 9) as confidence
+        from r join (select image_id, unnest(score) as score, generate_subscripts(score, 1) as rk from st where step = n) t using (image_id, rk)
+        where r.n = 1 or (case when r.sure > 1 then t.score else r.confidence end) >= 0.1""",
+        f"""
+r as (
+  select *, row_number() over (partition by image_id order by confidence desc, region_id) as rk, count(*) over (partition by image_id) as n,
+    count(*) filter (confidence >= 0.1) over (partition by image_id) as sure from f_regions),
+rows_ as (select a.image_id, a.rk, list({_iou("a", "b")} order by b.rk) as shares from r a join r b on a.image_id = b.image_id group by all),
+begun as (
+  select image_id, 0 as step, list(confidence order by rk) as score, list(false order by rk) as taken, list(shares order by rk) as m, count(*) as n
+  from r join rows_ using (image_id, rk) group by image_id),
+st as (
+  select * from begun
+  union all
+  select image_id, step + 1, list_transform(score, lambda x, j: case when taken[j] or j = i then x else x * {weight} end), list_transform(taken, lambda t, j: t or j = i), m, n
+  from (select *, list_position(left_, list_max(left_)) as i, m[list_position(left_, list_max(left_))] as share from (
+    select *, list_transform(score, lambda x, j: case when taken[j] then -1 else x end) as left_ from st where step < n)))""",
+    )
+
+
+SQL["soft_nms_linear"] = _soft("case when share[j] >= 0.3 then 1 - share[j] else 1 end")
+SQL["soft_nms_gaussian"] = _soft("exp(-share[j] * share[j] / 0.5)")
 SQL["scale_regions"] = on("f_regions", "select image_id, region_id, round(min_x * 2.5, 6) as min_x, round(min_y * 1.75, 6) as min_y, round(max_x * 2.5, 6) as max_x, round(max_y * 1.75, 6) as max_y, round(confidence, 6) as confidence from f_regions")
 SQL["inverse_rotation"] = on(
     "f_regions",
@@ -203,6 +231,25 @@ SQL["ctc_greedy"] = on("f_logits", "select seq_id, coalesce(string_agg(idx::varc
 SQL["ctc_text"] = on("f_logits f_dict", "select seq_id, coalesce(string_agg(token, '' order by t), '') as text from seqs left join out_ using (seq_id) left join f_dict d on d.idx = out_.idx - 1 group by seq_id", PATH)
 SQL["sequence_confidence"] = on("f_logits", "select seq_id, round(coalesce(avg(prob), 0), 6) as confidence from seqs left join out_ using (seq_id) group by seq_id", PATH)
 
+SQL["ctc_beam"] = on(
+    "f_logits",
+    """select seq_id, rk::int as rank, array_to_string(classes, ',') as classes, round(total, 6) as log_score,
+      round(case when len(own) > 0 then list_sum(own) / len(own) else 0 end, 6) as confidence from st where t = 8""",
+    """
+sums as (select seq_id, t, sum(exp(logit)) as z from f_logits group by all),
+probs as (select seq_id, t, c, exp(logit) / z as p from f_logits join sums using (seq_id, t)),
+st as (
+  select distinct seq_id, 0 as t, 1::bigint as rk, []::int[] as classes, 0.0::double as total, []::double[] as own, -1 as before from f_logits
+  union all
+  select seq_id, t, rk, classes, total, own, before from (
+    select seq_id, t + 1 as t, row_number() over (partition by seq_id order by total + ln(p) desc, rk, c) as rk,
+      case when c in (0, before) then classes else list_append(classes, c) end as classes, total + ln(p) as total,
+      case when c in (0, before) then own else list_append(own, p) end as own, case when c in (0, before) then before else c end as before
+    from (select st.*, probs.c, probs.p, max(total) over (partition by seq_id) as best from st join probs using (seq_id, t)) g
+    where p > 1e-7 and total >= best - 10) w
+  where rk <= 5)""",
+)
+
 # ---- text ------------------------------------------------------------------------------
 
 EDGES = r"[\x09-\x0D\x20\x85\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -248,11 +295,14 @@ _HAS = f"regexp_replace(text, '{EDGES}', '', 'g') <> ''"
 SQL["text_quality"] = f"""select doc_id, round({_quality("text")}, 6) as score, {_HAS} as has_text, {_HAS} and len({_words("text")}) > 0 as searchable,
   round(strlen(text) / (612.0::double * 792.0) * 1000, 6) as density from documents"""
 SQL["word_stats"] = f"select doc_id, len({_words('text')})::int as n_words, len(list_distinct({_words('text')}))::int as n_distinct, strlen(text)::int as n_bytes from documents"
-_PAIRS = r"""
-items as (select * from benchmark where regexp_full_match(text, '[\x00-\x7F]*')),
-pairs as (select a.item_id, a.text, b.text as other from items a join items b on b.item_id = a.item_id + 1)"""
-SQL["levenshtein_car"] = f"""with {_PAIRS} select item_id, round(case when greatest(length(a), length(b)) = 0 then 1 else 1 - levenshtein(a, b) / greatest(length(a), length(b)) end, 6)::double as car
-  from (select item_id, lower(trim(text, ' ')) as a, lower(trim(other, ' ')) as b from pairs)"""
+_PAIRS = """
+pairs as (select a.item_id, a.text, b.text as other from benchmark a join benchmark b on b.item_id = a.item_id + 1)"""
+# This levenshtein counts bytes: the characters outside ASCII that occur stand as control characters, one each.
+SQL["levenshtein_car"] = f"""with {_PAIRS},
+odd as (select c, chr(13 + (row_number() over (order by c))::int) as as_ from (select distinct unnest(regexp_extract_all(lower(text), '[^\\x00-\\x7F]')) as c from benchmark)),
+marks as (select coalesce(string_agg(c, '' order by c), '') as these, coalesce(string_agg(as_, '' order by c), '') as those from odd),
+plain as (select item_id, translate(lower(trim(text, ' ')), these, those) as a, translate(lower(trim(other, ' ')), these, those) as b from pairs cross join marks)
+select item_id, round(case when greatest(length(a), length(b)) = 0 then 1 else 1 - levenshtein(a, b) / greatest(length(a), length(b)) end, 6)::double as car from plain"""
 SQL["war"] = f"""with {_PAIRS}, found as (select item_id, w, count(*) as n from (select item_id, unnest({_words("text")}) as w from pairs) group by all),
 wanted as (select item_id, w, count(*) as n from (select item_id, unnest({_words("other")}) as w from pairs) group by all)
 select p.item_id, round(coalesce(sum(least(wanted.n, coalesce(found.n, 0))) / sum(wanted.n), 1), 6)::double as war
@@ -275,7 +325,7 @@ SQL["text_coverage"] = on("f_elements", "select page_id, round(least(1.0, sum(w
 SQL["page_range_expand"] = """select id, (row_number() over (partition by id order by part, page))::int as ord, page::int as page from (
   select doc_id as id, 0 as part, unnest(range(doc_id % 5 + 1, doc_id % 5 + 2 + doc_id % 3)) as page from documents
   union all select doc_id, 1, doc_id % 7 + 1 from documents)"""
-SQL["page_outer_union"] = """select doc_id, 1 as page, doc_id % 3 <> 0 as has_images, doc_id % 2 = 0 as analysed from documents where doc_id % 3 <> 0 or doc_id % 2 = 0"""
+SQL["page_outer_union"] = f"""select * from (select doc_id, 1 as page, doc_id % 3 > 0 as has_images, coalesce({_HAS}, false) as analysed from documents) where has_images or analysed"""
 
 
 def _merged(sep: str, least: float) -> str:
@@ -315,6 +365,46 @@ SQL["element_order"] = on(
 jumps as (select *, case when y - lag(y) over w > lag(h) over w / 2 then 1 else 0 end as jump from f_elements window w as (partition by page_id order by y, x, elem_id)),
 lines as (select *, sum(jump) over (partition by page_id order by y, x, elem_id) as line from jumps)""",
 )
+
+_LINES = """
+counted as (select * from f_elements where source = 'vector' or rec_conf >= 0.3),
+jumps as (select *, case when y - lag(y) over w > lag(h) over w / 2 then 1 else 0 end as jump from counted window w as (partition by page_id order by y, x, elem_id)),
+lines as (select *, sum(jump) over (partition by page_id order by y, x, elem_id) as line from jumps),
+placed as (select *, row_number() over (partition by page_id order by line, x, y, elem_id) as ord from lines),
+st as (
+  select page_id, 0::bigint as ord, []::struct(text varchar, source varchar, x double, y double, w double, h double)[] as kept from placed group by page_id
+  union all
+  select page_id, ord, case when hit = 0 then list_append(kept, e) when kept[hit].source = 'vector' then kept else list_transform(kept, lambda k, i: case when i = hit then e else k end) end
+  from (select *, coalesce(list_position(list_transform(kept, lambda k: case when least(e.w * e.h, k.w * k.h) > 0 then
+      greatest(0, least(e.x + e.w / 2, k.x + k.w / 2) - greatest(e.x - e.w / 2, k.x - k.w / 2)) * greatest(0, least(e.y + e.h / 2, k.y + k.h / 2) - greatest(e.y - e.h / 2, k.y - k.h / 2))
+      / least(e.w * e.h, k.w * k.h) else 0 end > 0.1), true), 0) as hit
+    from (select st.page_id, p.ord, kept, {'text': p.text, 'source': p.source, 'x': p.x, 'y': p.y, 'w': p.w, 'h': p.h} as e from st join placed p on p.page_id = st.page_id and p.ord = st.ord + 1))),
+spatial as (select page_id, array_to_string(list_transform(max_by(kept, ord), lambda k: k.text), ' ') as combined from st group by page_id)"""
+SQL["hybrid_spatial"] = on("f_elements", "select page_id, length(combined)::int as n, md5(combined) as digest from spatial", _LINES)
+SQL["hybrid_smart"] = on(
+    "f_elements",
+    """select page_id, length(text)::int as n, md5(text) as digest from (
+      select page_id, case when coalesce(score < 0.8, true) then array_to_string(list_concat([combined], coalesce(list_filter(extra, lambda t: not contains(lower(combined), lower(TRIM_T))), [])), ' ') else combined end as text
+      from spatial left join scores using (page_id) left join more using (page_id))""".replace("TRIM_T", _trim("t")),
+    _LINES
+    + """,
+more as (select page_id, list(text order by elem_id) as extra from f_elements where source = 'ocr' and rec_conf >= 0.5 group by page_id),
+scores as (select page_id, """
+    + _quality("own")
+    + " as score from (select page_id, string_agg(text, ' ' order by elem_id) as own from f_elements where source = 'vector' group by page_id))",
+)
+SQL["fuzzy_line_dedup"] = on(
+    "f_elements",
+    """select page_id, elem_id, greatest(len(kept), 1)::int as n_lines, md5(array_to_string(kept, chr(10))) as digest from st where i = n""",
+    f"""
+cut as (select page_id, elem_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_trim("x")}), lambda x: x <> '') as ls from f_elements),
+st as (
+  select page_id, elem_id, ls, len(ls) as n, 0 as i, []::varchar[] as kept from cut
+  union all
+  select page_id, elem_id, ls, n, i + 1, case when len(list_filter(kept, lambda k: case when len(WX) = 0 and len(WK) = 0 then 1 when len(WX) = 0 or len(WK) = 0 then 0
+      else len(COMMON) / (len(WX) + len(WK) - len(COMMON)) end > 0.8)) > 0 then kept else list_append(kept, ls[i + 1]) end
+  from st where i < n)""".replace("COMMON", "list_filter(WK, lambda w: list_contains(WX, w))").replace("WX", _words("ls[i + 1]")).replace("WK", _words("k")),
+)
 SQL["region_filters"] = on(
     "f_regions",
     """select image_id, region_id, round(det_conf, 6) as det_conf, round(rec_conf, 6) as rec_conf, round(avg_det, 6) as avg_det from (
@@ -333,6 +423,24 @@ gaps as (select *, ts - lag(ts) over (partition by user_id order by ts, event_id
 runs as (select *, sum(case when gap >= interval 1 minute then 1 else 0 end) over w as m, sum(case when gap >= interval 1 hour then 1 else 0 end) over w as hr
   from gaps window w as (partition by user_id order by ts, event_id))""",
 )
+SQL["rate_limit_replay"] = on(
+    "f_requests",
+    "select event_id, user_id, verdict, wait as wait_us from st where k > 0",
+    """
+ev as (select *, epoch_us(ts) as us, row_number() over (partition by user_id order by ts, event_id) as k from f_requests),
+st as (
+  select user_id::bigint as user_id, 0::bigint as k, null::bigint as event_id, 0 as m, 0 as h, 0 as n, 0::bigint as b, null::bigint as last, null::bigint as day, '' as verdict, 0::bigint as wait
+  from ev group by user_id
+  union all
+  select user_id, k, event_id, m + ok, h + ok, n + ok, b + ok * data_size, case when ok = 1 then us else last end, us // 86400000000, verdict,
+    case verdict when 'ok' then 0 when 'minute' then 60000000 - gap when 'hour' then 3600000000 - gap else (us // 86400000000 + 1) * 86400000000 - us end
+  from (select *, case when verdict = 'ok' then 1 else 0 end as ok from (
+    select *, case when m >= 3 then 'minute' when h >= 20 then 'hour' when n >= 200 then 'requests' when b + data_size > 2000000 then 'data' else 'ok' end as verdict from (
+      select e.user_id, e.k, e.event_id, e.us, e.data_size, coalesce(last, us) as last, us - coalesce(last, us) as gap,
+        case when us - coalesce(last, us) >= 60000000 then 0 else m end as m, case when us - coalesce(last, us) >= 3600000000 then 0 else h end as h,
+        case when us // 86400000000 <> coalesce(day, us // 86400000000) then 0 else n end as n, case when us // 86400000000 <> coalesce(day, us // 86400000000) then 0 else b end as b
+      from st join ev e on e.user_id = st.user_id and e.k = st.k + 1))))""",
+)
 SQL["quota_daily"] = on("f_requests", "select user_id, ts::date::varchar as day, count(*) as n, sum(data_size)::bigint as bytes from f_requests group by all")
 SQL["request_histogram"] = on("f_requests", "select event_type, le, count(*) filter (le is null or data_size <= le) as n from f_requests cross join (select unnest([1024.0, 10240.0, 102400.0, null])::double as le) where data_size is not null group by all")
 SQL["memory_average"] = on(

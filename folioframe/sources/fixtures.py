@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 VIEWS = {
@@ -51,16 +51,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def region_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(region_id, image_id, min_x, min_y, max_x, max_y, confidence); region_id numbers the rows in their full order."""
     rows = _table(spark, sf_dir, "lineitem")
-    # A global row number by ranges: the rows of an order range are numbered within it, after the rows of the ranges before.
-    part = F.floor(F.col("l_orderkey") / 1024).alias("part")
-    sizes = rows.groupBy(part).count()
-    from pyspark.sql import Window
-
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    # A global row number by ranges of two sizes: rows are numbered within a small range, after those of the small ranges
+    # before it in its large range, after those of the large ranges before. Only one row for 2^20 orders meets in one place.
+    sizes = rows.groupBy(F.floor(F.col("l_orderkey") / 1024).alias("part")).count().withColumn("large", F.floor(F.col("part") / 1024))
+    earlier = lambda w: F.coalesce(F.sum("count").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tops = sizes.groupBy("large").agg(F.sum("count").alias("count")).select("large", earlier(Window.orderBy("large")).alias("first"))
+    starts = sizes.select("part", "large", earlier(Window.partitionBy("large").orderBy("part")).alias("start")).join(tops, "large")
+    starts = starts.select("part", (F.col("first") + F.col("start")).alias("start"))
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate"]
     inside = Window.partitionBy("part").orderBy(*order)
-    rows = rows.withColumn("part", part).withColumn("n", F.row_number().over(inside)).join(starts, "part")
+    rows = rows.withColumn("part", F.floor(F.col("l_orderkey") / 1024)).withColumn("n", F.row_number().over(inside)).join(starts, "part")
     min_x, min_y = (F.col("l_partkey") * 37) % 160, (F.col("l_suppkey") * 53) % 96
     score = ((F.col("l_partkey") * 7919 + F.col("l_suppkey") * 104729 + F.col("l_linenumber") * 31) % 9973 + 1) / F.lit(10000.0)
     return rows.select(
