@@ -56,10 +56,11 @@ def overlaps(boxes: DataFrame, least: float = 0.0, cell: float = CELL) -> DataFr
 
 def _suppress(boxes: DataFrame, threshold: Callable[[Column, Column], Column]) -> DataFrame:
     """Boxes that no kept box before them overlaps by more than the pair's threshold."""
-    item = F.struct((-F.col("confidence")).alias("rank"), "region_id", *BOX, "confidence")
+    more = [c for c in boxes.columns if c not in ("image_id", "region_id", *BOX, "confidence")]
+    item = F.struct((-F.col("confidence")).alias("rank"), "region_id", *BOX, "confidence", *more)
     lists = boxes.groupBy("image_id").agg(F.array_sort(F.collect_list(item)).alias("all"))
     fold = F.aggregate("all", F.slice("all", 1, 0), lambda kept, x: F.when(F.exists(kept, lambda k: iou(k, x) > threshold(k, x)), kept).otherwise(F.array_append(kept, x)))
-    return lists.select("image_id", F.explode(fold).alias("k")).select("image_id", "k.region_id", *[f"k.{c}" for c in BOX], "k.confidence")
+    return lists.select("image_id", F.explode(fold).alias("k")).select("image_id", "k.region_id", *[f"k.{c}" for c in (*BOX, "confidence", *more)])
 
 
 def nms(boxes: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -121,7 +122,8 @@ def soft_nms(boxes: DataFrame, method: str = "linear", threshold: float = 0.3, s
     otherwise 0 from the threshold on. One box is left as it is, whatever its
     score; where at most one reaches ``least``, only that is left.
     """
-    item = F.struct(F.col("confidence").cast("double").alias("confidence"), "region_id", *[F.col(c).cast("double").alias(c) for c in BOX])
+    more = [c for c in boxes.columns if c not in ("image_id", "region_id", *BOX, "confidence")]
+    item = F.struct(F.col("confidence").cast("double").alias("confidence"), "region_id", *more, *[F.col(c).cast("double").alias(c) for c in BOX])
     lists = boxes.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("rank"), "region_id", item.alias("b")))).alias("all"))
     lists = lists.select("image_id", F.col("all.b").alias("all"))
 
@@ -140,11 +142,11 @@ def soft_nms(boxes: DataFrame, method: str = "linear", threshold: float = 0.3, s
                     keep[i:j] = score[i:j] >= least
             rows = np.flatnonzero(keep)
             image = np.repeat(np.arange(len(batch)), np.diff(ends))[rows - ends[0]]
-            columns = [batch.column(0).take(pa.array(image)), flat.field("region_id").take(pa.array(rows)), *[pa.array(c[rows]) for c in at], pa.array(score[rows])]
-            yield pa.record_batch(columns, names=["image_id", "region_id", *BOX, "confidence"])
+            columns = [batch.column(0).take(pa.array(image)), flat.field("region_id").take(pa.array(rows)), *[pa.array(c[rows]) for c in at], pa.array(score[rows]), *[flat.field(c).take(pa.array(rows)) for c in more]]
+            yield pa.record_batch(columns, names=["image_id", "region_id", *BOX, "confidence", *more])
 
     kinds = {f.name: f.dataType.simpleString() for f in boxes.schema}
-    shape = f"image_id {kinds['image_id']}, region_id {kinds['region_id']}, " + ", ".join(f"{c} double" for c in (*BOX, "confidence"))
+    shape = f"image_id {kinds['image_id']}, region_id {kinds['region_id']}, " + ", ".join(f"{c} double" for c in (*BOX, "confidence")) + "".join(f", {c} {kinds[c]}" for c in more)
     return lists.mapInArrow(run, shape)
 
 

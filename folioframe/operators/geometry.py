@@ -6,7 +6,7 @@ formula is columns; what recurses or pivots runs on Arrow batches.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -142,16 +142,6 @@ def polygon_area(polygon: Column) -> Column:
     return F.abs(F.aggregate(F.transform(polygon, term), F.lit(0.0), lambda a, x: a + x)) / 2
 
 
-def region_polygon(cells: np.ndarray, mode: str = "minrect", grow: float = 1.10) -> np.ndarray:
-    """The polygon of a component's boundary cells: hull, simplified by half a cell or a hundredth of its extent, grown, then boxed."""
-    if not len(cells):
-        return cells
-    hull = hull_points(cells)
-    p = simplify_points(hull, max(0.5, 0.01 * float(np.ptp(hull, axis=0).max())))
-    p = p.mean(axis=0) + (p - p.mean(axis=0)) * grow
-    return rectangle_points(p) if mode == "minrect" else p
-
-
 # ---- homographies ----------------------------------------------------------------------
 
 
@@ -225,3 +215,64 @@ def corner_gate(corners: Column, width: Column, height: Column, cfg: Rectify | N
             a, b = F.get(placed, F.lit(i)), F.get(placed, F.lit(j))
             near = near | (F.hypot(a["x"] - b["x"], a["y"] - b["y"]) < width * cfg.min_corner_distance)
     return F.when(~near, placed)
+
+
+def ordered_corners(p: np.ndarray) -> np.ndarray:
+    """Four corners from the top left one clockwise."""
+    s, d = p.sum(axis=1), p[:, 0] - p[:, 1]
+    return p[[s.argmin(), d.argmax(), s.argmax(), d.argmin()]]
+
+
+def rectified(image: np.ndarray, corners: np.ndarray, out_height: int) -> np.ndarray:
+    """What lies between four corners of an image, upright, at a height; the image itself where the corners determine nothing."""
+    c = ordered_corners(corners)
+    w = (np.hypot(*(c[1] - c[0])) + np.hypot(*(c[2] - c[3]))) / 2
+    h = (np.hypot(*(c[3] - c[0])) + np.hypot(*(c[2] - c[1]))) / 2
+    if w <= 0 or h <= 0:
+        return image
+    width = max(1, round(out_height * w / h))
+    frame = np.array([(0, 0), (width - 1, 0), (width - 1, out_height - 1), (0, out_height - 1)], float)
+    found = homography(frame, c)
+    return image if found is None else warp(image, found, width, out_height)
+
+
+def mask_corners(mask: np.ndarray, cfg: Rectify) -> np.ndarray | None:
+    """Corners (in the mask's cells) of the smallest rectangle around a mask's cells, if the gates of mask and rectangle let it pass."""
+    y, x = np.nonzero(mask >= cfg.mask_threshold)
+    if len(x) < cfg.min_points or len(x) < cfg.min_coverage * mask.size:
+        return None
+    p = rectangle_points(np.stack([x, y], axis=1).astype(float))
+    w = (np.hypot(*(p[1] - p[0])) + np.hypot(*(p[3] - p[2]))) / 2
+    h = (np.hypot(*(p[2] - p[1])) + np.hypot(*(p[0] - p[3]))) / 2
+    ratio = w / h if h > 0 else 0.0
+    if w * h < cfg.min_area * mask.size or not cfg.min_aspect <= ratio <= cfg.max_aspect:
+        return None
+    return p
+
+
+def rectify(images: DataFrame, masks: DataFrame, cfg: Rectify | None = None) -> DataFrame:
+    """Images (image_id, width, height, channels, data) seen straight by their masks (image_id, p, mask_w), with ``rectified``.
+
+    An image without a mask, or whose mask doesn't pass the gates, stays as it is; so do all if the options are off.
+    """
+    cfg = cfg or Rectify()
+    shape = "image_id long, width int, height int, channels int, data binary, rectified boolean"
+    rows = images.select("image_id", "width", "height", "channels", "data").join(masks.select("image_id", F.col("p").alias("mask"), "mask_w"), "image_id", "left")
+    if not cfg.enabled:
+        return images.select("image_id", "width", "height", "channels", "data", F.lit(False).alias("rectified"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for r in part.itertuples():
+                a, corners = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.channels), None
+                if r.mask is not None and len(r.mask):
+                    mask = np.asarray(r.mask, float).reshape(-1, int(r.mask_w))
+                    corners = mask_corners(mask, cfg)
+                if corners is not None:
+                    scale = np.array([r.width / mask.shape[1], r.height / mask.shape[0]])
+                    a = rectified(a, corners * scale, cfg.out_height)
+                out.append((r.image_id, a.shape[1], a.shape[0], r.channels, a.tobytes(), corners is not None))
+            yield pd.DataFrame(out, columns=["image_id", "width", "height", "channels", "data", "rectified"])
+
+    return rows.mapInPandas(run, shape)

@@ -11,7 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ImageConstraints, Orientation, Recognizer
@@ -42,6 +42,17 @@ def line_size(w: Column, h: Column, cfg: Recognizer | None = None) -> Column:
     return F.struct(wide.alias("w"), (F.ceil(wide / multiple) * multiple).cast("int").alias("padded"))
 
 
+def batch_width(crops: DataFrame, batch: str = "image_id") -> DataFrame:
+    """Adds the width that all crops of a batch are filled up to, the largest padded one, and the columns that each lacks."""
+    widest = F.max("padded").over(Window.partitionBy(batch))
+    return crops.withColumn("batch_w", widest).withColumn("fill", F.col("batch_w") - F.col("padded"))
+
+
+def filled(a: np.ndarray, width: int) -> np.ndarray:
+    """The image with black columns to the right up to the width."""
+    return np.pad(a, ((0, 0), (0, max(0, width - a.shape[1])), *[(0, 0)] * (a.ndim - 2)))
+
+
 def turn_crop(w: Column, h: Column, factor: float = 1.2) -> Column:
     """Whether a crop is so high that it is turned by 90 degrees before it is read."""
     return h > F.floor(w * factor).cast("int")

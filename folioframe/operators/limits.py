@@ -90,6 +90,41 @@ def replay(requests: DataFrame, limits: RateLimit) -> DataFrame:
     return rows.mapInPandas(run, REPLAY)
 
 
+def rejections(checked: DataFrame, limits: RateLimit) -> DataFrame:
+    """The refused requests as what a client is told: kind (rate or quota), type, limit, retry_after_us, and for quotas when they reset.
+
+    A rate's wait runs from the request; quotas reset at the next midnight.
+    """
+    most = {"minute": limits.per_minute, "hour": limits.per_hour, "requests": limits.requests_per_day, "data": limits.bytes_per_day}
+    limit = F.coalesce(*[F.when(F.col("verdict") == k, F.lit(v).cast("long")) for k, v in most.items()])
+    quota = F.col("verdict").isin("requests", "data")
+    return checked.filter("verdict <> 'ok'").select(
+        "event_id",
+        "user_id",
+        F.when(quota, "quota").otherwise("rate").alias("kind"),
+        F.col("verdict").alias("type"),
+        limit.alias("limit"),
+        F.when(~quota, F.col("wait_us")).alias("retry_after_us"),
+        F.when(quota, F.date_trunc("day", "ts") + F.expr("interval 1 day")).alias("resets"),
+    )
+
+
+def run_statistics(results: DataFrame, seconds: float, workers: int) -> DataFrame:
+    """One row for results (error): total, processed, failed, workers, seconds an image and images a second, 0 where none was processed."""
+    done = F.count(F.when(F.col("error").isNull(), 1))
+    some = lambda x: F.when(F.col("processed") > 0, x).otherwise(0.0)
+    out = results.agg(F.count("*").alias("total"), done.alias("processed"), F.count("error").alias("failed"))
+    return out.select("*", F.lit(workers).alias("workers"), some(F.lit(float(seconds)) / F.col("processed")).alias("seconds_each"), some(F.col("processed") / F.lit(float(seconds))).alias("per_second"))
+
+
+def profile(records: DataFrame, *keys: str) -> DataFrame:
+    """Records (det_ns, rec_ns, regions), one an image, summed by the keys (none: all): counts, whole milliseconds, milliseconds an image."""
+    out = records.groupBy(*keys).agg(F.count("*").alias("images"), F.coalesce(F.sum("regions"), F.lit(0)).alias("regions"), F.coalesce(F.sum("det_ns"), F.lit(0)).alias("det"), F.coalesce(F.sum("rec_ns"), F.lit(0)).alias("rec"))
+    whole = lambda c: F.floor(F.col(c) / 1_000_000).cast("long").alias(f"{c}_ms_total")
+    each = lambda c: F.when(F.col("images") > 0, F.col(c) / 1_000_000 / F.col("images")).alias(f"{c}_ms_per_image")
+    return out.select(*keys, "images", "regions", whole("det"), whole("rec"), each("det"), each("rec"))
+
+
 def gap_counters(requests: DataFrame) -> DataFrame:
     """The requests with minute and hour counters, all being accepted: how many are in the run without such a gap so far."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")

@@ -65,12 +65,16 @@ def mean_confidence(probs: Column) -> Column:
     return F.when(F.size(probs) > 0, F.aggregate(probs, F.lit(0.0), lambda a, x: a + x) / F.size(probs)).otherwise(0.0)
 
 
-def tokens_by_class(dictionary: DataFrame) -> Column:
-    """The dictionary's tokens as one array by idx, in an uncorrelated subquery: read once, looked up by position."""
+def with_tokens(rows: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """The rows with ``__tokens``: the dictionary's tokens as one array by idx, which is one broadcast row.
+
+    A dictionary (idx, token) is a character set: idx from 0, unique, some ten thousand entries at most. Nothing of it is read while the plan is built.
+    """
     top = dictionary.agg(F.max("idx").alias("top")).select(F.explode(F.sequence(F.lit(0), F.col("top").cast("int"))).alias("i"))
     known = top.join(dictionary.select(F.col("idx").alias("i"), "token"), "i", "left")
     entries = F.array_sort(F.collect_list(F.struct("i", "token")))
-    return known.agg(F.transform(entries, lambda e: e["token"]).alias("tokens")).scalar()
+    one = known.agg(F.transform(entries, lambda e: e["token"]).alias("__tokens")).withColumn("__one", F.lit(1))
+    return rows.withColumn("__one", F.lit(1)).join(F.broadcast(one), "__one").drop("__one")
 
 
 def spelled(classes: Column, tokens: Column) -> Column:
@@ -80,7 +84,7 @@ def spelled(classes: Column, tokens: Column) -> Column:
 
 def to_text(decoded: DataFrame, dictionary: DataFrame, key: str = "seq_id") -> DataFrame:
     """(key, text) of decoded sequences; ``dictionary`` (idx, token) is a character set, idx from 0 and unique."""
-    rows = decoded.select(key, F.col("out.idx").alias("__classes"), tokens_by_class(dictionary).alias("__tokens"))
+    rows = with_tokens(decoded.select(key, F.col("out.idx").alias("__classes")), dictionary)
     return rows.select(key, spelled(F.col("__classes"), F.col("__tokens")).alias("text"))
 
 

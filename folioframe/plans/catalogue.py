@@ -21,6 +21,7 @@ from ..operators import pages as P
 from ..operators import sequences as S
 from ..sources import fixtures as X
 from ..sources import sinks as K
+from . import documents as D
 from . import reading as R
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -151,6 +152,44 @@ def read_images(spark, d):
     return rounded(R.results(maps, SIDE, SIDE, give, X.dictionary(spark), Detector(box_threshold=0.7)))
 
 
+@query
+def region_polygons(spark, d):
+    """Each component as a rectangle that may be turned, with its area and box."""
+    found = N.map_polygons(X.maps(spark, d), CUT, SIDE, SIDE)
+    return rounded(found.select("image_id", "label", F.size("polygon").alias("corners"), G.polygon_area(F.col("polygon")).alias("area"), "bx0", "by0", "bx1", "by1"))
+
+
+def _maps_at(spark, d):
+    """Maps at scale 1, and at a half the means of four values."""
+    maps, half = X.maps(spark, d), SIDE // 2
+
+    def at(scale):
+        if scale == 1:
+            return maps, SIDE, SIDE
+        four = lambda i: [(F.floor(i / half) * 2 + dy) * SIDE + i % half * 2 + dx for dy in (0, 1) for dx in (0, 1)]
+        mean = lambda i: sum((F.get("p", k.cast("int")) for k in four(i)), F.lit(0.0)) / 4
+        return maps.select("image_id", F.transform(F.sequence(F.lit(0), F.lit(half * half - 1)), mean).alias("p")), half, half
+
+    return at
+
+
+@query
+def multiscale_regions(spark, d):
+    """Maps at two scales to regions: detection at each, boxes mapped back and suppressed together."""
+    cfg = Detector(db_threshold=CUT, box_threshold=0.6, multi_scale=MultiScale(enabled=True, scales=(1.0, 0.5)))
+    found = R.regions_at_scales(_maps_at(spark, d), SIDE, SIDE, cfg)
+    return rounded(found.select("image_id", "region_id", *B.BOX, "confidence"))
+
+
+@query
+def read_images_beam(spark, d):
+    """As read_images, decoded by beam search."""
+    maps, scores = X.maps(spark, d), X.logits(spark, d)
+    probs = scores.withColumn("steps", F.transform("steps", lambda s: let(F.aggregate(s, F.lit(0.0), lambda a, v: a + F.exp(v)), lambda z: F.transform(s, lambda x: F.exp(x) / z))))
+    give = lambda regions: regions.select("image_id", "region_id").join(probs.withColumnRenamed("seq_id", "image_id"), "image_id")
+    return rounded(R.results(maps, SIDE, SIDE, give, X.dictionary(spark), Detector(box_threshold=0.7), Recognizer(decode="beam", beam_width=5)))
+
+
 # ---- boxes -----------------------------------------------------------------------------
 
 
@@ -434,6 +473,44 @@ def barcode_page_box(spark, d):
     return rounded(P.barcode_boxes(rows, F.lit(150.0), F.lit(792.0)).select("region_id", "px", "py", "pw", "ph"))
 
 
+# ---- documents -------------------------------------------------------------------------
+
+
+def _pages(spark, d):
+    """(analysis, own, images, regions): as many images a page as the fixture says, up to three regions in each."""
+    text = X.page_text(spark, d)
+    file = F.concat(F.lit("doc,"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("file")
+    found = _analysed(spark, d).withColumn("s", P.strategy(F.col("score"), F.col("reach"), F.col("has_text"), F.col("image_count")))
+    analysis = found.select(file, F.lit(1).alias("page"), F.col("s.strategy").alias("strategy"))
+    own = text.select(file, "page", F.substring("text", 1, 80).alias("text"), "page_w", "page_h")
+    image = text.filter("image_count > 0").select("doc_id", file, "page", F.explode(F.sequence(F.lit(1), F.col("image_count"))).alias("image_index"))
+    images = image.select("file", "page", "image_index", (300 + F.col("doc_id") % 7 * 40 + F.col("image_index")).cast("int").alias("width"), (200 + F.col("doc_id") % 5 * 30).cast("int").alias("height"))
+    n = ((F.col("doc_id") + F.col("image_index")) % 4).cast("int")
+    regions = image.select("*", F.explode(F.filter(F.sequence(F.lit(1), F.lit(3)), lambda i: i <= n)).alias("ord"))
+    whole = lambda c: c.cast("int")
+    regions = regions.select(
+        "file", "page", "image_index", "ord", whole(F.col("ord") * 20).alias("x"), whole(F.col("doc_id") % 50 + F.col("ord")).alias("y"), whole(F.col("ord") * 5 + 10).alias("w"), F.lit(12).alias("h"),
+        ((F.col("doc_id") * 7 + F.col("ord") * 13) % 64 / 64.0).alias("det_conf"), F.concat(F.lit("read "), F.col("ord").cast("string")).alias("text"), F.lit(0.75).alias("rec_conf"),
+    )
+    return analysis, own, images, regions
+
+
+@query
+def page_results(spark, d):
+    found = D.page_results(*_pages(spark, d)).withColumn("n_regions", F.aggregate("images", F.lit(0), lambda a, i: a + F.size(i["regions"])))
+    return found.select("file", "page", "width", "height", "strategy", F.length("own_text").alias("own_chars"), F.size("images").alias("n_images"), "n_regions")
+
+
+@query
+def document_text(spark, d):
+    return K.document_text(D.page_results(*_pages(spark, d))).select("file", F.md5(F.col("text").cast("binary")).alias("digest"), F.length("text").alias("n"))
+
+
+@query
+def document_csv_rows(spark, d):
+    return K.document_csv_rows(_pages(spark, d)[3]).select("file", "page", "image_index", "ord", "line")
+
+
 # ---- limits ----------------------------------------------------------------------------
 
 LIMITS = RateLimit(per_minute=3, per_hour=20, requests_per_day=200, bytes_per_day=2_000_000)
@@ -444,6 +521,24 @@ def rate_limit_replay(spark, d):
     return L.replay(X.requests(spark, d), LIMITS).select("event_id", "user_id", "verdict", "wait_us")
 
 
+@query
+def rejections(spark, d):
+    found = L.rejections(L.replay(X.requests(spark, d), LIMITS), LIMITS)
+    return found.select("event_id", "user_id", "kind", "type", "limit", "retry_after_us", F.unix_micros("resets").alias("resets_us"))
+
+
+@query
+def run_statistics(spark, d):
+    rows = X.requests(spark, d).select(F.when(F.col("event_id") % 10 == 0, F.lit("failed")).alias("error"))
+    return rounded(L.run_statistics(rows, 12.5, 4))
+
+
+@query
+def stage_profile(spark, d):
+    rows = X.requests(spark, d).select("event_type", (F.col("data_size") * 1000).alias("det_ns"), (F.col("data_size") * 3001).alias("rec_ns"), (F.col("event_id") % 9).alias("regions"))
+    return rounded(L.profile(rows, "event_type"))
+
+
 @query
 def gap_session_counters(spark, d):
     return L.gap_counters(X.requests(spark, d)).select("event_id", "minute", "hour")
@@ -532,6 +627,13 @@ def recognition_dims(spark, d):
     return rows.select("region_id", I.turn_crop(F.col("w"), F.col("h")).alias("turn"), I.line_size(F.col("w"), F.col("h"), cfg).alias("s")).select("region_id", "turn", F.col("s.w").alias("to_w"), "s.padded")
 
 
+@query
+def batch_widths(spark, d):
+    rows = X.region_rows(spark, d).select("image_id", "region_id", (F.col("max_x") - F.col("min_x")).cast("int").alias("w"), (F.col("max_y") - F.col("min_y")).cast("int").alias("h"))
+    sized = rows.select("image_id", "region_id", I.line_size(F.col("w"), F.col("h"), Recognizer(max_width=320))["padded"].alias("padded"))
+    return I.batch_width(sized).select("image_id", "region_id", "padded", "batch_w", "fill")
+
+
 @query
 def orientation_heuristic(spark, d):
     return rounded(I.heuristic(I.transitions(X.maps(spark, d), SIDE)))
@@ -586,3 +688,20 @@ def json_regions(spark, d):
 @query
 def text_lines(spark, d):
     return K.text_of_image(_results(spark, d))
+
+
+def _files(spark, rows):
+    images = rows.select("image_id").distinct().unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("image_id")))
+    return images.withColumn("file", F.concat(F.lit("img,"), F.col("image_id").cast("string"), F.lit(".png")))
+
+
+@query
+def batch_text(spark, d):
+    rows = _results(spark, d)
+    return K.batch_text(_files(spark, rows), rows)
+
+
+@query
+def batch_json(spark, d):
+    rows = _results(spark, d)
+    return K.batch_json(_files(spark, rows), rows)

@@ -423,10 +423,7 @@ gaps as (select *, ts - lag(ts) over (partition by user_id order by ts, event_id
 runs as (select *, sum(case when gap >= interval 1 minute then 1 else 0 end) over w as m, sum(case when gap >= interval 1 hour then 1 else 0 end) over w as hr
   from gaps window w as (partition by user_id order by ts, event_id))""",
 )
-SQL["rate_limit_replay"] = on(
-    "f_requests",
-    "select event_id, user_id, verdict, wait as wait_us from st where k > 0",
-    """
+_REPLAY = """
 ev as (select *, epoch_us(ts) as us, row_number() over (partition by user_id order by ts, event_id) as k from f_requests),
 st as (
   select user_id::bigint as user_id, 0::bigint as k, null::bigint as event_id, 0 as m, 0 as h, 0 as n, 0::bigint as b, null::bigint as last, null::bigint as day, '' as verdict, 0::bigint as wait
@@ -439,8 +436,21 @@ st as (
       select e.user_id, e.k, e.event_id, e.us, e.data_size, coalesce(last, us) as last, us - coalesce(last, us) as gap,
         case when us - coalesce(last, us) >= 60000000 then 0 else m end as m, case when us - coalesce(last, us) >= 3600000000 then 0 else h end as h,
         case when us // 86400000000 <> coalesce(day, us // 86400000000) then 0 else n end as n, case when us // 86400000000 <> coalesce(day, us // 86400000000) then 0 else b end as b
-      from st join ev e on e.user_id = st.user_id and e.k = st.k + 1))))""",
+      from st join ev e on e.user_id = st.user_id and e.k = st.k + 1))))"""
+SQL["rate_limit_replay"] = on("f_requests", "select event_id, user_id, verdict, wait as wait_us from st where k > 0", _REPLAY)
+SQL["rejections"] = on(
+    "f_requests",
+    """select st.event_id, st.user_id, case when verdict in ('requests', 'data') then 'quota' else 'rate' end as kind, verdict as type,
+      case verdict when 'minute' then 3 when 'hour' then 20 when 'requests' then 200 else 2000000 end::bigint as "limit",
+      case when verdict in ('minute', 'hour') then wait end as retry_after_us,
+      case when verdict in ('requests', 'data') then epoch_us(date_trunc('day', ts)) + 86400000000 end as resets_us
+    from st join ev on ev.event_id = st.event_id where verdict <> 'ok' and st.k > 0""",
+    _REPLAY,
 )
+SQL["run_statistics"] = """select count(*) as total, count(*) filter (event_id % 10 <> 0) as processed, count(*) filter (event_id % 10 = 0) as failed, 4 as workers,
+  round(12.5 / count(*) filter (event_id % 10 <> 0), 6)::double as seconds_each, round(count(*) filter (event_id % 10 <> 0) / 12.5, 6)::double as per_second from events"""
+SQL["stage_profile"] = on("f_requests", """select event_type, count(*) as images, sum(event_id % 9)::bigint as regions, (sum(data_size) * 1000 // 1000000)::bigint as det_ms_total, (sum(data_size) * 3001 // 1000000)::bigint as rec_ms_total,
+  round(sum(data_size) * 1000 / 1000000 / count(*), 6)::double as det_ms_per_image, round(sum(data_size) * 3001 / 1000000 / count(*), 6)::double as rec_ms_per_image from f_requests group by event_type""")
 SQL["quota_daily"] = on("f_requests", "select user_id, ts::date::varchar as day, count(*) as n, sum(data_size)::bigint as bytes from f_requests group by all")
 SQL["request_histogram"] = on("f_requests", "select event_type, le, count(*) filter (le is null or data_size <= le) as n from f_requests cross join (select unnest([1024.0, 10240.0, 102400.0, null])::double as le) where data_size is not null group by all")
 SQL["memory_average"] = on(
@@ -496,3 +506,118 @@ SQL["batch_csv_rows"] = on(
 )
 SQL["json_regions"] = on("f_regions", """select image_id, '{"regions":[' || string_agg('{"ord":' || ord || ',"x":' || x || ',"y":' || y || ',"w":' || w || ',"h":' || h || ',"text":"' || replace(text, '"', '\\"') || '"}', ',' order by ord) || ']}' as json from res group by image_id""", RESULTS)
 SQL["text_lines"] = on("f_regions", "select image_id, coalesce(string_agg(t, chr(10) order by ord) filter (t <> ''), '') as text from (select image_id, ord, trim(text, ' ') as t from res) group by image_id", RESULTS)
+
+SQL["batch_widths"] = on(
+    "f_regions",
+    """select image_id, region_id, padded, max(padded) over (partition by image_id) as batch_w, max(padded) over (partition by image_id) - padded as fill
+    from (select image_id, region_id, (ceil(least(greatest(1, floor(w * 48 / h)::int), 320) / 8) * 8)::int as padded
+      from (select image_id, region_id, (max_x - min_x)::int as w, (max_y - min_y)::int as h from f_regions))""",
+)
+SQL["batch_text"] = on(
+    "f_regions",
+    """select 'img,' || image_id || '.png' as file, '# img,' || image_id || '.png' || chr(10) || coalesce(string_agg(t, chr(10) order by y, x, ord) filter (t <> ''), '') as text
+    from (select image_id, ord, x, y, trim(text, ' ') as t from res) group by image_id union all select 'img,-1.png', '# img,-1.png' || chr(10)""",
+    RESULTS,
+)
+_SHORT = "case when {0} > 0 and {0} < 0.001 then round({0} * 10000)::int || '.0E-4' else {0}::varchar end"
+SQL["batch_json"] = on(
+    "f_regions",
+    """select 'img,' || image_id || '.png' as file, '{"file":"img,' || image_id || '.png","ocr":{"regions":[' || string_agg('{"ord":' || ord || ',"box":{"x":' || x || ',"y":' || y || ',"w":' || w || ',"h":' || h
+      || '},"text":"' || replace(text, '"', '\\"') || '","rec_confidence":' || REC || ',"det_confidence":' || DET || ',"language":"en"}', ',' order by ord) || ']}}' as json from res group by image_id
+    union all select 'img,-1.png', '{"file":"img,-1.png","ocr":{"regions":[]}}'""".replace("REC", _SHORT.format("rec_conf")).replace("DET", _SHORT.format("det_conf")),
+    RESULTS,
+)
+
+# ---- documents -------------------------------------------------------------------------
+
+_PAGE_TABLES = (
+    _ANALYSED
+    + """,
+chosen as (
+  select doc_id, 'doc,' || doc_id || '.pdf' as file, images as n_images, left(text, 80) as own, case when not has_text and images > 0 then 'ocr' when not has_text then 'skip'
+    when q >= 0.7 and c >= 0.8 and images > 0 then 'hybrid' when q >= 0.7 and c >= 0.8 then 'vector' when q >= 0.5 and q < 0.7 and images > 0 then 'hybrid'
+    when q >= 0.5 and q < 0.7 then 'vector' when images > 0 then 'ocr' else 'vector' end as strategy
+  from pages_ join documents using (doc_id)),
+pics as (
+  select doc_id, file, strategy, i, (300 + doc_id % 7 * 40 + i)::int as width, (200 + doc_id % 5 * 30)::int as height, (doc_id + i) % 4 as n
+  from (select *, unnest(range(1, n_images + 1)) as i from chosen) u),
+regs as (
+  select doc_id, file, strategy, i, ord::int as ord, (ord * 20)::int as x, (doc_id % 50 + ord)::int as y, (ord * 5 + 10)::int as w, 12 as h, (doc_id * 7 + ord * 13) % 64 / 64.0::double as conf
+  from (select *, unnest(range(1, least(n, 3) + 1)) as ord from pics) u),
+sizes as (
+  select doc_id, max(width) as width, max(height) as height, count(*)::int as images, sum(least(n, 3))::int as regions from pics group by doc_id),
+pages2 as (
+  select c.doc_id, file, strategy, case when strategy in ('ocr', 'hybrid') then coalesce(width, case when strategy = 'hybrid' then 612 else 0 end) else 612 end as width,
+    case when strategy in ('ocr', 'hybrid') then coalesce(height, case when strategy = 'hybrid' then 792 else 0 end) else 792 end as height,
+    case when strategy in ('vector', 'hybrid') then length(own) end as own_chars,
+    case when strategy in ('ocr', 'hybrid') then coalesce(images, 0) else 0 end as n_images, case when strategy in ('ocr', 'hybrid') then coalesce(regions, 0) else 0 end as n_regions
+  from chosen c left join sizes using (doc_id) where strategy <> 'skip')"""
+)
+SQL["page_results"] = f"with {_PAGE_TABLES} select file, 1 as page, width::int as width, height::int as height, strategy, own_chars::int as own_chars, n_images::int as n_images, n_regions::int as n_regions from pages2"
+
+
+def _fixed(x: str) -> str:
+    return f"printf('%.3f', round(({x})::decimal(12, 6), 3))"
+
+
+SQL["document_csv_rows"] = f"""with {_PAGE_TABLES} select file, 1 as page, i::int as image_index, ord, concat_ws(',', '"' || file || '"', 1, i, ord, x, y, x + w, y + h, w, h, {_fixed("conf")}) as line from regs"""
+SQL["document_text"] = f"""with {_PAGE_TABLES},
+rows_ as (select doc_id, i, avg(conf) as conf, count(*) as n, string_agg('    #' || ord || ' box=(' || x || ',' || y || ' ' || w || 'x' || h || ') conf=' || {_fixed("conf")} || chr(10), '' order by ord) as t from regs group by all),
+imgs as (
+  select p.doc_id, string_agg('  Image ' || p.i || ' (' || p.width || 'x' || p.height || '): ' || coalesce(r.n, 0) || ' region(s), confidence: ' || {_fixed("coalesce(r.conf, 0)")} || chr(10) || coalesce(t, ''), '' order by p.i) as t
+  from pics p left join rows_ r using (doc_id, i) group by p.doc_id)
+select file, md5(text) as digest, length(text)::int as n from (
+  select file, 'File: ' || file || chr(10) || 'Total Pages: 1' || chr(10) || chr(10) || 'Page 1 (' || width || 'x' || height || '):' || chr(10)
+    || case when strategy in ('ocr', 'hybrid') then coalesce(t, '') else '' end || chr(10) || '---' || chr(10) || chr(10) as text from pages2 left join imgs using (doc_id))"""
+
+# ---- polygons --------------------------------------------------------------------------
+
+_OUTER = (
+    LABELS
+    + """,
+edge as (select image_id, label, x::double as x, y::double as y from cells c where (select count(*) from cells o where o.image_id = c.image_id and o.label = c.label and abs(o.x - c.x) + abs(o.y - c.y) = 1) < 4),
+lists as (select image_id, label, list({'x': x, 'y': y} order by x, y) as p from edge group by all)"""
+)
+# Both halves of a hull: a point is put on the stack after those that turn the wrong way have been taken off, one a step.
+_HULL = (
+    _OUTER
+    + """,
+halves as (select image_id, label, 0 as side, p from lists union all select image_id, label, 1, list_reverse(p) from lists),
+st as (
+  select image_id, label, side, p, 1 as i, []::struct(x double, y double)[] as s from halves
+  union all
+  select image_id, label, side, p, case when pop then i else i + 1 end, case when pop then s[1:len(s) - 1] else list_append(s, p[i]) end
+  from (select *, len(s) > 1 and (s[-1].x - s[-2].x) * (p[i].y - s[-2].y) - (s[-1].y - s[-2].y) * (p[i].x - s[-2].x) <= 0 as pop from st where i <= len(p))),
+hulls as (
+  select image_id, label, case when len(any_value(p)) = 1 then any_value(p) else list_concat(max(s) filter (side = 0), max(s) filter (side = 1)) end as h
+  from (select image_id, label, side, p, s[1:len(s) - 1] as s from st where i > len(p)) group by image_id, label)"""
+)
+SQL["convex_hull"] = on(
+    "f_pixels",
+    "select image_id, label, len(h)::int as corners, round(abs(list_sum(list_transform(h, lambda a, i: a.x * h[i % len(h) + 1].y - h[i % len(h) + 1].x * a.y))) / 2, 6)::double as area from hulls",
+    _HULL,
+)
+SQL["min_area_rect"] = on(
+    "f_pixels",
+    """select image_id, label, round(min(case when dx = 0 and dy = 0 then 0 else size / (dx * dx + dy * dy) end), 6)::double as area from (
+      select image_id, label, dx, dy, (list_max(list_transform(h, lambda q: q.x * dx + q.y * dy)) - list_min(list_transform(h, lambda q: q.x * dx + q.y * dy)))
+        * (list_max(list_transform(h, lambda q: q.y * dx - q.x * dy)) - list_min(list_transform(h, lambda q: q.y * dx - q.x * dy))) as size from sides) group by all""",
+    _HULL
+    + """,
+corners as (select image_id, label, h, unnest(range(1, len(h) + 1)) as i from hulls),
+sides as (select image_id, label, h, h[i % len(h) + 1].x - h[i].x as dx, h[i % len(h) + 1].y - h[i].y as dy from corners)""",
+)
+SQL["simplify_polygon"] = on(
+    "f_pixels",
+    "select image_id, label, len(p)::int as n, kept::int as kept from st where len(spans) = 0",
+    _OUTER
+    + """,
+st as (
+  select image_id, label, p, case when len(p) <= 3 then [] else [{'i': 1, 'j': len(p)}] end::struct(i bigint, j bigint)[] as spans, case when len(p) <= 3 then len(p) else 2 end as kept from lists
+  union all
+  select image_id, label, p, case when far then list_concat(spans[1:len(spans) - 1], [{'i': i, 'j': k}, {'i': k, 'j': j}]) else spans[1:len(spans) - 1] end, kept + far::int
+  from (select *, j - i >= 2 and coalesce(list_max(away) > 1.0, false) as far, i + coalesce(list_position(away, list_max(away)), 0) as k from (
+    select *, list_transform(range(i + 1, j), lambda m: case when dx = 0 and dy = 0 then sqrt((p[m].x - p[i].x) * (p[m].x - p[i].x) + (p[m].y - p[i].y) * (p[m].y - p[i].y))
+      else abs(dx * (p[m].y - p[i].y) - dy * (p[m].x - p[i].x)) / sqrt(dx * dx + dy * dy) end) as away
+    from (select *, p[j].x - p[i].x as dx, p[j].y - p[i].y as dy from (select *, spans[-1].i as i, spans[-1].j as j from st where len(spans) > 0)))))""",
+)

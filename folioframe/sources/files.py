@@ -106,27 +106,28 @@ def merged_dictionary(lines: DataFrame) -> DataFrame:
     return kept.select((F.row_number().over(Window.orderBy("file", "line")) - 1).cast("int").alias("idx"), "token")
 
 
-def dictionary_paths(folder: str, languages: list[str], default: str) -> list[str]:
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever store it names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def dictionary_paths(spark: SparkSession, folder: str, languages: list[str], default: str) -> list[str]:
     """The files there are for the languages, then the default."""
     found = []
     for language in languages:
-        for name in (f"{language}.txt", f"dict_{language}.txt", f"{language}_dict.txt"):
-            path = os.path.join(folder, name)
-            if os.path.exists(path):
-                found.append(path)
-                break
+        named = (f"{folder}/{name}" for name in (f"{language}.txt", f"dict_{language}.txt", f"{language}_dict.txt"))
+        found += [path for path in named if exists(spark, path)][:1]
     return [*found, default]
 
 
-def resolve_model(name: str, kind: str, folder: str | None = None, variable: str = "FOLIOFRAME_MODELS") -> str:
+def resolve_model(spark: SparkSession, name: str, kind: str, folder: str | None = None, variable: str = "FOLIOFRAME_MODELS") -> str:
     """The path of a model file: in the folder given, in that of the environment variable, or under ./models; by kind first, then flat."""
     places = [p for p in (folder, os.environ.get(variable), "models") if p]
-    for place in places:
-        for path in (os.path.join(place, kind, name), os.path.join(place, name)):
-            if os.path.exists(path):
-                return path
-    return os.path.join(places[0], kind, name)
+    paths = [path for place in places for path in (f"{place}/{kind}/{name}", f"{place}/{name}")]
+    return next((path for path in paths if exists(spark, path)), paths[0])
 
 
-def available_models(folder: str) -> list[str]:
-    return sorted(os.path.relpath(os.path.join(d, f), folder) for d, _, names in os.walk(folder) for f in names if f.endswith(".onnx"))
+def available_models(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, length) of the model files under a folder, read from the store's listing."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.onnx").load(folder).select("path", "length")

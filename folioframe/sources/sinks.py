@@ -67,6 +67,46 @@ def image_json(regions: DataFrame) -> DataFrame:
     return lists.select("image_id", F.to_json(F.struct("image_id", "avg_det_confidence", "regions")).alias("json"))
 
 
+def batch_text(images: DataFrame, regions: DataFrame) -> DataFrame:
+    """(file, text): a head line with the file's name, then the texts of the image from top left; an image without regions has its head and an empty line."""
+    ordered = regions.withColumn("__at", F.struct("y", "x", "ord"))
+    lines = text_of_image(ordered, "__at").withColumnRenamed("text", "lines")
+    rows = images.select("image_id", "file").join(lines, "image_id", "left")
+    return rows.select("file", F.concat(F.lit("# "), F.col("file"), F.lit("\n"), F.coalesce("lines", F.lit(""))).alias("text"))
+
+
+def batch_json(images: DataFrame, regions: DataFrame) -> DataFrame:
+    """(file, json): {"file": ..., "ocr": ...} for each image, with an empty list where nothing was found."""
+    box = F.struct("x", "y", "w", "h").alias("box")
+    item = F.struct("ord", box, "text", F.round("rec_conf", 6).alias("rec_confidence"), F.round("det_conf", 6).alias("det_confidence"), "language")
+    lists = regions.groupBy("image_id").agg(F.array_sort(F.collect_list(item)).alias("regions"))
+    rows = images.select("image_id", "file").join(lists, "image_id", "left")
+    kind = lists.schema["regions"].dataType
+    ocr = F.struct(F.coalesce("regions", F.array().cast(kind)).alias("regions")).alias("ocr")
+    return rows.select("file", F.to_json(F.struct("file", ocr)).alias("json"))
+
+
+DOCUMENT_HEADER = "File,Page,Image,Region,X1,Y1,X2,Y2,Width,Height,Confidence"
+
+
+def document_csv_rows(regions: DataFrame) -> DataFrame:
+    """(file, page, image_index, ord, line) under DOCUMENT_HEADER of regions (file, page, image_index, ord, x, y, w, h, det_conf)."""
+    whole = lambda c: number(c.cast("double"), 0)
+    x, y, w, h = (F.col(c) for c in ("x", "y", "w", "h"))
+    fields = [csv_field(F.col("file")), *[F.col(c).cast("string") for c in ("page", "image_index", "ord")], *[whole(c) for c in (x, y, x + w, y + h, w, h)], number(F.col("det_conf"))]
+    return regions.select("file", "page", "image_index", "ord", F.concat_ws(",", *fields).alias("line"))
+
+
+def document_text(pages: DataFrame) -> DataFrame:
+    """(file, text) of page results (file, page, width, height, images): a line a page, an image and a region."""
+    region = lambda r: F.concat(F.lit("    #"), r["ord"].cast("string"), F.lit(" box=("), r["x"].cast("string"), F.lit(","), r["y"].cast("string"), F.lit(" "), r["w"].cast("string"), F.lit("x"), r["h"].cast("string"), F.lit(") conf="), number(r["det_conf"]), F.lit("\n"))
+    image = lambda i: F.concat(F.lit("  Image "), i["image_index"].cast("string"), F.lit(" ("), i["width"].cast("string"), F.lit("x"), i["height"].cast("string"), F.lit("): "), F.size(i["regions"]).cast("string"), F.lit(" region(s), confidence: "), number(i["confidence"]), F.lit("\n"), F.array_join(F.transform(i["regions"], region), ""))
+    head = F.concat(F.lit("Page "), F.col("page").cast("string"), F.lit(" ("), F.col("width").cast("string"), F.lit("x"), F.col("height").cast("string"), F.lit("):\n"))
+    body = F.concat(head, F.array_join(F.transform("images", image), ""), F.lit("\n"))
+    lists = pages.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("page", body.alias("body")))).alias("p"))
+    return lists.select("file", F.concat(F.lit("File: "), F.col("file"), F.lit("\nTotal Pages: "), F.size("p").cast("string"), F.lit("\n\n"), F.array_join("p.body", ""), F.lit("---\n\n")).alias("text"))
+
+
 def write(df: DataFrame, path: str, form: str) -> None:
     """json, csv (with header), text (one string column) or parquet."""
     writer = df.write.mode("overwrite")

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from folioframe.config import AdaptiveThresholds, CleanText, Hybrid, MultiScale, RateLimit
+from folioframe.config import AdaptiveThresholds, CleanText, Detector, Hybrid, MultiScale, RateLimit, Recognizer
 from folioframe.functions import text as T
 from folioframe.operators import boxes, components, geometry, images, limits, maps, pages, sequences
 from folioframe.sources import files, sinks
@@ -326,3 +326,223 @@ def test_all_neighbours_have_figures(spark, tmp_path):
     for name, want in (("levenshtein_car", car), ("war", war), ("text_similarity", similarity)):
         rows = catalogue.QUERIES[name](spark, str(tmp_path)).collect()
         assert {r["item_id"]: r[1] for r in rows} == pytest.approx(want, abs=1e-6), name
+
+
+# ---- polygons, scales, beam in the plan --------------------------------------------------
+
+
+def square_map(*boxes, side=16, value=0.9):
+    a = np.full((side, side), 0.05)
+    for x0, y0, x1, y1 in boxes:
+        a[y0:y1, x0:x1] = value
+    return [float(v) for v in a.reshape(-1)]
+
+
+MAP = "image_id long, p array<double>"
+
+
+def test_polygons_of_maps(spark):
+    from folioframe.operators import contours
+
+    maps = spark.createDataFrame([(1, square_map((2, 3, 8, 7), (10, 10, 13, 15))), (2, square_map()), (3, None)], MAP)
+    got = {(r["image_id"], r["label"]): r for r in contours.map_polygons(maps, 0.5, 16, 16).collect()}
+    assert set(got) == {(1, 1), (1, 2)}
+    r = got[(1, 1)]  # cells 2..7 by 3..6, grown by a tenth about the middle (4.5, 4.5)
+    assert (r["bx0"], r["by0"], r["bx1"], r["by1"]) == pytest.approx((1.75, 2.85, 8.25, 7.15))
+    assert sorted((round(p["x"], 6), round(p["y"], 6)) for p in r["polygon"]) == [(1.75, 2.85), (1.75, 6.15), (7.25, 2.85), (7.25, 6.15)]
+    line = contours.region_polygon([(0.0, 0.0), (4.0, 4.0)], 5, "contour")
+    assert len(line) == 2
+
+
+def test_regions_carry_polygons_through_suppression(spark):
+    from folioframe.plans import reading
+
+    maps = spark.createDataFrame([(1, square_map((2, 3, 8, 7), (10, 10, 13, 15)))], MAP)
+    for method in ("hard", "linear", "gaussian"):
+        got = reading.regions(maps, 16, 16, Detector(nms_method=method)).collect()
+        assert len(got) == 2 and all(len(r["polygon"]) == 4 for r in got)
+
+
+def test_scales_are_joined_and_fall_back(spark):
+    from folioframe.plans import reading
+
+    full = spark.createDataFrame([(1, square_map((2, 2, 8, 8))), (2, square_map((9, 9, 15, 15)))], MAP)
+    half = spark.createDataFrame([(1, square_map((1, 1, 4, 4), (5, 5, 8, 8), side=8)), (2, square_map(side=8))], MAP)
+    at = lambda s: (full, 16, 16) if s == 1 else (half, 8, 8)
+    cfg = Detector(multi_scale=MultiScale(enabled=True, scales=(1.0, 0.5)))
+    got = sorted((r["image_id"], round(r["min_x"])) for r in reading.regions_at_scales(at, 16, 16, cfg).collect())
+    assert got == [(1, 2), (1, 10), (2, 9)]  # one of the two sightings of the first square, and the one only seen at a half
+    only_half = Detector(multi_scale=MultiScale(enabled=True, scales=(0.5,)))
+    got = sorted((r["image_id"], round(r["min_x"])) for r in reading.regions_at_scales(at, 16, 16, only_half).collect())
+    assert got == [(1, 2), (1, 10), (2, 9)]  # the second image has nothing at a half
+
+
+def test_beam_and_greedy_in_the_plan(spark):
+    from folioframe.plans import reading
+
+    steps = [[float(v) for v in row] for row in images.synthetic_logits([1, 0, 1, 2], 4)]
+    scores = spark.createDataFrame([(1, 1, steps)], "image_id long, region_id long, steps array<array<double>>")
+    dictionary = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "idx int, token string")
+    read = lambda how: reading.texts(scores, dictionary, Recognizer(decode=how, beam_width=4)).first()["text"]
+    assert read("greedy") == "aab" and read("beam") == "ab"  # a blank doesn't end a run of the beam's
+    assert reading.texts(scores, dictionary.limit(0)).first()["text"] == ""
+
+
+def test_read_images_is_made_of_its_parts(spark, data):
+    """The composed plan against its parts, put together here."""
+    from folioframe.plans import catalogue
+
+    got = catalogue.read_images(spark, data).collect()
+    maps, logits = catalogue.X.maps(spark, data), catalogue.X.logits(spark, data)
+    path = {r["seq_id"]: r["text"] for r in catalogue.S.to_text(catalogue.S.greedy(logits), catalogue.X.dictionary(spark)).collect()}
+    cells = catalogue.C.component_stats(catalogue.C.components(maps, Detector().db_threshold, 8)).collect()
+    sure = {}
+    for r in cells:
+        if r["sum_p"] / r["n"] >= 0.7:
+            sure.setdefault(r["image_id"], []).append(round(r["sum_p"] / r["n"], 6))
+    assert got and {r["image_id"] for r in got} == set(sure)
+    for r in got:
+        assert r["det_conf"] in sure[r["image_id"]] and r["text"] == path[r["image_id"]]
+
+
+# ---- pixels ----------------------------------------------------------------------------
+
+
+def picture(spark, a, image_id=1):
+    return spark.createDataFrame([(image_id, a.shape[1], a.shape[0], a.shape[2], a.tobytes())], images.IMAGE)
+
+
+def pixels(row):
+    return np.frombuffer(row["data"], np.uint8).reshape(row["height"], row["width"], row["channels"])
+
+
+def test_overlay_draws_boxes_and_polygons(spark):
+    from folioframe.operators import contours
+
+    a = np.zeros((20, 30, 3), np.uint8)
+    regions = spark.createDataFrame([(1, 2, 3, 6, 5, [(10.0, 10.0), (14.0, 10.0), (14.0, 14.0)])], "image_id long, x int, y int, w int, h int, polygon array<struct<x: double, y: double>>")
+    got = pixels(contours.overlay(picture(spark, a), regions).first())
+    assert got[3, 2].tolist() == got[7, 7].tolist() == [255, 0, 0] and got[5, 4].tolist() == [0, 0, 0]
+    assert got[10, 12].tolist() == [0, 255, 0] and got[12, 14].tolist() == [0, 255, 0]
+    plain = pixels(contours.overlay(picture(spark, a), regions.drop("polygon")).first())
+    assert plain[10, 12].tolist() == [0, 0, 0]
+
+
+def test_rectify_or_leave(spark):
+    from folioframe.config import Rectify
+
+    a = np.zeros((60, 80, 1), np.uint8)
+    a[15:45, 20:60] = 200
+    mask = (a[..., 0] > 0).astype(float)
+    masks = spark.createDataFrame([(1, [float(v) for v in mask.reshape(-1)], 80)], "image_id long, p array<double>, mask_w int")
+    on = Rectify(enabled=True, out_height=30)
+    got = geometry.rectify(picture(spark, a), masks, on).first()
+    assert got["rectified"] and got["height"] == 30 and abs(got["width"] - 40) <= 2 and (pixels(got) == 200).mean() > 0.95
+    for cfg, m in ((Rectify(enabled=False), masks), (on, masks.limit(0)), (Rectify(enabled=True, min_area=0.9), masks)):
+        left = geometry.rectify(picture(spark, a), m, cfg).first()
+        assert not left["rectified"] and (pixels(left) == a).all()
+
+
+def test_turned_quality_and_orientation(spark):
+    from folioframe.config import Orientation
+
+    a = np.arange(24, dtype=np.uint8).reshape(2, 4, 3)
+    got = images.turned(picture(spark, a).withColumn("angle", F.lit(90))).first()
+    assert (pixels(got) == np.rot90(a)).all()
+    q = images.image_quality(picture(spark, np.repeat(a[..., :1], 3, axis=2))).first()
+    assert q["grey"] and not q["alpha"] and q["aspect"] == 2
+    rows = spark.createDataFrame([(1, 100, 110, 90, 0.99), (2, 200, 100, 90, 0.9), (3, 200, 100, 90, 0.5)], "image_id long, width int, height int, angle int, confidence double")
+    got = {r["image_id"]: (r["angle"], r["confidence"]) for r in images.orientation(rows, Orientation()).collect()}
+    assert got == {1: (0, 1.0), 2: (90, 0.9), 3: (0, 0.5)}
+    logits = one(spark, images.from_logits(F.array(*[F.lit(v) for v in (0.0, 3.0, 0.0, 0.0)])))
+    assert logits["angle"] == 90 and logits["confidence"] == pytest.approx(np.exp(3) / (np.exp(3) + 3))
+    assert images.filled(a, 7).shape == (2, 7, 3)
+
+
+def test_corner_and_result_gates(spark):
+    corners = lambda *p: F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in p])
+    got = one(spark, geometry.corner_gate(corners((0, 0), (1, 0), (1, 1), (0, 1)), F.lit(100.0), F.lit(50.0)))
+    assert [(p["x"], p["y"]) for p in got] == [(0, 0), (99, 0), (99, 49), (0, 49)]
+    assert one(spark, geometry.corner_gate(corners((0, 0), (0.01, 0), (1, 1), (0, 1)), F.lit(100.0), F.lit(50.0))) is None
+    assert one(spark, geometry.rectangle_gate(corners((0, 0), (50, 0), (50, 40), (0, 40)), 100.0, 50.0))
+    assert not one(spark, geometry.rectangle_gate(corners((0, 0), (90, 0), (90, 2), (0, 2)), 100.0, 50.0))
+    rows = spark.createDataFrame([(0, 0, 10, 10, 0.5, 0.5), (5, 0, 100, 10, 0.5, 0.5), (0, 0, 1, 1, 1.5, 0.5)], "x int, y int, w int, h int, det_conf double, rec_conf double")
+    assert [r[0] for r in rows.select(boxes.valid_result(100, 50)).collect()] == [True, False, False]
+
+
+def test_barcodes_are_mapped_back(spark):
+    from folioframe.operators import contours
+
+    a = np.zeros((10, 10, 1), np.uint8)
+
+    def backend(p):
+        return [("data-matrix", "v", [(2, 2), (8, 2), (8, 8), (2, 8)])] if p.shape[0] == 20 else []
+
+    r = contours.decode_barcodes(picture(spark, a), backend).first()
+    assert (r["type"], r["value"], r["confidence"], r["x"], r["y"], r["w"], r["h"]) == ("DataMatrix", "v", -1.0, 1, 1, 4, 4)
+    assert [contours.barcode_format(n) for n in (" UPC-A", "i2/5", "qr", "none")] == ["UPCA", "ITF", "QR", None]
+
+
+# ---- options, documents, files -----------------------------------------------------------
+
+
+def test_options_are_checked(spark):
+    from folioframe.plans import builder
+
+    o = builder.options({"detector": {"box_threshold": 0.6, "multi_scale": {"enabled": True, "scales": [1.0, 0.5]}}, "recognizer": {"decode": "beam"}})
+    assert o.detector.multi_scale.scales == (1.0, 0.5) and o.recognizer.decode == "beam" and o.detector.db_threshold == 0.3
+    for bad in ({"detector": {"box_threshold": 2}}, {"detector": {"polygon": "round"}}, {"nothing": 1}, {"detector": {"nothing": 1}}, {"recognizer": {"height": 0}}, {"detector": {"max_region_size": 3}}):
+        with pytest.raises(ValueError):
+            builder.options(bad)
+    maps = spark.createDataFrame([(1, square_map((2, 3, 8, 7)))], MAP)
+    steps = [[float(v) for v in row] for row in images.synthetic_logits([1, 2], 4)]
+    give = lambda r: r.select("image_id", "region_id", F.array(*[F.array(*[F.lit(v) for v in s]) for s in steps]).alias("steps"))
+    dictionary = spark.createDataFrame([(0, "a"), (1, "b")], "idx int, token string")
+    reader = builder.Reader().with_detector(box_threshold=0.8).with_text(trim=True)
+    assert [r["text"] for r in reader.run(maps, 16, 16, give, dictionary).collect()] == ["ab"]
+    assert reader.with_detector(box_threshold=0.95).run(maps, 16, 16, give, dictionary).count() == 0
+    with pytest.raises(ValueError):
+        builder.Reader().with_detector(box_threshold=7).run(maps, 16, 16, give, dictionary)
+
+
+def test_page_results_and_merges(spark):
+    from folioframe.plans import documents
+
+    analysis = spark.createDataFrame([("f", 1, "hybrid"), ("f", 2, "skip"), ("f", 3, "vector")], "file string, page int, strategy string")
+    own = spark.createDataFrame([("f", p, f"own {p}", 612.0, 792.0) for p in (1, 2, 3)], "file string, page int, text string, page_w double, page_h double")
+    pics = spark.createDataFrame([("f", 1, 1, 300, 200), ("f", 1, 2, 100, 400), ("f", 3, 1, 50, 60), ("f", 4, 1, 70, 80)], "file string, page int, image_index int, width int, height int")
+    regions = spark.createDataFrame([("f", 1, 1, 1, 10, 150, 20, 10, 0.9, "read me", 0.9), ("f", 4, 1, 1, 0, 0, 5, 5, 0.5, "alone", 0.8)], "file string, page int, image_index int, ord int, x int, y int, w int, h int, det_conf double, text string, rec_conf double")
+    got = {r["page"]: r for r in documents.page_results(analysis, own, pics, regions).collect()}
+    assert set(got) == {1, 3, 4}
+    assert (got[1]["width"], got[1]["height"], got[1]["own_text"], [len(i["regions"]) for i in got[1]["images"]]) == (300, 400, "own 1", [1, 0])
+    assert (got[3]["width"], got[3]["height"], got[3]["own_text"], got[3]["images"]) == (612, 792, "own 3", [])
+    assert (got[4]["strategy"], got[4]["width"], got[4]["own_text"]) == ("ocr", 70, None)
+    rows = documents.elements(own, pics, regions)
+    for how, want in (("append", "own 1\nread me"), ("confidence", "own 1 read me"), ("spatial", "read me own 1"), ("smart", "own 1 read me")):
+        texts = [r["combined"] for r in documents.merged_text(rows, None, Hybrid(strategy=how)).collect() if "own 1" in r["combined"]]
+        assert sorted(texts[0].split()) == sorted(want.split())
+    assert '"total_pages":3' in documents.document_results(documents.page_results(analysis, own, pics, regions)).first()["json"]
+
+
+def test_models_and_dictionaries_are_found(spark, tmp_path):
+    (tmp_path / "det").mkdir()
+    (tmp_path / "det" / "m.onnx").write_bytes(b"x")
+    (tmp_path / "n.onnx").write_bytes(b"y")
+    (tmp_path / "dict_de.txt").write_text("a")
+    here = str(tmp_path)
+    assert files.resolve_model(spark, "m.onnx", "det", here) == f"{here}/det/m.onnx" and files.resolve_model(spark, "n.onnx", "det", here) == f"{here}/n.onnx"
+    assert files.resolve_model(spark, "gone.onnx", "rec", here) == f"{here}/rec/gone.onnx"
+    assert files.available_models(spark, here).count() == 2
+    assert files.dictionary_paths(spark, here, ["de", "xx"], "default.txt") == [f"{here}/dict_de.txt", "default.txt"]
+
+
+def test_images_are_read_with_their_channels_in_order(spark, tmp_path):
+    """A bitmap of two pixels, red and blue, and a file that is no image."""
+    import struct
+
+    row = bytes([0, 0, 255, 255, 0, 0, 0, 0])
+    head = b"BM" + struct.pack("<IHHI", 54 + 8, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 2, 1, 1, 24, 0, 8, 0, 0, 0, 0)
+    (tmp_path / "a.bmp").write_bytes(head + row)
+    (tmp_path / "b.png").write_bytes(b"no image")
+    got = {r["path"].rsplit("/", 1)[1]: r for r in files.images(spark, str(tmp_path)).collect()}
+    assert pixels(got["a.bmp"]).tolist() == [[[255, 0, 0], [0, 0, 255]]] and got["b.png"]["data"] is None
