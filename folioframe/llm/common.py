@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,16 +14,26 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, or the checkpoint folder that the session was given; RuntimeError where there is none.
+    """The folder of ``spark.checkpoint.dir``, or the checkpoint folder that the session was given.
 
-    A folder of this machine would not do: other executors neither see nor keep it.
+    Where there is neither, a session in this one process (as in tests) gets a
+    new folder; on a cluster that raises RuntimeError, as no other executor would see a folder of this machine.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="folioframe-")
+        spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+def clean_up(spark: SparkSession) -> bool:
+    """Delete all intermediate tables in the shared folder; for when no result that reads them is needed any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/folioframe")
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again.
 

@@ -205,3 +205,12 @@ def test_paths_against_brute_force(spark):
             want |= {(tree, leaf, n, i) for i, n in enumerate(way)}
     got = reply_trees.best_paths(spark.createDataFrame(rows, TREE), branches=2).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_intermediate_tables_can_be_cleaned_up(spark):
+    from folioframe.llm import common
+
+    kept = common.materialize(spark.range(3), "some")
+    assert kept.count() == 3 and common.clean_up(spark)
+    with pytest.raises(Exception):  # noqa: B017
+        spark.read.parquet(kept.inputFiles()[0])
