@@ -1,8 +1,8 @@
 """Scored boxes: overlap, suppression, fusion of scales, scaling, order.
 
 Boxes are rows (image_id, region_id, min_x, min_y, max_x, max_y, confidence).
-Order is by falling confidence, ties by region_id. Suppression is an ordered
-fold over the boxes of an image and takes one shuffle by image.
+Order is by falling confidence, ties by region_id. Suppression goes through the
+boxes of an image in their order and takes one shuffle by image.
 """
 
 from __future__ import annotations
@@ -53,28 +53,93 @@ def overlaps(boxes: DataFrame, least: float = 0.0, cell: float = CELL) -> DataFr
 
 # ---- suppression -----------------------------------------------------------------
 
+#: Boxes, the filled up ones too, that are compared at a time.
+TOGETHER = 1 << 20
 
-def _suppress(boxes: DataFrame, threshold: Callable[[Column, Column], Column]) -> DataFrame:
-    """Boxes that no kept box before them overlaps by more than the pair's threshold."""
+#: From (images, boxes) corners, best first, their scores and which places are filled: the new scores, and which boxes stay.
+Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
+def _by_image(boxes: DataFrame, kernel: Kernel) -> DataFrame:
+    """The boxes that a kernel leaves in each image.
+
+    One shuffle by image puts each image's boxes in a list, best first, ties by
+    region_id. The kernel then takes many images at once, those of like number
+    of boxes side by side, so its steps are as many as one image has boxes.
+    """
     more = [c for c in boxes.columns if c not in ("image_id", "region_id", *BOX, "confidence")]
-    item = F.struct((-F.col("confidence")).alias("rank"), "region_id", *BOX, "confidence", *more)
+    item = F.struct((-F.col("confidence")).alias("rank"), "region_id", *more, *[F.col(c).cast("double").alias(c) for c in (*BOX, "confidence")])
     lists = boxes.groupBy("image_id").agg(F.array_sort(F.collect_list(item)).alias("all"))
-    fold = F.aggregate("all", F.slice("all", 1, 0), lambda kept, x: F.when(F.exists(kept, lambda k: iou(k, x) > threshold(k, x)), kept).otherwise(F.array_append(kept, x)))
-    return lists.select("image_id", F.explode(fold).alias("k")).select("image_id", "k.region_id", *[f"k.{c}" for c in (*BOX, "confidence", *more)])
+    names = ["image_id", "region_id", *BOX, "confidence", *more]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts, flat = batch.column(1).offsets.to_numpy(), batch.column(1).values
+            x = np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in BOX], axis=1)
+            score = flat.field("confidence").to_numpy(zero_copy_only=False).copy()
+            keep, sizes = np.zeros(len(score), bool), np.diff(starts)
+            order = np.argsort(sizes, kind="stable")
+            at = int(np.searchsorted(sizes[order], 1))
+            while at < len(order):
+                # Images of up to twice the boxes of the first, as many as fit.
+                to = int(np.searchsorted(sizes[order], 2 * sizes[order[at]], "right"))
+                to = max(at + 1, min(to, at + TOGETHER // int(sizes[order[to - 1]])))
+                some = order[at:to]
+                n = int(sizes[some].max())
+                filled = np.arange(n)[None, :] < sizes[some][:, None]
+                place = np.where(filled, starts[some][:, None] + np.arange(n)[None, :], starts[some][:, None])
+                new, stays = kernel(x[place], score[place], filled)
+                score[place[filled]], keep[place[filled]] = new[filled], stays[filled]
+                at = to
+            rows = np.flatnonzero(keep)
+            image = np.repeat(np.arange(len(batch)), sizes)[rows - starts[0]]
+            chosen = pa.array(rows)
+            columns = [batch.column(0).take(pa.array(image)), flat.field("region_id").take(chosen), *[pa.array(x[rows, i]) for i in range(4)], pa.array(score[rows])]
+            yield pa.record_batch([*columns, *[flat.field(c).take(chosen) for c in more]], names=names)
+
+    kinds = {f.name: f.dataType.simpleString() for f in boxes.schema} | {c: "double" for c in (*BOX, "confidence")}
+    return lists.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names))
+
+
+def _sizes(x: np.ndarray) -> np.ndarray:
+    return (x[..., 2] - x[..., 0]) * (x[..., 3] - x[..., 1])
+
+
+def _shares(one: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """IoU of one box an image (images, 4) with all its boxes (images, boxes, 4)."""
+    a = one[:, None, :]
+    w = np.minimum(a[..., 2], x[..., 2]) - np.maximum(a[..., 0], x[..., 0])
+    h = np.minimum(a[..., 3], x[..., 3]) - np.maximum(a[..., 1], x[..., 1])
+    common = np.where((w > 0) & (h > 0), w * h, 0.0)
+    union = _sizes(a) + _sizes(x) - common
+    return np.divide(common, union, out=np.zeros_like(common), where=union > 0)
+
+
+def _suppress(boxes: DataFrame, threshold: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray | float]) -> DataFrame:
+    """Boxes that no kept box before them overlaps by more than the pair's threshold, of the two sizes and the two confidences."""
+
+    def kernel(x: np.ndarray, score: np.ndarray, filled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        stays, size = filled.copy(), _sizes(x)
+        for k in range(x.shape[1] - 1):
+            over = _shares(x[:, k], x) > threshold(size[:, k, None], size, score[:, k, None], score)
+            over[:, : k + 1] = False
+            stays &= ~(over & stays[:, k, None])
+        return score, stays
+
+    return _by_image(boxes, kernel)
 
 
 def nms(boxes: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Hard suppression: IoU above the threshold."""
-    return _suppress(boxes, lambda a, b: F.lit(threshold))
+    return _suppress(boxes, lambda *_: threshold)
 
 
 def nms_adaptive(boxes: DataFrame, base: float = 0.3, scale: float = 1.0) -> DataFrame:
     """Hard suppression with a threshold between 0.1 and 0.8 that grows with the pair's area and falls with its confidence."""
 
-    def threshold(a: Column, b: Column) -> Column:
-        size = F.least(F.lit(1.0), (area(a) + area(b)) / 2.0 / 10000.0)
-        sure = (a["confidence"] + b["confidence"]) / 2.0
-        return F.least(F.greatest(F.lit(base * scale) + 0.1 * size - 0.05 * (sure - 0.5), F.lit(0.1)), F.lit(0.8))
+    def threshold(a: np.ndarray, b: np.ndarray, sure: np.ndarray, other: np.ndarray) -> np.ndarray:
+        size = np.minimum(1.0, (a + b) / 2.0 / 10000.0)
+        return np.clip(base * scale + 0.1 * size - 0.05 * ((sure + other) / 2.0 - 0.5), 0.1, 0.8)
 
     return _suppress(boxes, threshold)
 
@@ -82,39 +147,14 @@ def nms_adaptive(boxes: DataFrame, base: float = 0.3, scale: float = 1.0) -> Dat
 def nms_size_aware(boxes: DataFrame, base: float = 0.3, factor: float = 0.1, least: int = 32, most: int = 1024) -> DataFrame:
     """Hard suppression with a threshold that moves by up to half of ``factor`` with the pair's mean area between the bounds."""
 
-    def threshold(a: Column, b: Column) -> Column:
+    def threshold(a: np.ndarray, b: np.ndarray, *_: np.ndarray) -> np.ndarray | float:
         if most <= least:
-            return F.lit(base)
-        place = ((area(a) + area(b)) / 2.0 - least) / float(most - least)
-        return base + factor * (F.greatest(F.lit(0.0), F.least(F.lit(1.0), place)) - 0.5)
+            return base
+        return base + factor * (np.clip(((a + b) / 2.0 - least) / float(most - least), 0.0, 1.0) - 0.5)
 
     return _suppress(boxes, threshold)
 
 
-def _soft(x: np.ndarray, score: np.ndarray, method: str, threshold: float, sigma: float) -> np.ndarray:
-    """Scores after each box, best first, has lowered the scores of those not yet taken."""
-    score, left = score.copy(), np.ones(len(score), bool)
-    size = (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
-    for _ in range(len(score)):
-        open_ = np.flatnonzero(left)
-        i = open_[np.argmax(score[open_])]
-        left[i] = False
-        j = open_[open_ != i]
-        w = np.minimum(x[i, 2], x[j, 2]) - np.maximum(x[i, 0], x[j, 0])
-        h = np.minimum(x[i, 3], x[j, 3]) - np.maximum(x[i, 1], x[j, 1])
-        common = np.where((w > 0) & (h > 0), w * h, 0.0)
-        union = size[i] + size[j] - common
-        share = np.divide(common, union, out=np.zeros_like(common), where=union > 0)
-        if method == "gaussian":
-            weight = np.exp(-share * share / sigma)
-        elif method == "linear":
-            weight = np.where(share >= threshold, 1 - share, 1.0)
-        else:
-            weight = np.where(share >= threshold, 0.0, 1.0)
-        score[j] *= weight
-    return score
-
-
 def soft_nms(boxes: DataFrame, method: str = "linear", threshold: float = 0.3, sigma: float = 0.5, least: float = 0.1) -> DataFrame:
     """Boxes with lowered confidences of at least ``least``.
 
@@ -122,32 +162,23 @@ def soft_nms(boxes: DataFrame, method: str = "linear", threshold: float = 0.3, s
     otherwise 0 from the threshold on. One box is left as it is, whatever its
     score; where at most one reaches ``least``, only that is left.
     """
-    more = [c for c in boxes.columns if c not in ("image_id", "region_id", *BOX, "confidence")]
-    item = F.struct(F.col("confidence").cast("double").alias("confidence"), "region_id", *more, *[F.col(c).cast("double").alias(c) for c in BOX])
-    lists = boxes.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("rank"), "region_id", item.alias("b")))).alias("all"))
-    lists = lists.select("image_id", F.col("all.b").alias("all"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Many images in a batch: their boxes lie one after the other."""
-        for batch in batches:
-            ends, flat = batch.column(1).offsets.to_numpy(), batch.column(1).values
-            at = [flat.field(c).to_numpy(zero_copy_only=False) for c in BOX]
-            x, score = np.stack(at, axis=1), flat.field("confidence").to_numpy(zero_copy_only=False).copy()
-            keep = score >= least
-            for i, j in zip(ends[:-1], ends[1:], strict=True):
-                if j - i == 1:
-                    keep[i] = True
-                elif keep[i:j].sum() > 1:
-                    score[i:j] = _soft(x[i:j], score[i:j], method, threshold, sigma)
-                    keep[i:j] = score[i:j] >= least
-            rows = np.flatnonzero(keep)
-            image = np.repeat(np.arange(len(batch)), np.diff(ends))[rows - ends[0]]
-            columns = [batch.column(0).take(pa.array(image)), flat.field("region_id").take(pa.array(rows)), *[pa.array(c[rows]) for c in at], pa.array(score[rows]), *[flat.field(c).take(pa.array(rows)) for c in more]]
-            yield pa.record_batch(columns, names=["image_id", "region_id", *BOX, "confidence", *more])
 
-    kinds = {f.name: f.dataType.simpleString() for f in boxes.schema}
-    shape = f"image_id {kinds['image_id']}, region_id {kinds['region_id']}, " + ", ".join(f"{c} double" for c in (*BOX, "confidence")) + "".join(f", {c} {kinds[c]}" for c in more)
-    return lists.mapInArrow(run, shape)
+    def lowered(share: np.ndarray) -> np.ndarray:
+        if method == "gaussian":
+            return np.exp(-share * share / sigma)
+        return np.where(share >= threshold, 1 - share if method == "linear" else 0.0, 1.0)
+
+    def kernel(x: np.ndarray, score: np.ndarray, filled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        alone = filled.sum(axis=1) == 1
+        left = filled & (((score >= least) & filled).sum(axis=1) > 1)[:, None]
+        images = np.arange(len(x))
+        for _ in range(x.shape[1]):
+            best = np.where(left, score, -np.inf).argmax(axis=1)
+            left[images, best] = False
+            score = np.where(left, score * lowered(_shares(x[images, best], x)), score)
+        return score, filled & ((score >= least) | alone[:, None])
+
+    return _by_image(boxes, kernel)
 
 
 def suppress(boxes: DataFrame, cfg: Detector, threshold: float | None = None) -> DataFrame:
