@@ -80,7 +80,7 @@ def fingerprint(data: bytes, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """(doc_id, fp): a row for each row of ``docs``; fp is the fingerprint as a signed long.
+    """(doc_id, th, fp): a row for each row of ``docs``; th is the text's xxhash64, fp the fingerprint as a signed long.
 
     Words are runs without ASCII white space, A-Z in lower case, shingles have
     ``words`` words and count as often as they occur; a shorter text is one
@@ -89,12 +89,12 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1)
+            texts = batch.column(2)
             fps = np.fromiter((fingerprint(t.as_py() or b"", words) for t in texts), np.uint64, len(texts))
-            yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "th", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, th long, fp long")
 
 
 # ---- Golay keys -------------------------------------------------------------------
@@ -318,6 +318,16 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
+def _grouped(docs: DataFrame, words: int, max_bits: int) -> DataFrame:
+    """(doc_id, th, fp, root, component_id): a row for each row of ``docs``; th stands for the text, root for the component."""
+    fps = materialize(fingerprints(docs, words), "fingerprints")
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = components(links(nodes, max_bits)).select(F.col("node").alias("fp"), "root")
+    nodes = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    ids = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
+    return fps.join(nodes.join(ids, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "th", "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fingerprint, component_id): a row for each row of ``docs``.
 
@@ -326,14 +336,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = MAX_BITS) -
     whatever their number. Null doc_ids stay, and are no component's id unless
     it has no other (then null). No rows give no rows; other columns are ignored.
     """
-    fps = materialize(fingerprints(docs, words), "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(nodes, max_bits)).select(F.col("node").alias("fp"), "root")
-    nodes = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    nodes = nodes.join(ids, "root").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return fps.join(nodes, "fp").select("doc_id", hexed, "component_id")
+    return _grouped(docs, words, max_bits).select("doc_id", hexed, "component_id")
 
 
 # ---- texts that share most of their shingles ----------------------------------------
@@ -484,14 +488,17 @@ def one_of_each(docs: DataFrame, words: int = 4, max_bits: int = MAX_BITS, simil
     """The rows of ``docs`` that stay if each component keeps its smallest doc_id.
 
     Components are those of :func:`similar_texts` if a ``similarity`` is given, and of :func:`near_duplicates` if not.
-    Rows that share this doc_id are one document: one of them stays (the
+    Each row is judged by the component of its own text, also where texts share a doc_id. Rows of one component
+    that share this doc_id are one document: one of them stays (the
     smallest by all columns). Rows without a doc_id can't be told apart and stay.
     """
-    found = near_duplicates(docs, words, max_bits) if similarity is None else similar_texts(docs, words, similarity)
-    keep = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__n"))
-    keep = keep.select(F.col("doc_id").alias("__id"), "__n")
-    rows = docs.join(keep, docs["doc_id"] == keep["__id"])
+    found = _grouped(docs, words, max_bits) if similarity is None else similar_texts(docs, words, similarity)
+    kept = found.filter("doc_id = component_id").groupBy("doc_id", "root", "th").agg(F.count("*").alias("__m"))
+    rows_of = kept.groupBy("doc_id", "root").agg(F.sum("__m").alias("__n"))
+    kept = kept.join(rows_of, ["doc_id", "root"]).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("root").alias("__root"), "__n")
+    rows = docs.withColumn("__h", F.xxhash64("text"))
+    rows = rows.join(kept, (F.col("doc_id") == F.col("__id")) & (F.col("__h") == F.col("__th")))
     once = rows.filter("__n = 1").select(*docs.columns)
     whole = F.struct(*[F.col(c) for c in docs.columns])
-    again = rows.filter("__n > 1").groupBy("__id").agg(F.min(whole).alias("__row")).select("__row.*")
+    again = rows.filter("__n > 1").groupBy("__id", "__root").agg(F.min(whole).alias("__row")).select("__row.*")
     return once.unionByName(again).unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -148,3 +148,11 @@ def test_similar_texts_against_brute_force(spark, docs_of, monkeypatch):
     monkeypatch.setattr(simhash, "TEXTS", 1)
     assert {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(docs).collect()} == want
     assert simhash.similar_texts(docs.limit(0)).collect() == []
+
+
+def test_each_text_of_an_id_is_judged_by_itself(docs_of):
+    a, b, c = "the first text of all with its words", "a second text that is like no other one", "one more that stands alone in here"
+    docs = docs_of([(1, a), (1, b), (2, b), (2, c), (3, a), (3, a)])
+    for by in ({}, {"words": 5, "similarity": 0.8}):
+        got = sorted((r["doc_id"], r["text"]) for r in simhash.one_of_each(docs, **by).collect())
+        assert got == sorted([(1, a), (1, b), (2, c)])
