@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, materialize
 
 UNKNOWN = "und"
 WINDOW = 192
@@ -155,10 +155,14 @@ def fit(docs: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE, sample: int = S
     and three windows of each text at most: a bounded number of short strings for each language on the driver.
     """
     rows = docs.filter((fold(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    languages = rows.agg(F.count_distinct("lang")).first()[0]
-    each = min(docs_a_language, max(LEAST_DOCS, sample // max(1, languages)))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = rows.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= each)
+    labelled = materialize(rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")), "labelled")
+    counts = labelled.groupBy("lang").count()
+    each = min(docs_a_language, max(LEAST_DOCS, sample // max(1, counts.count())))
+    # Of a language only the lowest hashes are ranked, about four times as many as are taken, however many rows it has.
+    share = (F.col("h") / 2.0**64 + 0.5) * F.col("count")
+    some = labelled.join(counts, "lang").filter(share < 4 * each)
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    picked = some.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= each)
     picked = picked.select("doc_id", F.col("lang").alias("__lang"))
     free = F.greatest(F.lit(0), F.length("text") - WINDOW)
     cuts = [F.substring("text", (free * at).cast("int") + 1, F.lit(WINDOW)) for at in (0, 0.5, 1)][:WINDOWS_A_DOC]
