@@ -54,14 +54,17 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], spread: Column)
 
     ``right`` is a written table with one row for each key, without nulls, and the number of rows of ``left`` with
     that key in ``__n``, which is left out. Its hot rows, fewer than HOT, are broadcast; rows of
-    ``left`` that met one of them are dealt out by ``spread``, all others by their keys.
+    ``left`` that met one of them, or lack a key, are dealt out by ``spread``, all others by their keys.
     """
     total = right.agg(F.sum("__n")).first()[0] or 0
     facts = [c for c in right.columns if c not in (*keys, "__n")]
     hot = right.filter(F.col("__n") * HOT > total).select(*keys, F.lit(True).alias("__hot"), *[F.col(c).alias(f"__hot_{c}") for c in facts])
     met = left.join(F.broadcast(hot), keys, "left")
     # The rows that are served already carry a key that no other row has.
-    met = met.withColumn("__salt", F.when(F.col("__hot"), spread).otherwise(F.lit(0)))
+    served = F.coalesce("__hot", F.lit(False))
+    for key in keys:
+        served = served | F.col(key).isNull()
+    met = met.withColumn("__salt", F.when(served, spread).otherwise(F.lit(0)))
     cold = right.filter(F.col("__n") * HOT <= total).select(*keys, F.lit(0).cast("long").alias("__salt"), *facts)
     found = met.join(cold, [*keys, "__salt"], "left")
     return found.select(*left.columns, *[F.coalesce(f"__hot_{c}", c).alias(c) for c in facts])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_hot, materialize
 
 #: Bytes a payload is a multiple of: a row of 64 RGB pixels.
 ROW = 192
@@ -179,9 +179,11 @@ def resolved(seqs: DataFrame, key: str, media: DataFrame) -> DataFrame:
     ``media`` has one row a digest. References to nothing keep nulls, so
     positions and captions stay aligned whatever is found. Columns of ``media`` with the names of items' columns are left out.
     """
-    items = seqs.select(key, F.explode("seq").alias("i")).select(key, "i.*")
+    items = materialize(seqs.select(key, F.explode("seq").alias("i")).select(key, "i.*"), "items")
+    wanted = items.filter("ref is not null").groupBy("ref").agg(F.count("*").alias("__n"))
     about = media.select(F.col("digest").alias("ref"), *[c for c in media.columns if c not in ("digest", *items.columns)])
-    return items.join(about, "ref", "left")
+    # A payload that very many references share would bring them all together: such facts are few and broadcast.
+    return join_hot(items, materialize(about.join(wanted, "ref"), "wanted"), ["ref"], spread=F.xxhash64("pos", key))
 
 
 # ---- documents as media -------------------------------------------------------------
