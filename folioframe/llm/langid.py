@@ -28,6 +28,8 @@ FILTERS = 16
 #: Bounds of the training sample: labelled documents a language, and windows a document. With many languages
 #: each has fewer documents, so that there are about SAMPLE in all, but no fewer than LEAST_DOCS: every language is learned.
 DOCS_A_LANGUAGE, WINDOWS_A_DOC, SAMPLE, LEAST_DOCS = 300, 3, 60_000, 10
+#: Languages whose counts are broadcast; more are joined.
+MANY = 50_000
 #: A document's language counts as known for filtering from this score on.
 LEAST_SCORE = 0.3
 
@@ -156,8 +158,10 @@ def fit(docs: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE, sample: int = S
     """
     rows = docs.filter((fold(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     labelled = materialize(rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")), "labelled")
-    counts = labelled.groupBy("lang").count()
-    each = min(docs_a_language, max(LEAST_DOCS, sample // max(1, counts.count())))
+    counts = materialize(labelled.groupBy("lang").count(), "languages")
+    languages = counts.count()
+    each = min(docs_a_language, max(LEAST_DOCS, sample // max(1, languages)))
+    counts = F.broadcast(counts) if languages <= MANY else counts
     # Of a language only the lowest hashes are ranked, about four times as many as are taken, however many rows it has.
     share = (F.col("h") / 2.0**64 + 0.5) * F.col("count")
     some = labelled.join(counts, "lang").filter(share < 4 * each)
