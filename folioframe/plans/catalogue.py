@@ -464,7 +464,7 @@ def fuzzy_line_dedup(spark, d):
 @query
 def region_filters(spark, d):
     rows = X.region_rows(spark, d).select("image_id", "region_id", F.col("confidence").alias("det_conf"), ((F.col("region_id") * 31 % 101) / 100.0).alias("rec_conf"))
-    return rounded(P.filter_regions(rows, 0.4, 0.5).select("image_id", "region_id", "det_conf", "rec_conf", "avg_det"))
+    return rounded(P.filter_regions(rows, 0.4, 0.5).select("image_id", "region_id", "det_conf", "rec_conf", "avg_det"), 10)
 
 
 @query

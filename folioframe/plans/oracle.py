@@ -407,7 +407,7 @@ st as (
 )
 SQL["region_filters"] = on(
     "f_regions",
-    """select image_id, region_id, round(det_conf, 6) as det_conf, round(rec_conf, 6) as rec_conf, round(avg_det, 6) as avg_det from (
+    """select image_id, region_id, round(det_conf, 10) as det_conf, round(rec_conf, 10) as rec_conf, round(avg_det, 10) as avg_det from (
       select image_id, region_id, confidence as det_conf, (region_id * 31 % 101) / 100.0::double as rec_conf, avg(confidence) over (partition by image_id) as avg_det
       from f_regions where confidence >= 0.4) where rec_conf >= 0.5""",
 )
