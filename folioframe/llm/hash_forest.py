@@ -26,7 +26,7 @@ from .common import materialize
 
 TREES, BITS = 128, 48
 #: Candidates that the runs of a query hold together at least in a shard: a share of its vectors, and a number.
-SHARE, LEAST = 0.4, 256
+SHARE, LEAST = 0.4, 2500
 #: Vectors in a shard and queries in a chunk, about: what one task holds.
 SHARD, CHUNK = 8192, 4096
 SEED = 17

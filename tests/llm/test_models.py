@@ -362,20 +362,23 @@ def test_forest_descends_to_the_longest_prefix_and_ascends():
             assert (found[i] == (lengths[i] >= depth).any(axis=0)).all()
 
 
-def test_forest_recall_on_ten_thousand(spark):
+@pytest.mark.parametrize("n", [500, 2000, 10_000])
+def test_forest_recall(spark, n):
     """Unit vectors without any structure, the hardest case: recall and the share of pairs scored, with the default forest."""
     rng = np.random.default_rng(9)
-    x = rng.standard_normal((10_000, 64))
+    x = rng.standard_normal((n, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
-    got = {}
-    for r in hash_forest.nearest(df, df.filter("vec_id % 200 = 0")).collect():
+    got, step = {}, n // 50
+    for r in hash_forest.nearest(df, df.filter(f"vec_id % {step} = 0")).collect():
         got.setdefault(r["query_id"], set()).add(r["vec_id"])
     hits = 0
-    for i in range(0, 10_000, 200):
+    for i in range(0, n, step):
         s = x @ x[i]
         s[i] = -np.inf
         hits += len(set(np.argsort(-s)[:20].tolist()) & got[i])
     assert hits >= 0.9 * 20 * 50
+    if n < 10_000:
+        return
     scored = hash_forest.Forest(x[:8192]).candidates(x[::200], 0.4 * 8192).mean()
     assert scored <= 0.45
