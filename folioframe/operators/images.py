@@ -6,7 +6,7 @@ row (image_id, width, height, channels, data) with data row by row, RGB(A).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -198,19 +198,36 @@ def tensor_stats(data: Column) -> Column:
     return F.struct(F.coalesce(F.array_min(data), F.lit(0.0)).alias("least"), F.coalesce(F.array_max(data), F.lit(0.0)).alias("most"), mean.alias("mean"))
 
 
+def batched(tensors: list[np.ndarray], model: Callable[[np.ndarray], np.ndarray], most: int = 32) -> list[np.ndarray]:
+    """The flat output of a model for each tensor [1, ...]: those of equal shape go through it together, ``most`` at a time."""
+    out: list[np.ndarray] = [np.empty(0, np.float32)] * len(tensors)
+    by_shape: dict[tuple[int, ...], list[int]] = {}
+    for i, x in enumerate(tensors):
+        by_shape.setdefault(x.shape, []).append(i)
+    for shape, places in by_shape.items():
+        step = most if shape[0] == 1 else 1  # a tensor that holds several already goes alone
+        for at in range(0, len(places), step):
+            some = places[at : at + step]
+            found = model(np.concatenate([tensors[i] for i in some]))
+            for i, y in zip(some, np.split(found, len(some)), strict=True):
+                out[i] = y.reshape(-1)
+    return out
+
+
 def infer(rows: DataFrame, column: str, out: str, model: str, providers: tuple[str, ...] = ("CPUExecutionProvider",)) -> DataFrame:
-    """Adds ``out``, the flat output of an ONNX model, for tensors (data, shape) in ``column``; a session is made once in each worker."""
+    """Adds ``out``, the flat output of an ONNX model, for tensors (data, shape) in ``column``; a session is made once for each task."""
 
     @F.pandas_udf("array<float>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import onnxruntime
 
         session = onnxruntime.InferenceSession(model, providers=list(providers))
-        name = session.get_inputs()[0].name
+        taken = session.get_inputs()[0]
+        name, most = taken.name, 1 if isinstance(taken.shape[0], int) else 32
         for part in parts:
-            out = []
-            for data, shape in zip(part["data"], part["shape"], strict=True):
-                out.append(session.run(None, {name: np.asarray(data, np.float32).reshape([int(d) for d in shape])})[0].reshape(-1))
+            shapes = [tuple(int(d) for d in shape) for shape in part["shape"]]
+            tensors = [np.asarray(data, np.float32).reshape(shape) for data, shape in zip(part["data"], shapes, strict=True)]
+            out = batched(tensors, lambda x: session.run(None, {name: x})[0], most)
             yield pd.Series(out)
 
     return rows.withColumn(out, run(F.col(column)))

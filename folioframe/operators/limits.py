@@ -67,27 +67,34 @@ class Usage:
         return "ok", 0
 
 
-REPLAY = "event_id long, user_id long, ts timestamp, data_size long, verdict string, wait_us long"
+VERDICT = "verdict string, wait_us long"
+
+
+def checked_shape(requests: DataFrame) -> str:
+    """The columns of ``requests``, all of them, with verdict and wait_us."""
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema if f.name not in ("verdict", "wait_us"))
+    return f"{own}, {VERDICT}"
 
 
 def replay(requests: DataFrame, limits: RateLimit) -> DataFrame:
-    """Each request with its verdict: ok, minute, hour, requests or data; users in parallel, a user's rows streamed in time order."""
-    rows = requests.select("event_id", F.col("user_id").cast("long").alias("user_id"), "ts", "data_size")
-    rows = rows.repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id").withColumn("us", F.unix_micros("ts"))
+    """Each request with its verdict: ok, minute, hour, requests or data; users in parallel, a user's rows streamed in time order. Other columns stay."""
+    rows = requests.drop("verdict", "wait_us").withColumn("user_id", F.col("user_id").cast("long"))
+    shape = checked_shape(rows)
+    rows = rows.repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id").withColumn("__us", F.unix_micros("ts"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         user, usage = None, Usage()
         for part in parts:  # a user's rows may go on in the next batch
             found = []
-            for u, now, size in zip(part["user_id"], part["us"], part["data_size"], strict=True):
+            for u, now, size in zip(part["user_id"], part["__us"], part["data_size"], strict=True):
                 if u != user:
                     user, usage = u, Usage()
                 found.append(usage.check(int(now), int(size), limits))
-            part = part.drop(columns="us")
+            part = part.drop(columns="__us")
             part["verdict"], part["wait_us"] = [v for v, _ in found], [w for _, w in found]
             yield part
 
-    return rows.mapInPandas(run, REPLAY)
+    return rows.mapInPandas(run, shape)
 
 
 def rejections(checked: DataFrame, limits: RateLimit) -> DataFrame:

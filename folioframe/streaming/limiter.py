@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RateLimit
-from ..operators.limits import REPLAY, Usage
+from ..operators.limits import Usage, checked_shape
 
 STATE = "minute long, hour long, today long, bytes_today long, last long, day long"
 
@@ -19,20 +19,23 @@ def limited(requests: DataFrame, limits: RateLimit) -> DataFrame:
     """A stream of requests (event_id, user_id, ts, data_size) with verdicts, as the batch replay gives them.
 
     The clock is the requests' ts. A trigger's rows are put in order by user;
-    a request older than one seen in an earlier trigger counts as it comes.
+    a request older than one seen in an earlier trigger counts as it comes. Other columns stay. A trigger's requests of
+    one user are sorted in one task: bound them by the source's options for the size of a trigger.
     """
-    rows = requests.select("event_id", F.col("user_id").cast("long").alias("user_id"), "ts", "data_size").withColumn("us", F.unix_micros("ts"))
+    rows = requests.drop("verdict", "wait_us").withColumn("user_id", F.col("user_id").cast("long"))
+    shape = checked_shape(rows)
+    rows = rows.withColumn("__us", F.unix_micros("ts"))
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
         usage = Usage(*[None if v is None else int(v) for v in state.get]) if state.exists else Usage()
         part = pd.concat(list(parts)).sort_values(["ts", "event_id"])
-        found = [usage.check(int(now), int(size), limits) for now, size in zip(part["us"], part["data_size"], strict=True)]
+        found = [usage.check(int(now), int(size), limits) for now, size in zip(part["__us"], part["data_size"], strict=True)]
         state.update((usage.minute, usage.hour, usage.today, usage.bytes_today, usage.last, usage.day))
-        part = part.drop(columns="us")
+        part = part.drop(columns="__us")
         part["verdict"], part["wait_us"] = [v for v, _ in found], [w for _, w in found]
         yield part
 
-    return rows.groupBy("user_id").applyInPandasWithState(run, REPLAY, STATE, "append", "NoTimeout")
+    return rows.groupBy("user_id").applyInPandasWithState(run, shape, STATE, "append", "NoTimeout")
 
 
 def running_counts(requests: DataFrame, *keys: str) -> DataFrame:

@@ -546,3 +546,22 @@ def test_images_are_read_with_their_channels_in_order(spark, tmp_path):
     (tmp_path / "b.png").write_bytes(b"no image")
     got = {r["path"].rsplit("/", 1)[1]: r for r in files.images(spark, str(tmp_path)).collect()}
     assert pixels(got["a.bmp"]).tolist() == [[[255, 0, 0], [0, 0, 255]]] and got["b.png"]["data"] is None
+
+
+def test_batches_of_equal_shapes():
+    """Each tensor's output is its own, whatever it went through the model with."""
+    rng, calls = np.random.default_rng(0), []
+    tensors = [rng.random((1, 3, 2 + i % 3)).astype(np.float32) for i in range(20)] + [rng.random((2, 3, 2)).astype(np.float32)]
+
+    def model(x):
+        calls.append(len(x))
+        return x.sum(axis=1) * 2
+
+    got = images.batched(tensors, model, most=4)
+    assert all(np.allclose(y, (x.sum(axis=1) * 2).reshape(-1)) for x, y in zip(tensors, got, strict=True)) and max(calls) == 4
+
+
+def test_replay_keeps_other_columns(spark):
+    df = spark.createDataFrame([(1, 1, 10, "web", "old"), (2, 1, 10, "app", "old")], "event_id long, user_id int, data_size long, client string, verdict string").withColumn("ts", F.to_timestamp(F.lit("2024-01-01 00:00:00")))
+    got = limits.replay(df, RateLimit(per_minute=1)).orderBy("event_id").collect()
+    assert [(r["client"], r["verdict"]) for r in got] == [("web", "ok"), ("app", "minute")]
