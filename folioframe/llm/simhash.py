@@ -11,9 +11,13 @@ index of one segment to the nearby indices of the other therefore meet for
 every pair of fingerprints within four bits. Groups of equal keys are verified
 by exact distance and yield links; links are contracted to components.
 
-Texts that share 0.8 of their shingles differ in about ten bits, beyond such
-keys. For these, :func:`similar_texts` takes minima of the shingles' hashes as
-keys and verifies the exact Jaccard similarity of the shingle sets.
+Texts that share 0.8 of their shingles differ in about ten of 64 bits, beyond
+such keys. For these, :func:`similar_texts` makes a longer SimHash of the set of
+shingles and decodes its segments softly: the sums whose signs are the bits say
+how sure each bit is, and a segment gives the codewords that agree best with
+them. Keys join the indices of two segments, the likeliest joins first. Groups of
+equal keys are verified by the distance of 128 other bits, and what they link by
+the exact Jaccard similarity of the shingle sets.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_hot, materialize
 
 SEED = 42
 MAX_BITS = 4
@@ -37,8 +41,11 @@ BLOCK = 4096
 #: Groups up to this size give all their links, larger ones a spanning forest.
 SMALL = 8
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
-#: Keys of a shingle set, and minima in each: sets of similarity 0.8 have none in common once in 70,000.
-BANDS, ROWS = 28, 5
+#: Pairs of segments, codewords of a segment and keys of a pair for texts of this similarity or more. Two texts
+#: at exactly LEAST have a key of one pair in common in 0.57 of cases (measured), so none of 14 pairs' once in 130,000.
+BANDS, NEAREST, KEYS, LEAST = 14, 4, 8, 0.8
+#: Words of bits that verify such keys, and their differing bits at most: 19 +- 4 at LEAST, 64 +- 6 between texts that share nothing.
+CHECK, CHECK_BITS = 2, 44
 #: Texts, and bytes of text, of a block of texts that are compared in one task.
 TEXTS, TEXT_BYTES = 2048, 8 << 20
 
@@ -165,7 +172,13 @@ def _emit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bits(a: np.ndarray, b: np.ndarray | np.int64) -> np.ndarray:
-    return np.bitwise_count((a ^ b).view(np.uint64))
+    n = np.bitwise_count((a ^ b).view(np.uint64))
+    return n if n.ndim == 1 else n.sum(axis=1)
+
+
+def _first(fps: np.ndarray) -> np.ndarray:
+    """What links call the fingerprints: themselves, or the first of their words."""
+    return fps if fps.ndim == 1 else fps[:, 0]
 
 
 def _forest(fps: np.ndarray, max_bits: int) -> tuple[list[int], list[int]]:
@@ -177,10 +190,10 @@ def _forest(fps: np.ndarray, max_bits: int) -> tuple[list[int], list[int]]:
             x = wave.pop()
             hit = _bits(rest, x) <= max_bits
             if hit.any():
-                found = rest[hit].tolist()
-                a += [int(x)] * len(found)
-                b += found
-                wave += [np.int64(y) for y in found]
+                found = rest[hit]
+                a += [int(_first(x[None])[0])] * len(found)
+                b += _first(found).tolist()
+                wave += list(found)
                 rest = rest[~hit]
     return a, b
 
@@ -200,10 +213,10 @@ def _group_links(key: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.nda
             break
         x, y = f[d:][same], f[:-d][same]
         hit = _bits(x, y) <= max_bits
-        a.append(x[hit])
-        b.append(y[hit])
+        a.append(_first(x[hit]))
+        b.append(_first(y[hit]))
     for s, n in zip(starts[sizes > SMALL], sizes[sizes > SMALL], strict=True):
-        x, y = _forest(np.unique(fp[s : s + n]), max_bits)
+        x, y = _forest(np.unique(fp[s : s + n], axis=0), max_bits)
         a.append(np.array(x, np.int64))
         b.append(np.array(y, np.int64))
     a = np.concatenate([np.empty(0, np.int64), *a])
@@ -214,20 +227,25 @@ def _group_links(key: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.nda
 
 
 def _linker(max_bits: int, block: int | None):
-    """For mapInArrow over (key, fp) sorted by key: links (a, b, null), and the rows of groups of over ``block`` as (fp, null, key)."""
+    """For mapInArrow over (key, fp) sorted by key: links (a, b, null), and the rows of groups of over ``block`` as (fp, null, key).
+
+    A fingerprint of two words takes two columns; its links have the first word, its rows are passed on as (word, word, key).
+    """
 
     def links(a, b):
         return pa.record_batch([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], names=["a", "b", "key"])
 
     def passed_on(k, f):
-        return pa.record_batch([pa.array(f), pa.nulls(len(f), pa.int64()), pa.array(k)], names=["a", "b", "key"])
+        rest = pa.nulls(len(f), pa.int64()) if f.ndim == 1 else pa.array(f[:, 1].copy())
+        return pa.record_batch([pa.array(_first(f).copy()), rest, pa.array(k, pa.int64())], names=["a", "b", "key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = fp = np.empty(0, np.int64)
         over = None
         for batch in batches:
-            k, f = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:2])
-            key, fp = np.concatenate([key, k]), np.concatenate([fp, f])
+            k, *f = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            f = f[0] if len(f) == 1 else np.stack(f, axis=1)
+            key, fp = (np.concatenate([key, k]), np.concatenate([fp, f])) if len(key) else (k, f)
             if not len(key):
                 continue
             cut = int(np.searchsorted(key, key[-1]))  # the last group may go on
@@ -270,18 +288,23 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataF
     """
     if max_bits > MAX_BITS:
         raise ValueError("the keys find pairs within 4 bits")
+    return _verified(fps.select("fp").mapInArrow(_emit_keys, "key long, fp long"), max_bits, block)
+
+
+def _verified(keyed: DataFrame, max_bits: int, block: int) -> DataFrame:
+    """(a, b): links within ``max_bits`` in the groups of equal keys, of rows of a key and a fingerprint of one or two words."""
     shape = "a long, b long, key long"
-    keyed = fps.select("fp").mapInArrow(_emit_keys, "key long, fp long")
+    words = keyed.columns[1:]
     found = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_linker(max_bits, block), shape)
     found = materialize(found, "links")
-    over = found.filter("key is not null").select("key", F.col("a").alias("fp"))
+    over = found.filter("key is not null").select("key", *[F.col(c).alias(w) for c, w in zip("ab", words, strict=False)])
     edges = found.filter("key is null").select("a", "b")
     if not over.isEmpty():
         counts = over.groupBy("key").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("n"))
-        dealt = over.join(counts, "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
+        dealt = over.join(counts, "key").withColumn("own", F.pmod(F.xxhash64(words[0]), F.col("n")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
         group = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-        dealt = dealt.select(group.alias("key"), "fp")
+        dealt = dealt.select(group.alias("key"), *words)
         more = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_linker(max_bits, None), shape)
         edges = edges.unionByName(more.select("a", "b"))
     return edges.distinct()
@@ -342,10 +365,14 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = MAX_BITS) -
 
 # ---- texts that share most of their shingles ----------------------------------------
 
+#: Segments of a long fingerprint, the bits of a Golay codeword each, and the 64-bit words that hold them after those of the check.
+PARTS, WIDTH = 2 * BANDS, 23
+LENGTH = CHECK + -(-PARTS * WIDTH // 64)
 _RNG = np.random.default_rng(SEED)
-_FLIPS = _RNG.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64)
-_FACTORS = _RNG.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
-_MIX = _RNG.integers(0, 1 << 64, (BANDS, ROWS), np.uint64) | np.uint64(1)
+_FLIPS = _RNG.integers(0, 1 << 64, LENGTH, np.uint64)
+_FACTORS, _MIX = _RNG.integers(0, 1 << 64, (2, LENGTH), np.uint64) | np.uint64(1)
+#: The 4096 codewords by index, as signs of their bits.
+_SIGNS = np.array([[1 if (i << 11 | int(_HIGH[i])) >> b & 1 else -1 for i in range(4096)] for b in range(WIDTH)], np.float32)
 
 
 def shingle_set(data: bytes, words: int) -> np.ndarray:
@@ -362,50 +389,69 @@ def shingle_set(data: bytes, words: int) -> np.ndarray:
     return np.unique(np.concatenate([np.empty(0, np.uint64), *found]).astype(np.uint64))
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """Keys of a shingle set that is not empty; each stands for ROWS minima."""
-    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
-    for i in range(0, len(hashes), 512):
-        least = np.minimum(least, ((hashes[None, i : i + 512] ^ _FLIPS) * _FACTORS).min(axis=1))
-    return ((least.reshape(BANDS, ROWS) * _MIX).sum(axis=1, dtype=np.uint64)).view(np.int64)
+def bit_sums(hashes: np.ndarray) -> np.ndarray:
+    """SimHash of a shingle set before the signs are taken, in 64 x LENGTH bits: how many shingles more have a bit than have it not."""
+    ones = np.zeros(64 * LENGTH, np.int64)
+    for i in range(0, len(hashes), 255):
+        h = (hashes[i : i + 255, None] ^ _FLIPS) * _FACTORS
+        h = (h ^ h >> np.uint64(32)) * _MIX
+        h ^= h >> np.uint64(29)
+        # Eight counts, one a byte, in each number: 255 rows do not overflow them.
+        bits = np.unpackbits(h.view(np.uint8).ravel()).view(np.uint64).reshape(len(h), -1)
+        ones += bits.sum(axis=0, dtype=np.uint64).view(np.uint8)
+    return 2 * ones - len(hashes)
+
+
+def soft_decode(sums: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the ``count`` codewords that agree best with each row of 23 sums, best first, and how much less each agrees than the best."""
+    index, loss = np.empty((len(sums), count), np.int64), np.empty((len(sums), count), np.float32)
+    for at in range(0, len(sums), 512):
+        agree = sums[at : at + 512].astype(np.float32) @ _SIGNS
+        rows = np.arange(len(agree))
+        for j in range(count):
+            best = agree.argmax(axis=1)
+            index[at : at + 512, j], loss[at : at + 512, j] = best, agree[rows, best]
+            agree[rows, best] = -np.inf
+    return index, loss[:, :1] - loss
+
+
+def soft_keys(sums: np.ndarray) -> np.ndarray:
+    """Keys (BANDS x KEYS a row) of texts with these sums: the joint indices of two segments that agree best, and the pair's number."""
+    parts = sums[:, 64 * CHECK :][:, : PARTS * WIDTH].reshape(-1, WIDTH)
+    index, loss = (x.reshape(len(sums), BANDS, 2, NEAREST) for x in soft_decode(parts, NEAREST))
+    joint = (index[:, :, 0, :, None] << 12 | index[:, :, 1, None, :]).reshape(len(sums), BANDS, NEAREST**2)
+    order = np.argsort((loss[:, :, 0, :, None] + loss[:, :, 1, None, :]).reshape(joint.shape), axis=2, kind="stable")
+    best = np.take_along_axis(joint, order[:, :, :KEYS], axis=2)
+    return (np.arange(BANDS)[:, None] << 24 | best).reshape(len(sums), BANDS * KEYS).astype(np.int32)
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, th, bytes, fp, keys): a row for each row of ``docs``; th stands for the text, fp for its shingle set."""
+    """(doc_id, th, bytes, fp, check0, check1, keys): a row for each row of ``docs``; th stands for the text, fp for its
+    shingle set; the checks and keys are of its long SimHash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 1024):
                 part = batch.slice(at, 1024)
-                fps, sizes, keys = [], [], []
-                for t in part.column(2):
+                fps, sizes = [], []
+                sums = np.zeros((len(part), 64 * LENGTH), np.int32)
+                for i, t in enumerate(part.column(2)):
                     data = t.as_py() or b""
                     hashes = shingle_set(data, words)
                     sizes.append(len(data))
                     fps.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED) if len(hashes) else 0)
-                    keys.append(band_keys(hashes) if len(hashes) else np.empty(0, np.int64))
+                    sums[i] = bit_sums(hashes)
                 fps = np.array(fps, np.uint64).view(np.int64)
-                columns = [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(fps), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.record_batch(columns, names=["doc_id", "th", "bytes", "fp", "keys"])
+                checks = np.packbits(sums[:, : 64 * CHECK] > 0, axis=1).view(np.int64)
+                # A text without words has no keys.
+                keys = soft_keys(sums[fps != 0])
+                ends = np.r_[0, np.cumsum(np.where(fps != 0, keys.shape[1], 0))].astype(np.int32)
+                keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))
+                columns = [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(fps), *[pa.array(checks[:, i].copy()) for i in range(CHECK)], keys]
+                yield pa.record_batch(columns, names=["doc_id", "th", "bytes", "fp", "check0", "check1", "keys"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, th long, bytes long, fp long, keys array<long>")
-
-
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links from the first fp of each key to its others, of (key, fp) sorted by both."""
-    last = None
-    for batch in batches:
-        key, fp = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:2])
-        if not len(key):
-            continue
-        new = np.r_[last is None or key[0] != last[0], key[1:] != key[:-1]]
-        at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-        first = np.where(at >= 0, fp[at], fp[0] if last is None else last[1])
-        last = (key[-1], first[-1])
-        other = first != fp
-        pairs = np.unique(np.stack([first[other], fp[other]], axis=1), axis=0)
-        yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+    return rows.mapInArrow(run, "doc_id long, th long, bytes long, fp long, check0 long, check1 long, keys array<int>")
 
 
 def jaccard_links(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
@@ -458,19 +504,25 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> D
 
     Links join texts whose sets of shingles have at least this Jaccard
     similarity; root stands for the component, component_id is its smallest
-    doc_id. Texts without words are one another's copies. Texts with a band key
-    in common are candidates; groups of candidates are compared exactly, in
-    pairs of blocks where a group is large, so no group is cut.
+    doc_id. Texts without words are one another's copies. Texts with a key of two
+    softly decoded Golay segments in common, and check bits within CHECK_BITS, are
+    candidates; groups of candidates are compared exactly, in pairs of blocks where
+    a group is large, so no group is cut. A similarity under LEAST raises ValueError.
     """
+    if similarity < LEAST:
+        raise ValueError(f"the keys find texts of similarity {LEAST} or more")
     rows = materialize(_sets(docs, words), "sets")
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("th", "doc_id", "bytes")).alias("one"), F.first("keys").alias("keys"))
+    least, one = F.min("doc_id").alias("least"), F.min(F.struct("th", "doc_id", "bytes")).alias("one")
+    nodes = rows.groupBy("fp").agg(least, one, *[F.first(c).alias(c) for c in ("check0", "check1", "keys")])
     nodes = materialize(nodes, "nodes")
-    keyed = nodes.select(F.explode("keys").alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
-    groups = components(keyed.mapInArrow(_stars, "a long, b long").distinct())
-    groups = groups.select(F.col("node").alias("fp"), F.col("root").alias("group"))
-    members = materialize(nodes.select("fp", "one.*").join(groups, "fp"), "members")
+    groups = components(_verified(nodes.select(F.explode("keys").alias("key"), "check0", "check1"), CHECK_BITS, BLOCK))
+    groups = groups.select(F.col("node").alias("check0"), F.col("root").alias("group"))
+    # Sets with the same check bits are one node of the links, so they share a group also where nothing links it.
+    members = nodes.select("check0", "fp", "one.*").join(groups, "check0", "left").withColumn("group", F.coalesce("group", "check0"))
+    members = materialize(members.select("group", "fp", "th", "doc_id", "bytes"), "members")
     n = F.greatest(F.ceil(F.count("*") / F.lit(TEXTS)), F.ceil(F.sum("bytes") / F.lit(TEXT_BYTES))).cast("int")
-    dealt = members.join(members.groupBy("group").agg(n.alias("n")), "group")
+    sizes = materialize(members.groupBy("group").agg(n.alias("n"), F.count("*").alias("__n")).filter("__n > 1"), "sizes")
+    dealt = join_hot(members, sizes, ["group"], F.xxhash64("fp")).filter("n is not null")
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
     texts = docs.select(F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__h"), F.col("text").cast("binary").alias("text"))
     dealt = dealt.join(texts, (F.col("th") == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__id")))

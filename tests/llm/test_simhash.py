@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from folioframe.llm import simhash
@@ -156,3 +157,99 @@ def test_each_text_of_an_id_is_judged_by_itself(docs_of):
     for by in ({}, {"words": 5, "similarity": 0.8}):
         got = sorted((r["doc_id"], r["text"]) for r in simhash.one_of_each(docs, **by).collect())
         assert got == sorted([(1, a), (1, b), (2, c)])
+
+
+def long_bits(text):
+    """SimHash sums of the set of five-word shingles, bit by bit, for the bits of the check and of the segments."""
+    h = [xxhash.xxh64_intdigest(" ".join(s).encode(), 42) for s in five_words(text)]
+    out, most = [], (1 << 64) - 1
+    for flip, factor, mix in zip(simhash._FLIPS.tolist(), simhash._FACTORS.tolist(), simhash._MIX.tolist(), strict=True):
+        xs = [(x ^ flip) * factor & most for x in h]
+        xs = [(x ^ x >> 32) * mix & most for x in xs]
+        xs = [x ^ x >> 29 for x in xs]
+        # Byte by byte from the lowest, bits of a byte from the highest.
+        out += [sum(1 if x >> 8 * (b // 8) + 7 - b % 8 & 1 else -1 for x in xs) for b in range(64)]
+    return np.array(out)
+
+
+def test_soft_decoding_gives_the_nearest_codewords():
+    rng = np.random.default_rng(6)
+    sums = rng.integers(-300, 300, (40, 23))
+    index, loss = simhash.soft_decode(sums, 4)
+    for s, found, less in zip(sums, index, loss, strict=True):
+        agree = []
+        for i in range(4096):
+            code = i << 11 | int(simhash._HIGH[i])
+            assert int(simhash.decode(np.array([code]))[0]) == i
+            agree.append(sum(int(x) if code >> b & 1 else -int(x) for b, x in enumerate(s)))
+        best = sorted(range(4096), key=lambda i: (-agree[i], i))[:4]
+        assert found.tolist() == best and less.tolist() == [agree[best[0]] - agree[i] for i in best]
+
+
+def test_candidates_of_similar_texts_have_golay_keys_of_their_simhash(docs_of):
+    """Each key joins codewords that two segments of the long SimHash decode to, written apart from the operator."""
+    rng = random.Random(7)
+    texts = ["one two three", *(" ".join(f"W{rng.randrange(900)}" for _ in range(n)) for n in (8, 60, 700))]
+    rows = simhash._sets(docs_of([*enumerate(texts), (8, ""), (9, None)]), 5).collect()
+    got = {r["doc_id"]: r for r in rows}
+    assert len(rows) == 6 and got[8]["keys"] == got[9]["keys"] == [] and got[8]["fp"] == got[9]["fp"] == 0
+    for i, text in enumerate(texts):
+        sums = long_bits(text)
+        bits = np.packbits(sums[:128] > 0).view(np.int64).tolist()
+        assert [got[i]["check0"], got[i]["check1"]] == bits
+        index, loss = simhash.soft_decode(sums[128:][: 28 * 23].reshape(28, 23), 4)
+        want = []
+        for band in range(14):
+            a, b = 2 * band, 2 * band + 1
+            joint = sorted((loss[a, x] + loss[b, y], x, y) for x in range(4) for y in range(4))[:8]
+            want += [band << 24 | int(index[a, x]) << 12 | int(index[b, y]) for _, x, y in joint]
+        assert got[i]["keys"] == want
+
+
+def test_keys_of_sets_of_similarity_08_meet():
+    rng = np.random.default_rng(8)
+    some = lambda n: rng.integers(0, 1 << 64, n, np.uint64)
+    for shared, more, other, n in ((4, 0, 1, 1500), (8, 1, 1, 1500), (80, 10, 10, 1500)):
+        sums = [[simhash.bit_sums(np.r_[c, some(k)]) for k in (more, other)] for c in (some(shared) for _ in range(n))]
+        a, b = (np.stack(x) for x in zip(*sums, strict=True))
+        met = [len({k >> 24 for k in set(x) & set(y)}) for x, y in zip(simhash.soft_keys(a).tolist(), simhash.soft_keys(b).tolist(), strict=True)]
+        apart = ((a[:, :128] > 0) != (b[:, :128] > 0)).sum(axis=1)
+        assert 0.55 < np.mean(met) / simhash.BANDS < 0.62
+        assert sum(m == 0 or d > simhash.CHECK_BITS for m, d in zip(met, apart, strict=True)) <= 1
+
+
+def test_large_groups_of_two_words_are_dealt_in_blocks(spark):
+    """Fingerprints of 128 bits under one key: two far clouds, whole and in blocks; those with the same first word are one node."""
+    rng = random.Random(9)
+    fps = set()
+    for centre in (0, (1 << 128) - 1) * 60:
+        for bit in rng.sample(range(128), rng.randint(1, 6)):
+            centre ^= 1 << bit
+        fps.add(centre)
+    least = {f: f >> 64 for f in fps}
+    for _ in fps:  # the smallest first word that links reach
+        for f in fps:
+            least[f] = min(least[g] for g in fps if (f ^ g).bit_count() <= 8 or f >> 64 == g >> 64)
+    want = {}
+    for f in fps:
+        want.setdefault(least[f], set()).add(f >> 64)
+    assert 2 <= len(want) and len({f >> 64 for f in fps}) < len(fps)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    keyed = spark.createDataFrame([(5, signed(f >> 64), signed(f & (1 << 64) - 1)) for f in fps], "key int, x long, y long")
+    for block in (8, 1000):
+        roots = {r["node"]: r["root"] for r in simhash.components(simhash._verified(keyed, 8, block)).collect()}
+        got = {}
+        for f in fps:
+            got.setdefault(roots.get(signed(f >> 64), signed(f >> 64)), set()).add(f >> 64)
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_similar_texts_of_equal_check_bits(docs_of):
+    """Long texts that differ in a word mostly share all check bits; no similarity under 0.8 is taken."""
+    rng = random.Random(10)
+    w = [f"w{rng.randrange(9000)}" for _ in range(6000)]
+    rows = [(i, " ".join([*w[:i], "other", *w[i + 1 :]])) for i in range(0, 6000, 1000)]
+    docs = docs_of(rows)
+    assert {r["component_id"] for r in simhash.similar_texts(docs).collect()} == {0}
+    with pytest.raises(ValueError):
+        simhash.similar_texts(docs, 5, 0.7)
