@@ -96,3 +96,61 @@ select conv_id, count(*) as n_turns,
   sum(chars)::bigint as formatted_chars
 from sized group by conv_id
 """
+
+SQL["op12_fill_in_middle"] = r"""
+with lines as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as units,
+    sha256('7:' || coalesce(doc_id::varchar, '')) as hex
+  from documents
+), draws as (
+  select *, len(units) as n, ('0x' || hex[1:8])::bigint as h1, ('0x' || hex[9:16])::bigint as h2, ('0x' || hex[17:24])::bigint as h3, ('0x' || hex[25:32])::bigint as h4
+  from lines
+), ends as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as lo, greatest(h1 % (n + 1), h2 % (n + 1)) as hi,
+    text = '' or text like '%<P>%' or text like '%<S>%' or text like '%<M>%' or h3 % 100 >= 100 as plain, h4 % 100 < 50 as spm
+  from draws
+), lengths as (
+  select *, coalesce(list_sum(list_transform(units[1:lo], lambda u: length(u))), 0)::bigint as prefix_chars,
+    coalesce(list_sum(list_transform(units[1:hi], lambda u: length(u))), 0)::bigint as both_chars
+  from ends
+), parts as (
+  select *, text[1:prefix_chars] as prefix, text[prefix_chars + 1:both_chars] as middle, text[both_chars + 1:] as suffix from lengths
+)
+select doc_id, n::bigint as n, case when plain then 'plain' when spm then 'spm' else 'psm' end as form,
+  case when not plain then prefix_chars end as prefix_chars, case when not plain then both_chars - prefix_chars end as middle_chars,
+  sha256(case when plain then text when spm then '<S>' || suffix || '<P>' || prefix || '<M>' || middle else '<P>' || prefix || '<S>' || suffix || '<M>' || middle end) as output_sha256,
+  sha256(text) as restored_sha256
+from parts
+"""
+
+SQL["op13_quality_rules"] = r"""
+with base as (
+  select row_number() over () as k, doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
+  from documents
+), windows as (
+  select k, i, words[i:i + 2] as w from (select k, words, unnest(range(1, len(words) - 1)) as i from base)
+), twice as (
+  select k, i from (select k, i, count(*) over (partition by k, w) as n from windows) where n > 1
+), spread as (
+  select k, count(distinct i + j)::bigint as n_repeat_words from twice, (values (0), (1), (2)) t(j) group by k
+), counts as (
+  select b.*, len(words)::bigint as n_words, coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::bigint as word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::bigint as n_symbols, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines,
+    coalesce(n_repeat_words, 0)::bigint as n_repeat_words
+  from base b left join spread s using (k)
+), judged as (
+  select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+    len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•‣▪·]'))) as bullets,
+    len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) as ellipses,
+    len(list_filter(words, lambda w: regexp_matches(w, '\p{L}'))) as lettered,
+    length(regexp_replace(text, '\P{L}+', '', 'g')) as letters, length(regexp_replace(text, '\P{Lu}+', '', 'g')) as capitals,
+    len(regexp_extract_all(text, '[!?]{2,}')) as marks
+  from counts
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not (base_failed or word_chars < 3 * n_words or word_chars > 10 * n_words or 10 * n_symbols > n_words or 10 * n_dup_lines > 3 * len(lines)
+    or 10 * bullets > 9 * len(lines) or 10 * ellipses > 3 * len(lines) or 10 * lettered < 8 * n_words or 10 * marks > n_words
+    or 10 * capitals > 4 * letters or contains(lower(text), 'lorem ipsum')) as kept
+from judged
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hash_forest, langid, media, mixing, oracle, packing, quality, reply_trees, simhash, templates, wordpiece
+from . import hash_forest, infilling, langid, media, mixing, oracle, packing, periodic, quality, reply_trees, rules, simhash, templates, wordpiece
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,18 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reply_trees.check_conversations(rows.unionByName(more))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digested(periodic.collapsed(periodic.planted(table(spark, sf_dir, "documents"))))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infilling.checked(table(spark, sf_dir, "documents"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judged(table(spark, sf_dir, "documents")).drop("rejected_by")
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mix_sources": op2_mix_sources,
@@ -73,6 +85,9 @@ QUERIES: dict[str, Query] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_language_id": op9_language_id,
     "op10_chat_format": op10_chat_format,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = oracle.SQL
