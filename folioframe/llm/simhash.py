@@ -16,7 +16,7 @@ such keys. For these, :func:`similar_texts` makes a longer SimHash of the set of
 shingles and decodes its segments softly: the sums whose signs are the bits say
 how sure each bit is, and a segment gives the codewords that agree best with
 them. Keys join the indices of two segments, the likeliest joins first. Groups of
-equal keys are verified by the distance of 128 other bits, and what they link by
+equal keys are verified by the distance of 256 other bits, and what they link by
 the exact Jaccard similarity of the shingle sets.
 """
 
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import join_hot, materialize
@@ -42,10 +42,12 @@ BLOCK = 4096
 SMALL = 8
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 #: Pairs of segments, codewords of a segment and keys of a pair for texts of this similarity or more. Two texts
-#: at exactly LEAST have a key of one pair in common in 0.57 of cases (measured), so none of 14 pairs' once in 130,000.
-BANDS, NEAREST, KEYS, LEAST = 14, 4, 8, 0.8
-#: Words of bits that verify such keys, and their differing bits at most: 19 +- 4 at LEAST, 64 +- 6 between texts that share nothing.
-CHECK, CHECK_BITS = 2, 44
+#: at exactly LEAST have a key of one pair in common in 0.81 of cases (measured), so none of seven pairs' once in 100,000.
+BANDS, NEAREST, KEYS, LEAST = 7, 8, 16, 0.8
+#: Words of bits that verify such keys, and their differing bits at most: 39 +- 6 at LEAST (48 +- 6 for sets of four and
+#: five), 128 +- 8 between texts that share nothing, of which one pair in 10^9 passes: candidates of unrelated texts do
+#: not grow together to large groups, however many texts there are.
+CHECK, CHECK_BITS = 4, 80
 #: Texts, and bytes of text, of a block of texts that are compared in one task.
 TEXTS, TEXT_BYTES = 2048, 8 << 20
 
@@ -226,25 +228,25 @@ def _group_links(key: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.nda
     return pairs[:, 0], pairs[:, 1]
 
 
-def _linker(max_bits: int, block: int | None):
-    """For mapInArrow over (key, fp) sorted by key: links (a, b, null), and the rows of groups of over ``block`` as (fp, null, key).
-
-    A fingerprint of two words takes two columns; its links have the first word, its rows are passed on as (word, word, key).
-    """
+def _linker(max_bits: int, block: int | None, words: int):
+    """For mapInArrow over (key, fp of ``words`` words) sorted by key: links (a, b, null, nulls) between first words, and
+    the rows of groups of over ``block`` as (null, null, key, words)."""
+    names = ["a", "b", "key", *[f"w{i}" for i in range(words)]]
 
     def links(a, b):
-        return pa.record_batch([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], names=["a", "b", "key"])
+        none = pa.nulls(len(a), pa.int64())
+        return pa.record_batch([pa.array(a), pa.array(b), *[none] * (words + 1)], names=names)
 
     def passed_on(k, f):
-        rest = pa.nulls(len(f), pa.int64()) if f.ndim == 1 else pa.array(f[:, 1].copy())
-        return pa.record_batch([pa.array(_first(f).copy()), rest, pa.array(k, pa.int64())], names=["a", "b", "key"])
+        none, columns = pa.nulls(len(f), pa.int64()), f.reshape(len(f), words)
+        return pa.record_batch([none, none, pa.array(k, pa.int64()), *[pa.array(columns[:, i].copy()) for i in range(words)]], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = fp = np.empty(0, np.int64)
         over = None
         for batch in batches:
             k, *f = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            f = f[0] if len(f) == 1 else np.stack(f, axis=1)
+            f = f[0] if words == 1 else np.stack(f, axis=1)
             key, fp = (np.concatenate([key, k]), np.concatenate([fp, f])) if len(key) else (k, f)
             if not len(key):
                 continue
@@ -292,21 +294,19 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataF
 
 
 def _verified(keyed: DataFrame, max_bits: int, block: int) -> DataFrame:
-    """(a, b): links within ``max_bits`` in the groups of equal keys, of rows of a key and a fingerprint of one or two words."""
-    shape = "a long, b long, key long"
+    """(a, b): links within ``max_bits`` in the groups of equal keys, of rows of a key and a fingerprint of some words; links have the first."""
     words = keyed.columns[1:]
-    found = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_linker(max_bits, block), shape)
-    found = materialize(found, "links")
-    over = found.filter("key is not null").select("key", *[F.col(c).alias(w) for c, w in zip("ab", words, strict=False)])
+    shape = ", ".join(f"{c} long" for c in ("a", "b", "key", *[f"w{i}" for i in range(len(words))]))
+    linked = lambda rows, block: rows.repartition("key").sortWithinPartitions("key").mapInArrow(_linker(max_bits, block, len(words)), shape)
+    found = materialize(linked(keyed, block), "links")
+    over = found.filter("key is not null").select("key", *[F.col(f"w{i}").alias(w) for i, w in enumerate(words)])
     edges = found.filter("key is null").select("a", "b")
     if not over.isEmpty():
         counts = over.groupBy("key").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("n"))
         dealt = over.join(counts, "key").withColumn("own", F.pmod(F.xxhash64(words[0]), F.col("n")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
         group = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-        dealt = dealt.select(group.alias("key"), *words)
-        more = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_linker(max_bits, None), shape)
-        edges = edges.unionByName(more.select("a", "b"))
+        edges = edges.unionByName(linked(dealt.select(group.alias("key"), *words), None).select("a", "b"))
     return edges.distinct()
 
 
@@ -346,9 +346,8 @@ def _grouped(docs: DataFrame, words: int, max_bits: int) -> DataFrame:
     fps = materialize(fingerprints(docs, words), "fingerprints")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(nodes, max_bits)).select(F.col("node").alias("fp"), "root")
-    nodes = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(nodes.join(ids, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "th", "fp", "root", "component_id")
+    nodes = _component_ids(nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    return fps.join(nodes, "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = MAX_BITS) -> DataFrame:
@@ -368,6 +367,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = MAX_BITS) -
 #: Segments of a long fingerprint, the bits of a Golay codeword each, and the 64-bit words that hold them after those of the check.
 PARTS, WIDTH = 2 * BANDS, 23
 LENGTH = CHECK + -(-PARTS * WIDTH // 64)
+CHECKS = [f"check{i}" for i in range(CHECK)]
 _RNG = np.random.default_rng(SEED)
 _FLIPS = _RNG.integers(0, 1 << 64, LENGTH, np.uint64)
 _FACTORS, _MIX = _RNG.integers(0, 1 << 64, (2, LENGTH), np.uint64) | np.uint64(1)
@@ -426,7 +426,7 @@ def soft_keys(sums: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, th, bytes, fp, check0, check1, keys): a row for each row of ``docs``; th stands for the text, fp for its
+    """(doc_id, th, bytes, fp, check0 and so on, keys): a row for each row of ``docs``; th stands for the text, fp for its
     shingle set; the checks and keys are of its long SimHash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -448,10 +448,10 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
                 ends = np.r_[0, np.cumsum(np.where(fps != 0, keys.shape[1], 0))].astype(np.int32)
                 keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))
                 columns = [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(fps), *[pa.array(checks[:, i].copy()) for i in range(CHECK)], keys]
-                yield pa.record_batch(columns, names=["doc_id", "th", "bytes", "fp", "check0", "check1", "keys"])
+                yield pa.record_batch(columns, names=["doc_id", "th", "bytes", "fp", *CHECKS, "keys"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, th long, bytes long, fp long, check0 long, check1 long, keys array<int>")
+    return rows.mapInArrow(run, f"doc_id long, th long, bytes long, fp long, {', '.join(f'{c} long' for c in CHECKS)}, keys array<int>")
 
 
 def jaccard_links(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
@@ -499,6 +499,52 @@ def _verifier(words: int, similarity: float):
     return run
 
 
+def _blocks() -> Column:
+    """Number of blocks that grouped (fp, bytes) rows make."""
+    return F.greatest(F.ceil(F.count("*") / F.lit(TEXTS)), F.ceil(F.sum("bytes") / F.lit(TEXT_BYTES))).cast("int")
+
+
+def _compared(dealt: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b): links between texts that meet in a block, of rows (fp, th, doc_id, blocks); a text is fetched once and shipped to each of its blocks."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__h"), F.col("text").cast("binary").alias("text"))
+    met = dealt.join(texts, (F.col("th") == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__id")))
+    met = met.select(F.explode("blocks").alias("block"), "fp", "text")
+    return met.groupBy("block").applyInArrow(_verifier(words, similarity), "a long, b long")
+
+
+def _linked_groups(members: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b): links whose components are those of all pairs of similar texts within each group; ``members`` are written (group, fp, th, doc_id, bytes).
+
+    A group is cut into blocks. Each block meets the first one; that joins nearly all of
+    a group of copies, each text shipped once or, in the first block, once a block. What is left outside the
+    group's largest component then meets every block, so no pair of texts of different components goes uncompared.
+    """
+    sizes = members.groupBy("group").agg(_blocks().alias("n"), F.count("*").alias("__n")).filter("__n > 1")
+    dealt = join_hot(members, materialize(sizes, "sizes"), ["group"], F.xxhash64("fp")).filter("n is not null")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
+    block = lambda *parts: F.xxhash64("group", *parts)
+    all_blocks = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: block(i))
+    first = F.when(F.col("own") == 0, all_blocks).otherwise(F.array(block(F.col("own"))))
+    edges = materialize(_compared(dealt.select("fp", "th", "doc_id", first.alias("blocks")), docs, words, similarity), "first")
+    large = dealt.filter("n > 1")
+    if large.isEmpty():
+        return edges
+    roots = components(edges).select(F.col("node").alias("fp"), "root")
+    large = materialize(large.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "large")
+    counts = large.groupBy("group", "root").count().groupBy("group").agg(F.max(F.struct("count", "root")).alias("most"))
+    main = materialize(counts.select("group", F.col("most.root").alias("main"), F.col("most.count").alias("__n")), "main")
+    rest = materialize(join_hot(large, main, ["group"], F.xxhash64("fp")).filter("root <> main").select("group", "fp", "th", "doc_id", "bytes", "n"), "rest")
+    if rest.isEmpty():
+        return edges
+    waves = materialize(rest.groupBy("group").agg(_blocks().alias("m"), F.count("*").alias("__n")), "waves")
+    own = F.pmod(F.xxhash64("fp"), F.col("m")).cast("int")
+    outer = join_hot(rest, waves, ["group"], F.xxhash64("fp"))
+    outer = outer.select("fp", "th", "doc_id", F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: block(F.lit("rest"), own, j)).alias("blocks"))
+    inner = join_hot(large, waves, ["group"], F.xxhash64("fp")).filter("m is not null")
+    inner = inner.select("fp", "th", "doc_id", F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda i: block(F.lit("rest"), i, F.col("own"))).alias("blocks"))
+    return edges.unionByName(_compared(outer.unionByName(inner), docs, words, similarity))
+
+
 def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, th, root, component_id): a row for each row of ``docs``; th is the text's xxhash64.
 
@@ -513,29 +559,25 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> D
         raise ValueError(f"the keys find texts of similarity {LEAST} or more")
     rows = materialize(_sets(docs, words), "sets")
     least, one = F.min("doc_id").alias("least"), F.min(F.struct("th", "doc_id", "bytes")).alias("one")
-    nodes = rows.groupBy("fp").agg(least, one, *[F.first(c).alias(c) for c in ("check0", "check1", "keys")])
+    nodes = rows.groupBy("fp").agg(least, one, *[F.first(c).alias(c) for c in (*CHECKS, "keys")])
     nodes = materialize(nodes, "nodes")
-    groups = components(_verified(nodes.select(F.explode("keys").alias("key"), "check0", "check1"), CHECK_BITS, BLOCK))
+    groups = components(_verified(nodes.select(F.explode("keys").alias("key"), *CHECKS), CHECK_BITS, BLOCK))
     groups = groups.select(F.col("node").alias("check0"), F.col("root").alias("group"))
     # Sets with the same check bits are one node of the links, so they share a group also where nothing links it.
     members = nodes.select("check0", "fp", "one.*").join(groups, "check0", "left").withColumn("group", F.coalesce("group", "check0"))
     members = materialize(members.select("group", "fp", "th", "doc_id", "bytes"), "members")
-    n = F.greatest(F.ceil(F.count("*") / F.lit(TEXTS)), F.ceil(F.sum("bytes") / F.lit(TEXT_BYTES))).cast("int")
-    sizes = materialize(members.groupBy("group").agg(n.alias("n"), F.count("*").alias("__n")).filter("__n > 1"), "sizes")
-    dealt = join_hot(members, sizes, ["group"], F.xxhash64("fp")).filter("n is not null")
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__h"), F.col("text").cast("binary").alias("text"))
-    dealt = dealt.join(texts, (F.col("th") == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__id")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    dealt = dealt.select(F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")).alias("block"), "fp", "text")
-    edges = dealt.groupBy("block").applyInArrow(_verifier(words, similarity), "a long, b long")
-    roots = components(edges).select(F.col("node").alias("fp"), "root")
-    nodes = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    nodes = nodes.join(ids, "root").select("fp", "root", "component_id")
+    roots = components(_linked_groups(members, docs, words, similarity)).select(F.col("node").alias("fp"), "root")
+    nodes = _component_ids(nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     return rows.select("doc_id", "th", "fp").join(nodes, "fp").select("doc_id", "th", "root", "component_id")
 
 
+def _component_ids(nodes: DataFrame) -> DataFrame:
+    """(fp, root, component_id) of nodes (fp, least, root); a component that has very many nodes is no single task."""
+    nodes = materialize(nodes, "rooted")
+    ids = nodes.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("__n"))
+    return join_hot(nodes, materialize(ids, "ids"), ["root"], F.xxhash64("fp")).select("fp", "root", "component_id")
+
+
 def one_of_each(docs: DataFrame, words: int = 4, max_bits: int = MAX_BITS, similarity: float | None = None) -> DataFrame:
     """The rows of ``docs`` that stay if each component keeps its smallest doc_id.
 

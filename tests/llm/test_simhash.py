@@ -3,6 +3,8 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from folioframe.llm import simhash
 
@@ -148,6 +150,10 @@ def test_similar_texts_against_brute_force(spark, docs_of, monkeypatch):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
     monkeypatch.setattr(simhash, "TEXTS", 1)
     assert {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(docs).collect()} == want
+    # Everything in one group of candidates: most of it is left after the first block, and meets every block.
+    monkeypatch.setattr(simhash, "TEXTS", 40)
+    monkeypatch.setattr(simhash, "_verified", lambda keyed, *_: keyed.select(F.min("check0").over(Window.partitionBy(F.lit(0))).alias("a"), F.col("check0").alias("b")).distinct())
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(docs).collect()} == want
     assert simhash.similar_texts(docs.limit(0)).collect() == []
 
 
@@ -195,13 +201,13 @@ def test_candidates_of_similar_texts_have_golay_keys_of_their_simhash(docs_of):
     assert len(rows) == 6 and got[8]["keys"] == got[9]["keys"] == [] and got[8]["fp"] == got[9]["fp"] == 0
     for i, text in enumerate(texts):
         sums = long_bits(text)
-        bits = np.packbits(sums[:128] > 0).view(np.int64).tolist()
-        assert [got[i]["check0"], got[i]["check1"]] == bits
-        index, loss = simhash.soft_decode(sums[128:][: 28 * 23].reshape(28, 23), 4)
+        bits = np.packbits(sums[:256] > 0).view(np.int64).tolist()
+        assert [got[i][f"check{k}"] for k in range(4)] == bits
+        index, loss = simhash.soft_decode(sums[256:][: 14 * 23].reshape(14, 23), 8)
         want = []
-        for band in range(14):
+        for band in range(7):
             a, b = 2 * band, 2 * band + 1
-            joint = sorted((loss[a, x] + loss[b, y], x, y) for x in range(4) for y in range(4))[:8]
+            joint = sorted((loss[a, x] + loss[b, y], x, y) for x in range(8) for y in range(8))[:16]
             want += [band << 24 | int(index[a, x]) << 12 | int(index[b, y]) for _, x, y in joint]
         assert got[i]["keys"] == want
 
@@ -213,11 +219,20 @@ def test_keys_of_sets_of_similarity_08_meet():
         sums = [[simhash.bit_sums(np.r_[c, some(k)]) for k in (more, other)] for c in (some(shared) for _ in range(n))]
         a, b = (np.stack(x) for x in zip(*sums, strict=True))
         met = [len({k >> 24 for k in set(x) & set(y)}) for x, y in zip(simhash.soft_keys(a).tolist(), simhash.soft_keys(b).tolist(), strict=True)]
-        apart = ((a[:, :128] > 0) != (b[:, :128] > 0)).sum(axis=1)
-        assert 0.55 < np.mean(met) / simhash.BANDS < 0.62
+        apart = ((a[:, :256] > 0) != (b[:, :256] > 0)).sum(axis=1)
+        assert np.mean(met) / simhash.BANDS > 0.75
         assert sum(m == 0 or d > simhash.CHECK_BITS for m, d in zip(met, apart, strict=True)) <= 1
 
 
+def test_bits_of_unrelated_sets_stay_apart():
+    """The share of unrelated pairs that the check lets pass is too small to meet one here: 2 x 10^7 pairs, 10^-9 each."""
+    rng = np.random.default_rng(12)
+    words = [np.packbits(simhash.bit_sums(rng.integers(0, 1 << 64, n, np.uint64))[:256] > 0).view(np.int64) for n in rng.integers(5, 60, 6000)]
+    words = np.stack(words)
+    closest = min(int(simhash._bits(words[i + 1 :], words[i]).min()) for i in range(len(words) - 1))
+    assert closest > simhash.CHECK_BITS
+
+
 def test_large_groups_of_two_words_are_dealt_in_blocks(spark):
     """Fingerprints of 128 bits under one key: two far clouds, whole and in blocks; those with the same first word are one node."""
     rng = random.Random(9)
