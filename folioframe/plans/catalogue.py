@@ -20,6 +20,8 @@ from ..operators import maps as M
 from ..operators import pages as P
 from ..operators import sequences as S
 from ..sources import fixtures as X
+from ..sources import pdf as PDF
+from ..sources import pdf_writer as PW
 from ..sources import sinks as K
 from . import documents as D
 from . import reading as R
@@ -511,6 +513,46 @@ def document_csv_rows(spark, d):
     return K.document_csv_rows(_pages(spark, d)[3]).select("file", "page", "image_index", "ord", "line")
 
 
+def _texts(spark, d):
+    return X.page_text(spark, d).select(F.col("doc_id").alias("number"), "text")
+
+
+def _read_back(found):
+    text = F.sha2("text", 256).alias("text_sha256")
+    return found.select(F.regexp_extract("path", "^-?[0-9]+", 0).cast("long").alias("doc_id"), "page", "n_rows", text, F.length("text").alias("chars"), "error")
+
+
+@query
+def pdf_text(spark, d):
+    """Every document written as a PDF and read back: a row for each page."""
+    return _read_back(PDF.page_texts(PDF.pages(PW.text_files(_texts(spark, d)))))
+
+
+@query
+def pdf_second_pages(spark, d):
+    return _read_back(PDF.page_texts(PDF.pages(PW.text_files(_texts(spark, d)), wanted=[2])))
+
+
+@query
+def pdf_images(spark, d):
+    found = PDF.images(PW.text_files(_texts(spark, d), with_image=True))
+    number = F.regexp_extract("path", "^-?[0-9]+", 0).cast("long").alias("doc_id")
+    return found.select(number, "page", "name", "width", "height", "channels", "format", F.sha2("data", 256).alias("data_sha256"), "error")
+
+
+def _locks(number: int) -> PW.Locked:
+    return PW.Locked(f"user{number}", f"owner{number}", 3 if number % 100 == 0 else 4 if number % 100 == 50 else 2)
+
+
+@query
+def pdf_locked(spark, d):
+    """Encrypted files of revisions 2 to 4, opened by the user's or the owner's password; every seventh password is wrong."""
+    files = PW.text_files(_texts(spark, d), _locks)
+    number = F.regexp_extract("path", "^-?[0-9]+", 0).cast("long")
+    who = F.when(number % 7 == 3, "nobody").when(number % 2 == 0, "user").otherwise("owner")
+    return _read_back(PDF.page_texts(PDF.pages(files, password=F.concat(who, number.cast("string")))))
+
+
 # ---- limits ----------------------------------------------------------------------------
 
 LIMITS = RateLimit(per_minute=3, per_hour=20, requests_per_day=200, bytes_per_day=2_000_000)

@@ -621,3 +621,24 @@ st as (
       else abs(dx * (p[m].y - p[i].y) - dy * (p[m].x - p[i].x)) / sqrt(dx * dx + dy * dy) end) as away
     from (select *, p[j].x - p[i].x as dx, p[j].y - p[i].y as dy from (select *, spans[-1].i as i, spans[-1].j as j from st where len(spans) > 0)))))""",
 )
+
+# ---- PDF files ---------------------------------------------------------------------------
+
+PDF_PAGES = """
+cut as (
+  select doc_id, i, (i - 1) // 50 + 1 as page, trim(regexp_replace(x, '[\\x09-\\x0D ]+', ' ', 'g'), ' ') as line
+  from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents)),
+read_back as (
+  select doc_id, page::int as page, (count(*) filter (line <> ''))::int as n_rows, coalesce(string_agg(line, chr(10) order by i) filter (line <> ''), '') as text
+  from cut group by doc_id, page)"""
+PDF_COLUMNS = "doc_id, page, n_rows, sha256(text) as text_sha256, length(text)::int as chars, null::varchar as error"
+
+SQL["pdf_text"] = f"with {PDF_PAGES} select {PDF_COLUMNS} from read_back"
+SQL["pdf_second_pages"] = f"with {PDF_PAGES} select {PDF_COLUMNS} from read_back where page = 2"
+SQL["pdf_locked"] = f"""with {PDF_PAGES} select {PDF_COLUMNS} from read_back where doc_id % 7 <> 3
+union all select doc_id, null, 0, sha256(''), 0, 'wrong password' from documents where doc_id % 7 = 3"""
+SQL["pdf_images"] = """
+with sized as (select doc_id, encode(coalesce(text, '')) as b, greatest(1, (strlen(coalesce(text, '')) + 191) // 192) as rows_ from documents)
+select doc_id, 1 as page, 'Im1' as name, 64 as width, rows_::int as height, 3 as channels, 'raw' as format,
+  sha256(b || repeat('\\x00'::blob, 192 * rows_ - octet_length(b))) as data_sha256, null::varchar as error
+from sized"""

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import os
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import pixels
+
 # File name endings of images that can be read.
 IMAGE_ENDINGS = (".jpg", ".jpeg", ".png", ".bmp")
 
@@ -85,6 +88,33 @@ def from_base64(text: Column) -> Column:
     return F.unbase64(F.regexp_replace(text, "^data:[^,]*,", ""))
 
 
+def decoded(rows: DataFrame, content: str = "content", most_pixels: int = 1 << 28) -> DataFrame:
+    """The columns of ``rows`` but their bytes, and (width, height, channels, data, error) of PNG and BMP files held in a binary column.
+
+    data are 8-bit samples, row by row: grey, grey and alpha, RGB or RGBA. What can't be read (other formats, cut or
+    damaged files, more than ``most_pixels``, nulls) has an error and nulls.
+    """
+    kept = [c for c in rows.columns if c != content]
+    image = "struct<width:int,height:int,channels:int,data:binary,error:string>"
+    kind = pa.struct([*[(c, pa.int32()) for c in ("width", "height", "channels")], ("data", pa.binary()), ("error", pa.string())])
+
+    def read(data: bytes | None) -> dict:
+        try:
+            if data is None:
+                raise ValueError("no content")
+            found = pixels.decoded(data, most_pixels)
+            return {"width": found.shape[1], "height": found.shape[0], "channels": found.shape[2], "data": found.tobytes()}
+        except ValueError as error:
+            return {"error": str(error)}
+
+    @F.arrow_udf(image)
+    def run(contents: pa.Array) -> pa.Array:
+        return pa.array([read(x.as_py()) for x in contents], kind)
+
+    found = rows.select(*kept, run(F.col(content)).alias("__image"))
+    return found.select(*kept, "__image.*")
+
+
 # ---- dictionaries ----------------------------------------------------------------------
 
 
