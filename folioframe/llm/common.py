@@ -91,6 +91,19 @@ def word_count(text: Column) -> Column:
 #: Bytes of text that a step of an Arrow function holds, unless a single text has more.
 SLICE = 4 << 20
 
+#: The setting that bounds Arrow batches by bytes, and its default.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b")
+
+
+def byte_batches(spark: SparkSession) -> None:
+    """Arrow batches of about SLICE bytes from now on in this session, unless it has a bound of its own.
+
+    Batches of ten thousand whole texts stand several times in memory, in the executor's process and the workers'.
+    """
+    name, default = BATCH_BYTES
+    if spark.conf.get(name, default) == default:
+        spark.conf.set(name, str(SLICE))
+
 
 def slices(batch: pa.RecordBatch, column: int, most: int = SLICE) -> Iterator[pa.RecordBatch]:
     """The batch in parts whose values of a text or binary column have up to ``most`` bytes together, or are one value."""

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, materialize
+from .common import byte_batches, fold, materialize
 
 UNKNOWN = "und"
 WINDOW = 192
@@ -211,6 +211,7 @@ def identify(docs: DataFrame) -> DataFrame:
 def known_language(docs: DataFrame, model: Model | None, least_score: float = LEAST_SCORE) -> DataFrame:
     """The rows of ``docs`` whose language is found with ``least_score`` or more; ``und`` goes."""
     names = docs.columns
+    byte_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, materialize
+from .common import byte_batches, join_hot, materialize
 
 SEED = 42
 MAX_BITS = 4
@@ -49,7 +49,7 @@ BANDS, NEAREST, KEYS, LEAST = 7, 8, 16, 0.8
 #: not grow together to large groups, however many texts there are.
 CHECK, CHECK_BITS = 4, 80
 #: Texts, and bytes of text, of a block of texts that are compared in one task.
-TEXTS, TEXT_BYTES = 2048, 8 << 20
+TEXTS, TEXT_BYTES = 1024, 2 << 20
 
 
 # ---- fingerprints ----------------------------------------------------------------
@@ -428,6 +428,7 @@ def soft_keys(sums: np.ndarray) -> np.ndarray:
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, th, bytes, fp, check0 and so on, keys): a row for each row of ``docs``; th stands for the text, fp for its
     shingle set; the checks and keys are of its long SimHash."""
+    byte_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
