@@ -98,12 +98,33 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[\x09-\x0D ]+"), lambda w: w != "")
 
 
+def _matched(x: Column, y: Column, each_once: bool) -> Column:
+    """How many words of y are in x; ``each_once``: each word of x serves one of y. One sort of both, then one pass."""
+    tagged = lambda words, side: F.transform(words, lambda w: F.struct(w.alias("w"), F.lit(side).alias("side")))
+    start = F.struct(F.lit(None).cast("string").alias("w"), F.lit(0).alias("left"), F.lit(0).alias("n"))
+
+    def step(a: Column, e: Column) -> Column:
+        left = F.when(a["w"] == e["w"], a["left"]).otherwise(0)
+        hit = (e["side"] == 1) & (left > 0)
+        more = F.when(e["side"] == 0, left + 1).when(hit, left - int(each_once)).otherwise(left)
+        return F.struct(e["w"].alias("w"), more.alias("left"), (a["n"] + hit.cast("int")).alias("n"))
+
+    return F.aggregate(F.sort_array(F.concat(tagged(x, 0), tagged(y, 1))), start, step, lambda a: a["n"])
+
+
+def similarity_of_words(x: Column, y: Column) -> Column:
+    """:func:`similarity` of two texts' words."""
+
+    def found(common: Column) -> Column:
+        rest = F.size(x) + F.size(y) - common
+        return F.when((F.size(x) == 0) & (F.size(y) == 0), 1.0).when((F.size(x) == 0) | (F.size(y) == 0), 0.0).when(rest == 0, 1.0).otherwise(common / rest)
+
+    return let(_matched(x, y, False), found)
+
+
 def similarity(a: Column, b: Column) -> Column:
     """Words of b that a has (repeats count) over all words but those; 1 for two empty texts, 0 for one."""
-    x, y = words(a), words(b)
-    common = F.size(F.filter(y, lambda w: F.array_contains(x, w)))
-    rest = F.size(x) + F.size(y) - common
-    return F.when((F.size(x) == 0) & (F.size(y) == 0), 1.0).when((F.size(x) == 0) | (F.size(y) == 0), 0.0).when(rest == 0, 1.0).otherwise(common / rest)
+    return let(words(a), lambda x: let(words(b), lambda y: similarity_of_words(x, y)))
 
 
 def included(part: Column, whole: Column) -> Column:
@@ -120,11 +141,8 @@ def character_accuracy(found: Column, expected: Column) -> Column:
 
 def word_accuracy(rows: DataFrame, key: str, found: str, expected: str) -> DataFrame:
     """(key, war): expected words that are found (each as often as it is there) over expected words; 1 if none is expected."""
-    x, y = words(F.col(found)), words(F.col(expected))
-    each = F.array_distinct(y)
-    times = lambda a, w: F.size(F.filter(a, lambda v: v == w))
-    hits = F.aggregate(each, F.lit(0), lambda n, w: n + F.least(times(x, w), times(y, w)))
-    return rows.select(key, F.when(F.size(y) == 0, 1.0).otherwise(hits / F.size(y)).alias("war"))
+    war = lambda x, y: F.when(F.size(y) == 0, 1.0).otherwise(_matched(x, y, True) / F.size(y))
+    return rows.select(key, let(words(F.col(found)), lambda x: let(words(F.col(expected)), lambda y: war(x, y))).alias("war"))
 
 
 def quality(text: Column, width: Column, height: Column) -> dict[str, Column]:

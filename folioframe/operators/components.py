@@ -126,13 +126,13 @@ def boxes(stats: DataFrame, map_width: int, map_height: int) -> DataFrame:
     )
 
 
-def adaptive_filter(rows: DataFrame, threshold: float, map_area: float, scale: float = 0.2) -> DataFrame:
+def adaptive_filter(rows: DataFrame, threshold: float | Column, map_area: float, scale: float = 0.2) -> DataFrame:
     """Rows whose confidence reaches the threshold, which is lower by up to ``scale`` for boxes of under a hundredth of the map."""
     scale = 0.2 if scale <= 0 else min(scale, 1.0)
     w, h = F.col("bx1") - F.col("bx0"), F.col("by1") - F.col("by0")
     share = w * h / map_area if map_area > 0 else F.lit(0.0)
     cut = F.when(share < 0.01, scale * (1 - share / 0.01)).otherwise(0.0)
-    return rows.filter((w >= 0) & (h >= 0) & (F.col("confidence") >= threshold * (1 - cut)))
+    return rows.filter((w >= 0) & (h >= 0) & (F.col("confidence") >= (1 - cut) * threshold))
 
 
 def boundary(cells: DataFrame) -> DataFrame:

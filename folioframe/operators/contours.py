@@ -112,9 +112,11 @@ def map_polygons(maps: DataFrame, threshold: float, width: int, height: int, mod
             for k, p in enumerate(batch.column(1)):
                 if not p.is_valid or not len(p):
                     continue
-                labels = label_cells(p.values.to_numpy(zero_copy_only=False).reshape(-1, width) >= threshold)
-                for n in range(1, int(labels.max()) + 1):
-                    y, x = np.nonzero(labels == n)
+                labels = label_cells(p.values.to_numpy(zero_copy_only=False).reshape(-1, width) >= threshold).ravel()
+                cells = np.flatnonzero(labels)
+                cells = cells[np.argsort(labels[cells], kind="stable")]  # each component's cells in their order, all in one sort
+                for own in np.split(cells, np.flatnonzero(np.diff(labels[cells])) + 1) if len(cells) else ():
+                    n, (y, x) = int(labels[own[0]]), divmod(own, width)
                     polygon = region_polygon(_traced(x, y), float(max(np.ptp(x), np.ptp(y)) + 1), mode)
                     (x0, y0), (x1, y1) = polygon.min(axis=0), polygon.max(axis=0)
                     image.append(k)

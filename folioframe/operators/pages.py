@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Hybrid, PageAnalyzer
+from ..functions import let
 from ..functions import text as T
 
 
@@ -139,9 +140,10 @@ def merge_smart(elements: DataFrame, scores: DataFrame, cfg: Hybrid | None = Non
 def distinct_lines(rows: DataFrame, column: str = "text", similarity: float = 0.8) -> DataFrame:
     """The texts with their lines trimmed and without empty ones and those too similar to a line kept before."""
     lines = F.filter(F.transform(F.split(column, "\n"), lambda x: F.regexp_replace(x, f"^{T.EDGES}|{T.EDGES}$", "")), lambda x: x != "")
-    start = F.array().cast("array<string>")
-    kept = F.aggregate(lines, start, lambda a, x: F.when(F.exists(a, lambda k: T.similarity(x, k) > similarity), a).otherwise(F.array_append(a, x)))
-    return rows.withColumn(column, F.array_join(kept, "\n"))
+    items = F.transform(lines, lambda x: F.struct(x.alias("line"), T.words(x).alias("words")))  # each line is cut into words once
+    known = lambda a, x: F.exists(a, lambda k: T.similarity_of_words(x["words"], k["words"]) > similarity)
+    kept = let(items, lambda all_: F.aggregate(all_, F.slice(all_, 1, 0), lambda a, x: F.when(known(a, x), a).otherwise(F.array_append(a, x))))
+    return rows.withColumn(column, F.array_join(kept["line"], "\n"))
 
 
 def merge_quality(elements: DataFrame, merged: DataFrame, scores: DataFrame) -> DataFrame:

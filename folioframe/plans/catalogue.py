@@ -484,7 +484,7 @@ def _pages(spark, d):
     file = F.concat(F.lit("doc,"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("file")
     found = _analysed(spark, d).withColumn("s", P.strategy(F.col("score"), F.col("reach"), F.col("has_text"), F.col("image_count")))
     analysis = found.select(file, F.lit(1).alias("page"), F.col("s.strategy").alias("strategy"))
-    own = text.select(file, "page", F.substring("text", 1, 80).alias("text"), "page_w", "page_h")
+    own = text.select(file, "page", "text", "page_w", "page_h")
     image = text.filter("image_count > 0").select("doc_id", file, "page", F.explode(F.sequence(F.lit(1), F.col("image_count"))).alias("image_index"))
     images = image.select("file", "page", "image_index", (300 + F.col("doc_id") % 7 * 40 + F.col("image_index")).cast("int").alias("width"), (200 + F.col("doc_id") % 5 * 30).cast("int").alias("height"))
     n = ((F.col("doc_id") + F.col("image_index")) % 4).cast("int")
@@ -555,7 +555,7 @@ def pdf_locked(spark, d):
 
 # ---- limits ----------------------------------------------------------------------------
 
-LIMITS = RateLimit(per_minute=3, per_hour=20, requests_per_day=200, bytes_per_day=2_000_000)
+LIMITS = RateLimit(per_minute=1, per_hour=2, requests_per_day=4, bytes_per_day=20_000)
 
 
 @query

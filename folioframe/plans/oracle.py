@@ -432,7 +432,7 @@ st as (
   select user_id, k, event_id, m + ok, h + ok, n + ok, b + ok * data_size, case when ok = 1 then us else last end, us // 86400000000, verdict,
     case verdict when 'ok' then 0 when 'minute' then 60000000 - gap when 'hour' then 3600000000 - gap else (us // 86400000000 + 1) * 86400000000 - us end
   from (select *, case when verdict = 'ok' then 1 else 0 end as ok from (
-    select *, case when m >= 3 then 'minute' when h >= 20 then 'hour' when n >= 200 then 'requests' when b + data_size > 2000000 then 'data' else 'ok' end as verdict from (
+    select *, case when m >= 1 then 'minute' when h >= 2 then 'hour' when n >= 4 then 'requests' when b + data_size > 20000 then 'data' else 'ok' end as verdict from (
       select e.user_id, e.k, e.event_id, e.us, e.data_size, coalesce(last, us) as last, us - coalesce(last, us) as gap,
         case when us - coalesce(last, us) >= 60000000 then 0 else m end as m, case when us - coalesce(last, us) >= 3600000000 then 0 else h end as h,
         case when us // 86400000000 <> coalesce(day, us // 86400000000) then 0 else n end as n, case when us // 86400000000 <> coalesce(day, us // 86400000000) then 0 else b end as b
@@ -441,7 +441,7 @@ SQL["rate_limit_replay"] = on("f_requests", "select event_id, user_id, verdict,
 SQL["rejections"] = on(
     "f_requests",
     """select st.event_id, st.user_id, case when verdict in ('requests', 'data') then 'quota' else 'rate' end as kind, verdict as type,
-      case verdict when 'minute' then 3 when 'hour' then 20 when 'requests' then 200 else 2000000 end::bigint as "limit",
+      case verdict when 'minute' then 1 when 'hour' then 2 when 'requests' then 4 else 20000 end::bigint as "limit",
       case when verdict in ('minute', 'hour') then wait end as retry_after_us,
       case when verdict in ('requests', 'data') then epoch_us(date_trunc('day', ts)) + 86400000000 end as resets_us
     from st join ev on ev.event_id = st.event_id where verdict <> 'ok' and st.k > 0""",
@@ -534,7 +534,7 @@ _PAGE_TABLES = (
     _ANALYSED
     + """,
 chosen as (
-  select doc_id, 'doc,' || doc_id || '.pdf' as file, images as n_images, left(text, 80) as own, case when not has_text and images > 0 then 'ocr' when not has_text then 'skip'
+  select doc_id, 'doc,' || doc_id || '.pdf' as file, images as n_images, text as own, case when not has_text and images > 0 then 'ocr' when not has_text then 'skip'
     when q >= 0.7 and c >= 0.8 and images > 0 then 'hybrid' when q >= 0.7 and c >= 0.8 then 'vector' when q >= 0.5 and q < 0.7 and images > 0 then 'hybrid'
     when q >= 0.5 and q < 0.7 then 'vector' when images > 0 then 'ocr' else 'vector' end as strategy
   from pages_ join documents using (doc_id)),

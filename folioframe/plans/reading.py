@@ -37,7 +37,7 @@ def regions(maps: DataFrame, width: int, height: int, cfg: Detector | None = Non
         stats = C.component_stats(C.components(maps, cut, width))
     rows = stats.join(N.map_polygons(maps, cut, width, height, cfg.polygon), ["image_id", "label"]).withColumn("confidence", C.confidence(cfg.confidence, cfg.gamma))
     if cfg.adaptive_confidence:
-        rows = C.adaptive_filter(rows, cfg.box_threshold, float(width * height), cfg.adaptive_confidence_scale)
+        rows = C.adaptive_filter(rows, least, float(width * height), cfg.adaptive_confidence_scale)
     else:
         rows = rows.filter(F.col("confidence") >= least)
     box = [F.col(c).alias(n) for c, n in (("bx0", "min_x"), ("by0", "min_y"), ("bx1", "max_x"), ("by1", "max_y"))]

@@ -25,7 +25,7 @@ select conv_id as page_id, turn as elem_id, text, case when role = 'user' then '
        ((conv_id * 31 + turn * 17) % 101) / cast(100 as double) as rec_conf
 from conversations""",
     "f_requests": """
-select event_id, user_id % 5 as user_id, ts, cast(round(value * 100) as bigint) as data_size, event_type from events""",
+select event_id, user_id, ts, cast(round(value * 100) as bigint) as data_size, event_type from events""",
     "f_dict": """
 select * from (values (0,'a'),(1,'b'),(2,'c'),(3,'d'),(4,'e'),(5,'f'),(6,'ß')) as t(idx, token)""",
 }
@@ -114,7 +114,7 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _table(spark, sf_dir, "events")
-    return events.select("event_id", (F.col("user_id") % 5).alias("user_id"), F.col("ts").cast("timestamp").alias("ts"), F.round(F.col("value") * 100).cast("long").alias("data_size"), "event_type")
+    return events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), F.round(F.col("value") * 100).cast("long").alias("data_size"), "event_type")
 
 
 def dictionary(spark: SparkSession) -> DataFrame:
