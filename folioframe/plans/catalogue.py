@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import AdaptiveThresholds, Detector, Hybrid, Morphology, MultiScale, RateLimit, Recognizer
 from ..functions import let
 from ..functions import text as T
+from ..operators import barcodes as BC
 from ..operators import boxes as B
 from ..operators import components as C
 from ..operators import contours as N
@@ -475,6 +476,20 @@ def barcode_page_box(spark, d):
     return rounded(P.barcode_boxes(rows, F.lit(150.0), F.lit(792.0)).select("region_id", "px", "py", "pw", "ph"))
 
 
+@query
+def barcode_values(spark, d):
+    """A code drawn for every document, in four symbologies and directions, and read back from the pixels."""
+    n = F.col("doc_id")
+    digits = F.lpad(n.cast("string"), 12, "0")
+    odd = F.aggregate(F.sequence(F.lit(1), F.lit(12)), F.lit(0), lambda a, i: a + F.substring(digits, i, F.lit(1)).cast("int") * F.when(i % 2 == 0, 3).otherwise(1))
+    kind = F.element_at(F.array(*map(F.lit, ("Code128", "Code39", "UPCA", "ITF"))), (n % 4 + 1).cast("int"))
+    upc = F.concat(F.substring(digits, 2, 11), F.pmod(-odd, F.lit(10)).cast("string"))
+    value = F.when(n % 4 == 0, F.concat(F.lit("doc-"), n.cast("string"))).when(n % 4 == 1, F.concat(F.lit("ID "), n.cast("string"))).when(n % 4 == 2, upc).otherwise(digits)
+    rows = X.page_text(spark, d).select(n.alias("image_id"), kind.alias("type"), value.alias("value"), (F.floor(n / 4) % 4).cast("int").alias("turns"))
+    found = N.decode_barcodes(BC.drawn_codes(rows), BC.read_lines)
+    return found.select(F.col("image_id").alias("doc_id"), "type", "value", F.greatest("w", "h").alias("length"))
+
+
 # ---- documents -------------------------------------------------------------------------
 
 

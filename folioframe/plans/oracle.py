@@ -642,3 +642,12 @@ with sized as (select doc_id, encode(coalesce(text, '')) as b, greatest(1, (strl
 select doc_id, 1 as page, 'Im1' as name, 64 as width, rows_::int as height, 3 as channels, 'raw' as format,
   sha256(b || repeat('\\x00'::blob, 192 * rows_ - octet_length(b))) as data_sha256, null::varchar as error
 from sized"""
+
+SQL["barcode_values"] = """
+with numbers as (select doc_id, doc_id % 4 as k, lpad(doc_id::varchar, 12, '0') as digits from documents),
+sums as (select *, list_sum(list_transform(range(1, 13), lambda i: digits[i]::int * case when i % 2 = 0 then 3 else 1 end)) as s from numbers)
+select doc_id, ['Code128', 'Code39', 'UPCA', 'ITF'][(k + 1)::int] as type,
+  case k when 0 then 'doc-' || doc_id when 1 then 'ID ' || doc_id when 2 then digits[2:12] || ((10 - s % 10) % 10)::int else digits end as value,
+  (2 * case k when 0 then 11 * (4 + length(doc_id::varchar) + 2) + 13 when 1 then 15 * (3 + length(doc_id::varchar) + 2) + 2 + length(doc_id::varchar) + 2 when 2 then 95 else 4 + 9 * 12 + 5 end)::int as length
+from sums
+"""
