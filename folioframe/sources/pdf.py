@@ -10,7 +10,6 @@ text are made of elements by windows over a page.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
-from functools import cache
 from typing import Any
 
 import numpy as np
@@ -42,11 +41,6 @@ def _times(m: Sequence[float], n: Sequence[float]) -> tuple[float, ...]:
     return (a * p + b * r, a * q + b * s, c * p + d * r, c * q + d * s, e * p + f * r + t, e * q + f * s + u)
 
 
-@cache
-def _decoded(encoding: str) -> str:
-    return bytes(range(256)).decode(encoding, "replace")
-
-
 class Font:
     """Characters and widths of the codes of a string."""
 
@@ -57,6 +51,7 @@ class Font:
         self.widths: dict[int, float] = {}
         self.other = COURIER if "Courier" in self.name else 500.0
         self.chars: dict[int, str] = {}
+        self.codec = ""  # where one encoding says it all
         if self.size == 2:
             below = doc.get((get("DescendantFonts", list, None) or [{}])[0]) or {}
             self.other = float(doc.get(below.get("DW")) or 1000)
@@ -64,9 +59,11 @@ class Font:
         else:
             encoding = get("Encoding", (str, dict), "")
             base = encoding if isinstance(encoding, str) else doc.get(encoding.get("BaseEncoding")) or ""
-            self.chars = {c: x for c, x in enumerate(_decoded(ENCODINGS.get(base, "latin-1"))) if ord(x) != c}
-            if isinstance(encoding, dict):
-                self._differences(doc.get(encoding.get("Differences")) or [])
+            self.codec = ENCODINGS.get(base, "latin-1")
+            if isinstance(encoding, dict) or "ToUnicode" in about:
+                self.chars = {c: x for c, x in enumerate(bytes(range(256)).decode(self.codec, "replace")) if ord(x) != c}
+                self.codec = ""
+                self._differences((doc.get(encoding.get("Differences")) if isinstance(encoding, dict) else None) or [])
             first = get("FirstChar", int, 0)
             self.widths = {first + i: float(doc.get(w) or 0) for i, w in enumerate(get("Widths", list, []))}
         if isinstance(unicode := doc.get(about.get("ToUnicode")), Stream):
@@ -123,7 +120,12 @@ class Font:
         """The characters of a string's codes, their width in thousandths, how many they are, and how many are the one-byte space."""
         n = self.size
         numbers = codes if n == 1 else [int.from_bytes(codes[i : i + n], "big") for i in range(0, len(codes), n)]
-        text = codes.decode("latin-1").translate(self.chars) if n == 1 else "".join([self.chars.get(c, "\ufffd") for c in numbers])
+        if self.codec:
+            text = codes.decode(self.codec, "replace")
+        elif n == 1:
+            text = codes.decode("latin-1").translate(self.chars)
+        else:
+            text = "".join([self.chars.get(c, "\ufffd") for c in numbers])
         width = sum([self.widths.get(c, self.other) for c in numbers]) if self.widths else self.other * len(numbers)
         return text, width, len(numbers), codes.count(b" ") if n == 1 else 0
 
@@ -149,7 +151,7 @@ class _Page:
     def run(self, data: bytes, resources: dict, matrix: Sequence[float], depth: int) -> None:
         state: dict[str, Any] = {"m": matrix, "font": None, "size": 0.0, "Tc": 0.0, "Tw": 0.0, "Tz": 100.0, "TL": 0.0, "Ts": 0.0}
         saved, line, at = [], UNIT, UNIT
-        lexer, held = Lexer(data), []
+        lexer, held = Lexer(data, references=False), []
 
         def show(items: list) -> None:
             nonlocal at
@@ -232,12 +234,17 @@ def _wanted(doc: Document, wanted: frozenset[int] | None) -> Iterable[tuple[int,
 ERRORS = (PdfError, ValueError, KeyError, TypeError, IndexError, AttributeError, RecursionError)
 
 
-def _reader(rows_of_page, kind: pa.Schema, wanted: Sequence[int] | None):
+#: Elements, or bytes of images by the hundred, that a batch of results holds, unless one file has more.
+HELD = 1 << 15
+
+
+def _reader(rows_of_page, kind: pa.Schema, wanted: Sequence[int] | None, size_of=len):
     """For mapInArrow over (path, content, password): rows of the pages, a page or file that can't be read as one row with its error."""
     chosen = None if wanted is None else frozenset(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            done, held = [], 0
             for path, content, password in zip(*(batch.column(i) for i in range(3)), strict=True):
                 rows: list[dict] = []
                 try:
@@ -249,7 +256,12 @@ def _reader(rows_of_page, kind: pa.Schema, wanted: Sequence[int] | None):
                             rows.append({"page": n, "error": str(error) or type(error).__name__})
                 except ERRORS as error:
                     rows.append({"error": str(error) or type(error).__name__})
-                yield pa.RecordBatch.from_pylist([{"path": path.as_py()} | r for r in rows], kind)
+                done += [{"path": path.as_py()} | r for r in rows]
+                held += size_of(rows)
+                if held > HELD:
+                    yield pa.RecordBatch.from_pylist(done, kind)
+                    done, held = [], 0
+            yield pa.RecordBatch.from_pylist(done, kind)
 
     return run
 
@@ -278,7 +290,7 @@ def pages(files: DataFrame, wanted: Sequence[int] | None = None, password: Colum
     """
     element = pa.struct([(c, pa.string() if c in ("text", "font") else pa.float64()) for c in ("text", "x", "y", "w", "h", "font")])
     kind = pa.schema([("path", pa.string()), ("page", pa.int32()), ("page_w", pa.float64()), ("page_h", pa.float64()), ("elements", pa.list_(element)), ("error", pa.string())])
-    return _rows(files, password).mapInArrow(_reader(_text_of_page, kind, wanted), PAGE)
+    return _rows(files, password).mapInArrow(_reader(_text_of_page, kind, wanted, lambda rows: sum(1 + len(r.get("elements", ())) for r in rows)), PAGE)
 
 
 def _page_rows(found: DataFrame) -> DataFrame:
@@ -383,4 +395,4 @@ def images(files: DataFrame, wanted: Sequence[int] | None = None, password: Colu
     it stands in the PDF. Images, pages and files that can't be read have an error; the password is that of :func:`pages`.
     """
     kind = pa.schema([("path", pa.string()), ("page", pa.int32()), ("name", pa.string()), *[(c, pa.int32()) for c in ("width", "height", "channels")], ("format", pa.string()), ("data", pa.binary()), ("error", pa.string())])
-    return _rows(files, password).mapInArrow(_reader(_images_of_page, kind, wanted), IMAGE)
+    return _rows(files, password).mapInArrow(_reader(_images_of_page, kind, wanted, lambda rows: sum(1 + len(r.get("data") or b"") // 100 for r in rows)), IMAGE)

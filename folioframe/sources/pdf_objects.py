@@ -22,6 +22,7 @@ STREAM, END_STREAM = re.compile(rb"[%b]*stream(\r\n|\n|\r)" % SPACE), re.compile
 PLAIN_STRING = re.compile(rb"([^()\\\r]*)\)")
 HEADER = re.compile(rb"(?<![0-9])(\d+)[%b]+(\d+)[%b]+obj" % (SPACE, SPACE))
 # Escapes of strings, and the padding of passwords.
+KEYWORDS = {b"true": True, b"false": False}
 ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f", b"\n": b"", b"\r": b"", b"\r\n": b""}
 PADDING = bytes.fromhex("28BF4E5E4E758A4164004E56FFFA01082E2E00B6D0683E802F0CA9FE6453697A")
 
@@ -49,10 +50,10 @@ class Stream(NamedTuple):
 
 
 class Lexer:
-    """Values of a piece of PDF syntax, one after the other."""
+    """Values of a piece of PDF syntax, one after the other; content streams hold no references."""
 
-    def __init__(self, data: bytes, at: int = 0):
-        self.data, self.at = data, at
+    def __init__(self, data: bytes, at: int = 0, references: bool = True):
+        self.data, self.at, self.references = data, at, references
 
     def value(self) -> Any:
         """The next value or :class:`Word`; None at the end."""
@@ -69,7 +70,7 @@ class Lexer:
             return Name(plain.decode("latin-1"))
         if first < 58 and first > 42:  # + - . 0 to 9
             if token.isdigit():
-                r = REFERENCE.match(self.data, self.at)
+                r = self.references and REFERENCE.match(self.data, self.at)
                 if r:
                     self.at = r.end()
                     return Ref(int(token), int(r[1]))
@@ -86,7 +87,7 @@ class Lexer:
             except ValueError:
                 digits = re.sub(rb"[^0-9A-Fa-f]", b"", token)
                 return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
-        return {b"true": True, b"false": False}.get(token, Word(token))
+        return KEYWORDS[token] if token in KEYWORDS else Word(token)
 
     def _until(self, end: bytes) -> list:
         out: list = []

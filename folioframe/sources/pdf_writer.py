@@ -16,7 +16,8 @@ from .pdf_objects import PADDING, Ref, Security, aes_encrypt, object_key, rc4
 
 #: Size of the letters and distance of the lines in points, lines a page.
 SIZE, LEADING, LINES = 10, 14, 50
-BLANK = b" \t\r\x0b\x0c"
+#: Bytes of files that a batch holds, unless one file has more.
+HELD = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -193,9 +194,15 @@ def text_files(texts: DataFrame, locked: Callable[[int], Locked | None] | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            done, held = [], 0
             for number, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 plain = text.as_py() or ""
                 image = image_of_bytes(plain.encode()) if with_image else None
-                yield pa.RecordBatch.from_pylist([{"path": f"{number}.pdf", "content": text_pdf(plain, number, locked(number) if locked else None, image)}], kind)
+                done.append({"path": f"{number}.pdf", "content": text_pdf(plain, number, locked(number) if locked else None, image)})
+                held += len(done[-1]["content"])
+                if held > HELD:
+                    yield pa.RecordBatch.from_pylist(done, kind)
+                    done, held = [], 0
+            yield pa.RecordBatch.from_pylist(done, kind)
 
     return texts.select(F.col("number").cast("long"), "text").mapInArrow(run, "path string, content binary")
