@@ -18,6 +18,7 @@ from ..operators import geometry as G
 from ..operators import images as I
 from ..operators import limits as L
 from ..operators import maps as M
+from ..operators import matrix_codes as Q
 from ..operators import pages as P
 from ..operators import sequences as S
 from ..sources import fixtures as X
@@ -490,6 +491,20 @@ def barcode_values(spark, d):
     return found.select(F.col("image_id").alias("doc_id"), "type", "value", F.greatest("w", "h").alias("length"))
 
 
+@query
+def qr_values(spark, d):
+    """A QR code for each shelf of sixteen documents with their texts' digests, at every level and turn, damaged within what it can mend, and read back from the pixels."""
+    shelf, digest = F.floor(F.col("doc_id") / 16).cast("long"), F.substring(F.md5(F.coalesce("text", F.lit(""))), 1, 8)
+    lists = X.page_text(spark, d).groupBy(shelf.alias("image_id")).agg(F.array_sort(F.collect_list(F.struct("doc_id", digest.alias("digest")))).alias("rows"))
+    joined = F.concat_ws("-", F.col("image_id").cast("string"), F.col("rows.digest"))
+    n = F.col("image_id")
+    value = F.when(n % 2 == 0, F.upper(joined)).otherwise(joined)
+    level = F.element_at(F.array(*map(F.lit, "LMQH")), (n % 4 + 1).cast("int"))
+    rows = lists.select(n, value.alias("value"), level.alias("level"), (F.floor(n / 4) % 4).cast("int").alias("turns"), (n % 8).cast("int").alias("damage"))
+    found = N.decode_barcodes(Q.drawn_codes(rows), Q.read_codes)
+    return found.select(F.col("image_id").alias("shelf"), "type", "value")
+
+
 # ---- documents -------------------------------------------------------------------------
 
 

@@ -651,3 +651,8 @@ select doc_id, ['Code128', 'Code39', 'UPCA', 'ITF'][(k + 1)::int] as type,
   (2 * case k when 0 then 11 * (4 + length(doc_id::varchar) + 2) + 13 when 1 then 15 * (3 + length(doc_id::varchar) + 2) + 2 + length(doc_id::varchar) + 2 when 2 then 95 else 4 + 9 * 12 + 5 end)::int as length
 from sums
 """
+
+SQL["qr_values"] = """
+with lists as (select doc_id // 16 as shelf, string_agg(md5(coalesce(text, ''))[1:8], '-' order by doc_id, md5(coalesce(text, ''))[1:8]) as digests from documents group by all)
+select shelf::bigint as shelf, 'QR' as type, case when shelf % 2 = 0 then upper(shelf || '-' || digests) else shelf || '-' || digests end as value from lists
+"""
