@@ -299,13 +299,13 @@ def _crossings(dark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     edges = edges[: len(edges) // 2 * 2]
     runs = np.lib.stride_tricks.sliding_window_view(np.diff(edges), 5)[::2]
     module = runs.sum(axis=1) / 7
-    near = (np.abs(runs - module[:, None] * np.array([1, 1, 3, 1, 1])) <= module[:, None] * np.array([0.7, 0.7, 1.2, 0.7, 0.7]) + 0.3).all(axis=1)
+    near = (np.abs(runs - module[:, None] * np.array([1, 1, 3, 1, 1])) <= module[:, None] * np.array([0.5, 0.5, 1.0, 0.5, 0.5]) + 0.3).all(axis=1)
     first = edges[2 : 2 + 2 * len(runs) : 2][near]
     return first % wide + runs[near, 2] / 2, first // wide, module[near]
 
 
 def finders(dark: np.ndarray) -> list[tuple[float, float, float]]:
-    """(x, y, module) of the finder patterns' centres, those that most lines cross first."""
+    """(x, y, module) of the finder patterns' centres, those that most rays from the centre bear out first."""
     hx, hy, hm = _crossings(dark)
     vy, vx, vm = _crossings(dark.T)
     by_column: dict[int, list[int]] = {}
@@ -317,13 +317,34 @@ def finders(dark: np.ndarray) -> list[tuple[float, float, float]]:
             if abs(vy[k] - y - 0.5) > max(1.0, m / 2) or not 0.5 < vm[k] / m < 2:
                 continue
             for f in found:
-                if abs(f[0] / f[3] - x) < 3 * m and abs(f[1] / f[3] - vy[k]) < 3 * m:
+                if abs(f[0] / f[3] - x) < m and abs(f[1] / f[3] - vy[k]) < m:
                     break
             else:
                 found.append(f := [0.0, 0.0, 0.0, 0.0])
             f[0], f[1], f[2], f[3] = f[0] + x, f[1] + vy[k], f[2] + (m + vm[k]) / 2, f[3] + 1
-    found.sort(key=lambda f: -f[3])
-    return [(f[0] / f[3], f[1] / f[3], f[2] / f[3]) for f in found]
+    if not found:
+        return []
+    marks = np.array(found)
+    marks = marks[:, :3] / marks[:, 3:]
+    rays = _rays(dark, marks)
+    return [tuple(map(float, marks[i])) for i in np.lexsort([-marks[:, 2], -rays]) if rays[i] >= 11]
+
+
+def _rays(dark: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """On how many of sixteen rays from each centre dark, light and dark follow as 1.5:1:1, as on any line through a finder pattern."""
+    turn = np.arange(16) * np.pi / 8 + 0.05
+    reach = np.arange(0, 36) / 6
+    r = marks[:, 2, None, None] * reach
+    x, y = (np.floor(marks[:, i, None, None] + r * f(turn)[:, None]).astype(int) for i, f in ((0, np.cos), (1, np.sin)))
+    inside = (x >= 0) & (y >= 0) & (x < dark.shape[1]) & (y < dark.shape[0])
+    seen = dark[np.where(inside, y, 0), np.where(inside, x, 0)] & inside
+    light = np.argmax(~seen, axis=2)
+    after = np.arange(len(reach))
+    again = np.argmax(seen & (after > light[..., None]), axis=2)
+    end = np.argmax(~seen & (after > again[..., None]), axis=2)
+    step, slack = light / 1.5, 2.5 + 6 / marks[:, 2, None]
+    good = seen[..., 0] & (light > 0) & (again > light) & (end > again)
+    return (good & (np.abs(again - light - step) <= slack) & (np.abs(end - again - step) <= slack)).sum(axis=1)
 
 
 def _corners(three: tuple) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, float] | None:
@@ -362,7 +383,9 @@ def _grids(dark: np.ndarray, c: np.ndarray, right: np.ndarray, low: np.ndarray,
         if h is not None:
             line = np.arange(8, size - 8)
             timing = [_sampled(dark, h, *xy) for xy in ((line + 0.5, line * 0 + 6.5), (line * 0 + 6.5, line + 0.5))]
-            tries.append((-np.mean([t == (line % 2 == 0) for t in timing]), abs(version - guess), version, frame, h))
+            share = np.mean([t == (line % 2 == 0) for t in timing])
+            if share >= 0.7:
+                tries.append((-share, abs(version - guess), version, frame, h))
     for _, _, version, frame, h in sorted(tries, key=lambda t: t[:3]):
         size = 17 + 4 * version
         ys, xs = np.mgrid[0:size, 0:size] + 0.5
