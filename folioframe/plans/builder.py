@@ -9,7 +9,8 @@ from typing import Any
 from pyspark.sql import DataFrame
 
 from ..config import CleanText, Detector, Hybrid, ImageConstraints, Orientation, PageAnalyzer, RateLimit, Recognizer, Rectify
-from . import reading
+from ..operators import limits
+from . import documents, reading
 
 #: Options that are shares, and those that are one of a few words.
 SHARES = {
@@ -124,3 +125,13 @@ class Reader:
             raise ValueError("; ".join(wrong))
         o = self.options
         return reading.results(maps, width, height, recognise, dictionary, o.detector, o.recognizer, o.text, maps_at)
+
+    def run_pages(self, pages: DataFrame, images: DataFrame, detect: Callable[[DataFrame], DataFrame], recognise: Callable[[DataFrame], DataFrame], dictionary: DataFrame, map_w: int, map_h: int, **models: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """The results of :func:`documents.processed` under these options; ``models`` may be ``classify`` and ``masks``."""
+        if wrong := self.options.problems():
+            raise ValueError("; ".join(wrong))
+        return documents.processed(pages, images, detect, recognise, dictionary, map_w, map_h, self.options, **models)
+
+    def admitted(self, requests: DataFrame) -> DataFrame:
+        """The requests that the limits let pass, with all their columns."""
+        return limits.replay(requests, self.options.limits).filter("verdict = 'ok'").drop("verdict", "wait_us")

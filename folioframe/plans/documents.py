@@ -8,11 +8,20 @@ y, w, h, det_conf, and text and rec_conf where they were read).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import replace
+from typing import Any
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Hybrid
+from ..operators import boxes as B
+from ..operators import crops as C
+from ..operators import geometry as G
+from ..operators import images as I
 from ..operators import pages as P
+from . import reading as R
 
 KEY = ("file", "page")
 
@@ -79,3 +88,67 @@ def document_results(pages: DataFrame) -> DataFrame:
     item = F.struct("page", "width", "height", "strategy", "own_text", "images")
     lists = pages.groupBy("file").agg(F.count("*").alias("total_pages"), F.array_sort(F.collect_list(item)).alias("pages"))
     return lists.select("file", F.to_json(F.struct("file", "total_pages", "pages")).alias("json"))
+
+
+def processed(
+    pages: DataFrame,
+    images: DataFrame,
+    detect: Callable[[DataFrame], DataFrame],
+    recognise: Callable[[DataFrame], DataFrame],
+    dictionary: DataFrame,
+    map_w: int,
+    map_h: int,
+    options: Any,
+    classify: Callable[[DataFrame], DataFrame] | None = None,
+    masks: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """Page results (see :func:`page_results`) with ``read``, the page's text, from pages and their images' pixels in one lazy plan.
+
+    ``pages`` are (file, page, text, page_w, page_h, quality, coverage,
+    has_text, image_count), ``images`` (file, page, image_index, width, height,
+    channels, data). The strategy is decided first, and only images of pages
+    that are to be recognised, and are no smaller than the options allow, go on: turned
+    upright (``classify`` may give scores of the angles), seen straight by their
+    ``masks``, resized for ``detect``, which gives maps (image_id, p) of one
+    size. Regions become tensors of the pixels, for which ``recognise`` gives
+    scores (image_id, region_id, steps). Boxes go back to the image as it came,
+    unless it was seen straight. A page's text is its own (vector), what was read
+    in reading order (ocr), or both merged (hybrid). Pixels are read twice, for detection and for the crops, which is less than a shuffle of them.
+    """
+    o, image_key = options, [*KEY, "image_index"]
+    decided = pages.withColumn("strategy", P.strategy(F.col("quality"), F.col("coverage"), F.col("has_text"), F.col("image_count"), o.pages)["strategy"])
+    analysis, own = decided.select(*KEY, "strategy"), decided.select(*KEY, "text", "page_w", "page_h")
+    wanted = analysis.filter(F.col("strategy").isin("ocr", "hybrid")).select(*KEY)
+    taken = images.join(wanted, list(KEY), "left_semi").filter(~I.too_small(F.col("width"), F.col("height"), o.images)).withColumn("image_id", F.xxhash64(*image_key))
+    names = taken.select("image_id", *image_key, "width", "height")
+    pixels = C.upright(taken, o.orientation, classify)
+    place = names
+    if o.orientation.enabled:
+        place = place.join(C.orientations(taken, o.orientation, classify).select("image_id", "angle"), "image_id")
+    else:
+        place = place.withColumn("angle", F.lit(0))
+    if masks is not None and o.rectify.enabled:
+        pixels = G.rectify(pixels, masks(pixels), o.rectify)
+        seen = pixels.select("image_id", F.col("width").alias("rw"), F.col("height").alias("rh"), "rectified")
+        place = place.join(seen, "image_id").withColumns({"width": F.when(F.col("rectified"), F.col("rw")).otherwise(F.col("width")), "height": F.when(F.col("rectified"), F.col("rh")).otherwise(F.col("height")), "angle": F.when(F.col("rectified"), 0).otherwise(F.col("angle"))}).drop("rw", "rh", "rectified")
+    most = replace(o.images, max_width=min(o.images.max_width, o.detector.max_side), max_height=min(o.images.max_height, o.detector.max_side))
+    boxes = R.regions(detect(I.resize(pixels, most)), map_w, map_h, o.detector)
+    sideways = F.col("angle").isin(90, 270)
+    now_w, now_h = F.when(sideways, F.col("height")).otherwise(F.col("width")), F.when(sideways, F.col("width")).otherwise(F.col("height"))
+    boxes = boxes.join(place, "image_id")
+    sx, sy = now_w / map_w, now_h / map_h
+    boxes = B.rescale(boxes, sx, sy).withColumn("polygon", G.scale_points(F.col("polygon"), sx, sy))
+    read = R.texts(recognise(C.tensors(pixels, boxes, o.recognizer)), dictionary, o.recognizer, o.text)
+    boxes = B.unrotate(B.top_left_order(boxes), F.col("angle"), F.col("width"), F.col("height"))
+    regions = boxes.join(read, ["image_id", "region_id"], "left").select(
+        *image_key, "ord", "x", "y", "w", "h", F.col("confidence").alias("det_conf"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("rec_conf", F.lit(0.0)).alias("rec_conf")
+    )
+    sizes = place.select(*image_key, "width", "height")
+    results = page_results(analysis, own, sizes, regions)
+    both = analysis.filter("strategy = 'hybrid'").select(*KEY)
+    rows = elements(own.join(both, list(KEY), "left_semi"), sizes.join(both, list(KEY), "left_semi"), regions.join(both, list(KEY), "left_semi"))
+    merged = merged_text(rows, decided.select(F.xxhash64(*KEY).alias("page_id"), F.col("quality").alias("score")), o.hybrid)
+    lines = regions.filter("text <> ''").groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("image_index", "ord", "text"))).alias("lines"))
+    texts = results.withColumn("page_id", F.xxhash64(*KEY)).join(merged.select("page_id", "combined"), "page_id", "left").join(lines, list(KEY), "left")
+    text = F.when(F.col("strategy") == "vector", F.col("own_text")).when(F.col("strategy") == "hybrid", F.col("combined")).otherwise(F.array_join("lines.text", "\n"))
+    return texts.select(*results.columns, F.coalesce(text, F.lit("")).alias("read"))

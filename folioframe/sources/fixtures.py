@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -120,3 +124,26 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dictionary(spark: SparkSession) -> DataFrame:
     """(idx, token): a small character dictionary; class idx + 1 stands for the token."""
     return spark.createDataFrame(list(enumerate("abcdefß")), "idx int, token string")
+
+
+def dark_maps(images: DataFrame, side: int = 16) -> DataFrame:
+    """(image_id, p): in place of a detector, maps of how dark the parts of an image are."""
+    from ..operators.images import pixels_of, resized
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = [(r.image_id, (1 - resized(pixels_of(r)[..., :1], side, side).astype(float).ravel() / 255).tolist()) for r in part.itertuples()]
+            yield pd.DataFrame(out, columns=["image_id", "p"])
+
+    return images.mapInPandas(run, "image_id long, p array<double>")
+
+
+def shade_scores(tensors: DataFrame) -> DataFrame:
+    """(image_id, region_id, steps): in place of a recogniser, one step whose class is 1 for dark crops and 2 for light ones."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            means = [float(np.asarray(d).reshape(list(s))[..., :w].mean()) for d, s, w in zip(part["data"], part["shape"], part["width"], strict=True)]
+            yield pd.DataFrame({"image_id": part["image_id"], "region_id": part["region_id"], "steps": [[[0.05, 0.9, 0.05] if m < 0.5 else [0.05, 0.05, 0.9]] for m in means]})
+
+    return tensors.select("image_id", "region_id", "width", "shape", "data").mapInPandas(run, "image_id long, region_id long, steps array<array<double>>")
