@@ -90,6 +90,11 @@ def document_results(pages: DataFrame) -> DataFrame:
     return lists.select("file", F.to_json(F.struct("file", "total_pages", "pages")).alias("json"))
 
 
+def _cut(rows: DataFrame) -> DataFrame:
+    """The rows from a checkpoint, where the session has a folder for them: what is used more than once isn't made again, and a lost executor costs its tasks only."""
+    return rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows
+
+
 def processed(
     pages: DataFrame,
     images: DataFrame,
@@ -113,11 +118,13 @@ def processed(
     size. Regions become tensors of the pixels, for which ``recognise`` gives
     scores (image_id, region_id, steps). Boxes go back to the image as it came,
     unless it was seen straight. A page's text is its own (vector), what was read
-    in reading order (ocr), or both merged (hybrid). Pixels are read twice, for detection and for the crops, which is less than a shuffle of them.
+    in reading order (ocr), or both merged (hybrid). Pixels are read anew for statistics, polygons and crops, which is less than a shuffle of them.
+    Where ``spark.checkpoint.dir`` is set, decisions, boxes and regions, which hold no pixels, are written there as the plan is made; else all is lazy.
     """
     o, image_key = options, [*KEY, "image_index"]
     decided = pages.withColumn("strategy", P.strategy(F.col("quality"), F.col("coverage"), F.col("has_text"), F.col("image_count"), o.pages)["strategy"])
-    analysis, own = decided.select(*KEY, "strategy"), decided.select(*KEY, "text", "page_w", "page_h")
+    decided = _cut(decided.select(*KEY, "strategy", "quality"))
+    analysis, own = decided.select(*KEY, "strategy"), pages.select(*KEY, "text", "page_w", "page_h")
     wanted = analysis.filter(F.col("strategy").isin("ocr", "hybrid")).select(*KEY)
     taken = images.join(wanted, list(KEY), "left_semi").filter(~I.too_small(F.col("width"), F.col("height"), o.images)).withColumn("image_id", F.xxhash64(*image_key))
     names = taken.select("image_id", *image_key, "width", "height")
@@ -132,7 +139,8 @@ def processed(
         seen = pixels.select("image_id", F.col("width").alias("rw"), F.col("height").alias("rh"), "rectified")
         place = place.join(seen, "image_id").withColumns({"width": F.when(F.col("rectified"), F.col("rw")).otherwise(F.col("width")), "height": F.when(F.col("rectified"), F.col("rh")).otherwise(F.col("height")), "angle": F.when(F.col("rectified"), 0).otherwise(F.col("angle"))}).drop("rw", "rh", "rectified")
     most = replace(o.images, max_width=min(o.images.max_width, o.detector.max_side), max_height=min(o.images.max_height, o.detector.max_side))
-    boxes = R.regions(detect(I.resize(pixels, most)), map_w, map_h, o.detector)
+    boxes = _cut(R.regions(detect(I.resize(pixels, most)), map_w, map_h, o.detector))
+    place = _cut(place)
     sideways = F.col("angle").isin(90, 270)
     now_w, now_h = F.when(sideways, F.col("height")).otherwise(F.col("width")), F.when(sideways, F.col("width")).otherwise(F.col("height"))
     boxes = boxes.join(place, "image_id")
@@ -140,9 +148,11 @@ def processed(
     boxes = B.rescale(boxes, sx, sy).withColumn("polygon", G.scale_points(F.col("polygon"), sx, sy))
     read = R.texts(recognise(C.tensors(pixels, boxes, o.recognizer)), dictionary, o.recognizer, o.text)
     boxes = B.unrotate(B.top_left_order(boxes), F.col("angle"), F.col("width"), F.col("height"))
-    regions = boxes.join(read, ["image_id", "region_id"], "left").select(
+    regions = boxes.join(read, ["image_id", "region_id"], "left")
+    regions = regions.select(
         *image_key, "ord", "x", "y", "w", "h", F.col("confidence").alias("det_conf"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("rec_conf", F.lit(0.0)).alias("rec_conf")
     )
+    regions = _cut(regions)
     sizes = place.select(*image_key, "width", "height")
     results = page_results(analysis, own, sizes, regions)
     both = analysis.filter("strategy = 'hybrid'").select(*KEY)
