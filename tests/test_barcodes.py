@@ -53,3 +53,9 @@ def test_backend_of_the_decoder(spark):
     assert {(r.image_id, r.type, r.value) for r in found} == {(i, k, v) for i, (k, v) in enumerate(CASES)}
     first = next(r for r in found if r.image_id == 0)
     assert (first.x, first.w, first.h) == (20, 2 * (sum(map(int, B.bars(*CASES[0])))), 1)
+
+
+@pytest.mark.parametrize("value", ["000000513131", "000000515831", "000000586951"])
+@pytest.mark.parametrize("turns", [0, 1, 2, 3])
+def test_wide_spaces_of_itf_are_no_quiet_zones(value, turns):
+    assert [f[:2] for f in B.read_lines(B.drawn("ITF", value, turns=turns))] == [("ITF", value)]
