@@ -89,3 +89,10 @@ def test_backend_and_codes_of_both_kinds(spark):
 
     assert Q.read_codes(B.drawn("Code128", "line", 2))[0][:2] == ("Code128", "line")
     assert N.decode_barcodes(Q.drawn_codes(rows.filter(F.lit(False))), Q.read_codes).count() == 0
+
+
+@pytest.mark.parametrize("level", "LMQH")
+@pytest.mark.parametrize("text", ["364-0B9E3A71", "7", "316-0b9e3a71-5d1c22f0"])
+def test_damage_ends_at_what_a_short_code_can_mend(text, level):
+    for damage in range(10):
+        assert [f[:2] for f in Q.read_codes(Q.drawn(text, level, damage=damage))] == [("QR", text)]
