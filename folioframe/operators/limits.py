@@ -132,14 +132,39 @@ def profile(records: DataFrame, *keys: str) -> DataFrame:
     return out.select(*keys, "images", "regions", whole("det"), whole("rec"), each("det"), each("rec"))
 
 
+def hour_of(us: Column) -> Column:
+    """The hour of a time in microseconds; no time is before all others, as in their order."""
+    return F.coalesce(us - F.pmod(us, F.lit(HOUR)), F.lit(-(1 << 62)))
+
+
+def _with_sums(rows: DataFrame, sums: DataFrame, key: str) -> DataFrame:
+    """Rows with the figures of their key and slot."""
+    sums = sums.select(F.col(key).alias("__key"), F.col("__slot").alias("__at"), *[c for c in sums.columns if c not in (key, "__slot")])
+    return rows.join(sums, F.col(key).eqNullSafe(F.col("__key")) & F.col("__slot").eqNullSafe(F.col("__at"))).drop("__key", "__at")
+
+
 def gap_counters(requests: DataFrame) -> DataFrame:
-    """The requests with minute and hour counters, all being accepted: how many are in the run without such a gap so far."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(order)
-    rows = requests.withColumns({"__m": F.coalesce((gap >= MINUTE).cast("int"), F.lit(0)), "__h": F.coalesce((gap >= HOUR).cast("int"), F.lit(0))})
-    rows = rows.withColumns({"__m": F.sum("__m").over(order), "__h": F.sum("__h").over(order)})
-    count = lambda c: F.row_number().over(Window.partitionBy("user_id", c).orderBy("ts", "event_id"))
-    return rows.withColumns({"minute": count("__m"), "hour": count("__h")}).drop("__m", "__h")
+    """The requests with minute and hour counters, all being accepted: how many are in the run without such a gap so far.
+
+    A user's requests are counted by hours, and one row an hour carries the runs on from one to the next: no user is one task.
+    """
+    rows = requests.withColumn("__us", F.unix_micros("ts")).withColumn("__slot", hour_of(F.col("__us")))
+    inside = Window.partitionBy("user_id", "__slot").orderBy("ts", "event_id")
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"__n": F.row_number().over(inside), "__gap": F.col("__us") - F.lag("__us").over(inside)})
+    kinds = {"minute": MINUTE, "hour": HOUR}
+    rows = rows.withColumns({f"__{k}": F.max(F.when(F.col("__gap") >= most, F.col("__n"))).over(so_far) for k, most in kinds.items()})  # where the run began, null: before the hour
+    tails = [(F.count("*") - F.max(f"__{k}") + 1).alias(f"tail_{k}") for k in kinds]
+    sums = rows.groupBy("user_id", "__slot").agg(F.count("*").alias("n"), F.min("__us").alias("first"), F.max("__us").alias("last"), *tails)
+    hours = Window.partitionBy("user_id").orderBy("__slot")
+    for k, most in kinds.items():
+        fresh = F.coalesce(F.col("first") - F.lag("last").over(hours) >= most, F.lit(False))
+        sums = sums.withColumn("fresh", fresh).withColumn("run", F.sum((F.col("fresh") | F.col(f"tail_{k}").isNotNull()).cast("int")).over(hours))
+        sums = sums.withColumn("all", F.sum(F.coalesce(f"tail_{k}", "n")).over(Window.partitionBy("user_id", "run").orderBy("__slot")))
+        sums = sums.withColumn(f"__from_{k}", F.when(F.col("fresh"), 0).otherwise(F.coalesce(F.lag("all").over(hours), F.lit(0))))
+    rows = _with_sums(rows, sums.select("user_id", "__slot", *[f"__from_{k}" for k in kinds]), "user_id")
+    count = lambda k: F.coalesce(F.col("__n") - F.col(f"__{k}") + 1, F.col("__n") + F.col(f"__from_{k}")).cast("int")
+    return rows.select(*requests.columns, *[count(k).alias(k) for k in kinds])
 
 
 def daily_quota(requests: DataFrame) -> DataFrame:
