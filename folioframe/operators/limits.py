@@ -180,10 +180,28 @@ def cumulative_histogram(rows: DataFrame, key: str, value: str, bounds: tuple[fl
     return counts.select(key, F.explode(F.array(*cells)).alias("c")).select(key, "c.le", "c.n")
 
 
-def moving_memory(samples: DataFrame, last: int = 60) -> DataFrame:
-    """Samples (host, ts, bytes) with the mean of the last ones and the peak so far."""
-    order = Window.partitionBy("host").orderBy("ts")
-    return samples.withColumns({"mean": F.avg("bytes").over(order.rowsBetween(-(last - 1), 0)), "peak": F.max("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0))})
+def moving_memory(samples: DataFrame, last: int = 60, slot: Column | None = None, piece: int = 4096) -> DataFrame:
+    """Samples (host, ts, bytes) with the mean of the last ones and the peak so far.
+
+    With ``slot``, a column that never falls as ts grows (its hour), a host with many samples is not one task: peaks and
+    numbers are carried on from slot to slot, means taken in pieces of so many samples and the few before them.
+    """
+    if slot is None:
+        order = Window.partitionBy("host").orderBy("ts")
+        return samples.withColumns({"mean": F.avg("bytes").over(order.rowsBetween(-(last - 1), 0)), "peak": F.max("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    piece = max(piece, last)
+    inside = Window.partitionBy("host", "__slot").orderBy("ts")
+    rows = samples.withColumn("__slot", slot)
+    rows = rows.withColumns({"__n": F.row_number().over(inside), "peak": F.max("bytes").over(inside.rowsBetween(Window.unboundedPreceding, 0))})
+    before = Window.partitionBy("host").orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("host", "__slot").agg(F.count("*").alias("n"), F.max("bytes").alias("most"))
+    sums = sums.select("host", "__slot", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"), F.max("most").over(before).alias("__most"))
+    rows = _with_sums(rows, sums, "host").withColumns({"__n": F.col("__before") + F.col("__n") - 1, "peak": F.greatest("peak", "__most")})
+    own = F.floor(F.col("__n") / piece)
+    rows = rows.withColumn("__piece", F.explode(F.when(F.col("__n") % piece > piece - last, F.array(own, own + 1)).otherwise(F.array(own))))
+    near = Window.partitionBy("host", "__piece").orderBy("__n").rowsBetween(-(last - 1), 0)
+    rows = rows.withColumn("mean", F.avg("bytes").over(near)).filter(F.col("__piece") == own)
+    return rows.select(*samples.columns, "mean", "peak")
 
 
 def batch_summary(results: DataFrame, seconds: Column | float | None = None) -> DataFrame:
