@@ -1,17 +1,21 @@
 """Long texts, large maps and combined options."""
 
+import random
 import time
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioframe.config import AdaptiveThresholds, Detector
 from folioframe.functions import text as T
 from folioframe.operators import contours as N
+from folioframe.operators import limits as L
 from folioframe.operators import pages as P
 from folioframe.plans import reading as R
+from folioframe.plans.catalogue import QUERIES
 
 
 def share(a, b):
@@ -87,3 +91,35 @@ def test_adaptive_thresholds_with_adaptive_confidence(spark):
     assert sorted(found) == sorted(low.select("image_id", "region_id").collect()) == sorted(high.select("image_id", "region_id").collect())
     fixed = R.regions(maps, 40, 40, Detector(thresholds=on, nms=False)).select("image_id", "region_id").collect()
     assert set(fixed) <= set(found)
+
+
+def test_counters_and_memory_of_a_hot_user_by_hours(spark):
+    rng = random.Random(4)
+    rows, at = [], 1_704_067_200
+    for i in range(3000):
+        at += rng.choice([0, 1, 20, 59, 60, 61]) if i % 40 else rng.choice([1, 3599, 3600, 3601, 9000])
+        rows.append((i, None if i % 50 == 7 else 1 if i % 9 else 2, None if i in (5, 6, 2000) else at, None if i % 97 == 0 else rng.randrange(10**6)))
+    df = spark.createDataFrame(rows, "event_id long, user_id long, at long, bytes long").withColumn("ts", F.timestamp_seconds("at")).repartition(5)
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    plain = df.withColumn("gap", F.col("at") - F.lag("at").over(order))
+    for k, most in (("minute", 60), ("hour", 3600)):
+        plain = plain.withColumn("run", F.sum(F.coalesce((F.col("gap") >= most).cast("int"), F.lit(0))).over(order)).withColumn(k, F.row_number().over(Window.partitionBy("user_id", "run").orderBy("ts", "event_id")))
+    found = L.gap_counters(df)
+    assert found.columns == [*df.columns, "minute", "hour"] and found.count() == 3000
+    assert sorted(found.select("event_id", "minute", "hour").collect()) == sorted(plain.select("event_id", "minute", "hour").collect())
+
+    samples = df.select(F.col("user_id").alias("host"), F.struct("ts", "event_id").alias("ts"), "bytes", "event_id")
+    for last, piece in ((60, 64), (60, 4096), (7, 1), (1, 10)):
+        whole = L.moving_memory(samples, last).collect()
+        pieces = L.moving_memory(samples, last, L.hour_of(F.unix_micros("ts.ts")), piece)
+        assert sorted(pieces.select("event_id", "mean", "peak").collect(), key=lambda r: r[0]) == sorted([(r.event_id, r.mean, r.peak) for r in whole])
+
+
+def test_requests_run_under_shared_accounts(spark):
+    """Under five accounts runs are long, so limits and windows are reached; over the users themselves nearly every counter is 1."""
+    d = "/root/testdata/sf0.001"
+    events = spark.read.parquet(f"{d}/events.parquet").count()
+    replay = QUERIES["rate_limit_replay"](spark, d).collect()
+    assert len(replay) == events and {r.user_id for r in replay} == set(range(5))
+    counters = QUERIES["gap_session_counters"](spark, d).collect()
+    assert len(counters) == events and max(r.hour for r in counters) > 10
