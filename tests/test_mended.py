@@ -117,7 +117,7 @@ def test_counters_and_memory_of_a_hot_user_by_hours(spark):
 
 def test_requests_run_under_shared_accounts(spark):
     """Under five accounts runs are long, so limits and windows are reached; over the users themselves nearly every counter is 1."""
-    d = "/root/testdata/sf0.001"
+    d = "/root/testdata/sf0.01"
     events = spark.read.parquet(f"{d}/events.parquet").count()
     replay = QUERIES["rate_limit_replay"](spark, d).collect()
     assert len(replay) == events and {r.user_id for r in replay} == set(range(5))
