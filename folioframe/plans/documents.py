@@ -127,6 +127,10 @@ def processed(
     analysis, own = decided.select(*KEY, "strategy"), pages.select(*KEY, "text", "page_w", "page_h")
     wanted = analysis.filter(F.col("strategy").isin("ocr", "hybrid")).select(*KEY)
     taken = images.join(wanted, list(KEY), "left_semi").filter(~I.too_small(F.col("width"), F.col("height"), o.images)).withColumn("image_id", F.xxhash64(*image_key))
+    # Pixels pack well, so by their bytes many images would be one task: they are dealt by number.
+    session = pages.sparkSession
+    tasks = max(3 * session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    taken = taken.repartition(tasks, "image_id")
     names = taken.select("image_id", *image_key, "width", "height")
     pixels = C.upright(taken, o.orientation, classify)
     place = names

@@ -14,6 +14,7 @@ from folioframe.functions import text as T
 from folioframe.operators import contours as N
 from folioframe.operators import limits as L
 from folioframe.operators import pages as P
+from folioframe.plans import catalogue
 from folioframe.plans import reading as R
 from folioframe.plans.catalogue import QUERIES
 
@@ -123,3 +124,10 @@ def test_requests_run_under_shared_accounts(spark):
     assert len(replay) == events and {r.user_id for r in replay} == set(range(5))
     counters = QUERIES["gap_session_counters"](spark, d).collect()
     assert len(counters) == events and max(r.hour for r in counters) > 10
+
+
+def test_images_of_pages_are_dealt_to_many_tasks(spark, data, monkeypatch):
+    seen, own = [], catalogue.X.dark_maps
+    monkeypatch.setattr(catalogue.X, "dark_maps", lambda images: seen.append(images) or own(images))
+    QUERIES["page_reading"](spark, data)
+    assert len(seen[0].groupBy(F.spark_partition_id().alias("task")).count().collect()) > 3
