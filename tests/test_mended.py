@@ -131,3 +131,12 @@ def test_images_of_pages_are_dealt_to_many_tasks(spark, data, monkeypatch):
     monkeypatch.setattr(catalogue.X, "dark_maps", lambda images: seen.append(images) or own(images))
     QUERIES["page_reading"](spark, data)
     assert len(seen[0].groupBy(F.spark_partition_id().alias("task")).count().collect()) > 3
+
+
+def test_replay_judges_all_users_beside_the_shared_accounts(spark):
+    d = "/root/testdata/sf0.01"
+    got = QUERIES["rate_limit_replay"](spark, d).collect()
+    own = L.replay(catalogue.X.requests(spark, d), catalogue.LIMITS).select("event_id", "user_id", "verdict", "wait_us").collect()
+    assert sorted((r.event_id, r.own_id, r.own_verdict, r.own_wait_us) for r in got) == sorted(map(tuple, own))
+    shared = L.replay(catalogue.X.requests(spark, d).withColumn("user_id", F.col("user_id") % 5), catalogue.SHARED_LIMITS).select("event_id", "user_id", "verdict", "wait_us").collect()
+    assert sorted(tuple(r)[:4] for r in got) == sorted(map(tuple, shared)) and len({r.own_id for r in got}) > 100
