@@ -140,3 +140,10 @@ def test_replay_judges_all_users_beside_the_shared_accounts(spark):
     assert sorted((r.event_id, r.own_id, r.own_verdict, r.own_wait_us) for r in got) == sorted(map(tuple, own))
     shared = L.replay(catalogue.X.requests(spark, d).withColumn("user_id", F.col("user_id") % 5), catalogue.SHARED_LIMITS).select("event_id", "user_id", "verdict", "wait_us").collect()
     assert sorted(tuple(r)[:4] for r in got) == sorted(map(tuple, shared)) and len({r.own_id for r in got}) > 100
+
+
+def test_counters_of_all_users_beside_the_shared_accounts(spark):
+    d = "/root/testdata/sf0.01"
+    got = QUERIES["gap_session_counters"](spark, d).collect()
+    own = L.gap_counters(catalogue.X.requests(spark, d)).select("event_id", "user_id", "minute", "hour").collect()
+    assert sorted((r.event_id, r.own_id, r.own_minute, r.own_hour) for r in got) == sorted(map(tuple, own)) and len({r.own_id for r in got}) > 100
