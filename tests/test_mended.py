@@ -147,3 +147,11 @@ def test_counters_of_all_users_beside_the_shared_accounts(spark):
     got = QUERIES["gap_session_counters"](spark, d).collect()
     own = L.gap_counters(catalogue.X.requests(spark, d)).select("event_id", "user_id", "minute", "hour").collect()
     assert sorted((r.event_id, r.own_id, r.own_minute, r.own_hour) for r in got) == sorted(map(tuple, own)) and len({r.own_id for r in got}) > 100
+
+
+def test_memory_of_all_users_beside_the_shared_accounts(spark):
+    d = "/root/testdata/sf0.01"
+    got = QUERIES["memory_average"](spark, d).collect()
+    samples = catalogue.X.requests(spark, d).select(F.col("user_id").alias("host"), F.struct("ts", "event_id").alias("ts"), F.col("data_size").alias("bytes"), "event_id")
+    own = {r.event_id: (r.host, round(r.mean, 6), r.peak) for r in L.moving_memory(samples).collect()}
+    assert {r.event_id: (r.own_id, r.own_mean, r.own_peak) for r in got} == own and len({r.own_id for r in got}) > 100
