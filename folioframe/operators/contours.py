@@ -27,7 +27,8 @@ def trace(mask: np.ndarray) -> list[tuple[int, int]]:
     if not len(cells):
         return []
     first = (int(cells[0][1]), int(cells[0][0]))
-    inside = lambda x, y: 0 <= y < mask.shape[0] and 0 <= x < mask.shape[1] and bool(mask[y, x])
+    rows = np.pad(mask, 1).tolist()
+    inside = lambda x, y: bool(rows[y + 1][x + 1])
     at, back, out, begun = first, 0, [first], None
     while True:
         for turn in range(1, 9):

@@ -94,12 +94,27 @@ def line_sizes(w: int, h: int, cfg: Recognizer) -> tuple[int, int]:
     return wide, -(-wide // multiple) * multiple
 
 
-def tensors(images: DataFrame, regions: DataFrame, cfg: Recognizer | None = None, turn: bool = True, straight: bool = False) -> DataFrame:
+SCORES = "image_id long, region_id long, steps array<array<double>>"
+_SCORES = {"image_id": pa.int64(), "region_id": pa.int64(), "steps": pa.list_(pa.list_(pa.float64()))}
+
+
+def recognised(images: DataFrame, regions: DataFrame, recognise: Callable[[DataFrame], DataFrame], cfg: Recognizer | None = None) -> DataFrame:
+    """The scores (see ``SCORES``) that ``recognise`` gives for the :func:`tensors` of regions.
+
+    If it has a function ``batch``, which does the same for one batch of tensors, this runs in the tasks that make them:
+    a tensor is a hundred times its pixels, and leaves no task then.
+    """
+    batch = getattr(recognise, "batch", None)
+    return recognise(tensors(images, regions, cfg)) if batch is None else tensors(images, regions, cfg, then=batch)
+
+
+def tensors(images: DataFrame, regions: DataFrame, cfg: Recognizer | None = None, turn: bool = True, straight: bool = False, then: Callable[[pd.DataFrame], pd.DataFrame] | None = None) -> DataFrame:
     """A tensor [1, 3, height, width] of each region (image_id, region_id, box, polygon if there is one), see ``TENSOR``.
 
     Crops much higher than wide are turned counter-clockwise if ``turn`` is set;
     all are brought to the fixed height and filled with black to the width of
     the widest of their image. Regions without a pixel in the image, and those of other images, give none.
+    With ``then`` each batch of tensors becomes scores in its task, and these are returned.
     """
     cfg = cfg or Recognizer()
     has = "polygon" in regions.columns
@@ -111,10 +126,13 @@ def tensors(images: DataFrame, regions: DataFrame, cfg: Recognizer | None = None
     def crops(a: np.ndarray, region: dict) -> np.ndarray:
         polygon = None if region["polygon"] is None else np.array([(p["x"], p["y"]) for p in region["polygon"]], float).reshape(-1, 2)
         patch = _patch(a, tuple(region[c] for c in B.BOX), polygon, straight)
-        return np.repeat(patch, 3, axis=2) if patch.shape[2] < 3 else patch[..., :3]
+        return patch[..., : 3 if patch.shape[2] >= 3 else 1]
 
     def batch(out: list[tuple]) -> pa.RecordBatch:
         names = [c.split()[0] for c in TENSOR.split(", ")]
+        if then is not None:
+            scores = then(pd.DataFrame(out, columns=names))
+            return pa.record_batch([pa.array(scores[c], k) for c, k in _SCORES.items()], names=list(_SCORES))
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.list_(pa.int32())]
         columns = [pa.array(v, k) for v, k in zip(list(zip(*out, strict=True))[:-1], kinds, strict=True)]
         data = [r[-1] for r in out]
@@ -138,6 +156,7 @@ def tensors(images: DataFrame, regions: DataFrame, cfg: Recognizer | None = None
                         continue
                     patch = crops(a, region)
                     line = I.filled(I.resized(np.rot90(patch) if turned else patch, wide, cfg.height), widest)
+                    line = np.repeat(line, 3, axis=2) if line.shape[2] == 1 else line
                     flat = I.tensor(line).astype(np.float32).reshape(-1)
                     out.append((image_id, region["region_id"], w, h, turned, wide, [1, 3, cfg.height, widest], flat))
                     size += flat.nbytes
@@ -147,4 +166,4 @@ def tensors(images: DataFrame, regions: DataFrame, cfg: Recognizer | None = None
         if out:
             yield batch(out)
 
-    return rows.mapInArrow(run, TENSOR)
+    return rows.mapInArrow(run, TENSOR if then is None else SCORES)

@@ -88,9 +88,9 @@ def hull_points(p: np.ndarray) -> np.ndarray:
     if len(p) < 3:
         return p
 
-    def half(points: np.ndarray) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
-        for c in points:
+    def half(points: np.ndarray) -> list[list[float]]:
+        out: list[list[float]] = []
+        for c in points.tolist():
             while len(out) > 1 and (out[-1][0] - out[-2][0]) * (c[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (c[0] - out[-2][0]) <= 0:
                 out.pop()
             out.append(c)

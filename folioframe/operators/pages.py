@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +15,8 @@ from ..config import Hybrid, PageAnalyzer
 from ..functions import let
 from ..functions import text as T
 
+_SPACE = re.compile(r"[\x09-\x0D ]+")
+
 
 def strategy(quality: Column, coverage: Column, has_text: Column, images: Column, cfg: PageAnalyzer | None = None) -> Column:
     """(strategy, confidence) of a page: vector, ocr, hybrid or skip.
@@ -137,13 +142,54 @@ def merge_smart(elements: DataFrame, scores: DataFrame, cfg: Hybrid | None = Non
     return base.join(extra, "page_id", "left").select("page_id", text.alias("combined"))
 
 
+def kept_lines(lines: list[str], similarity: float) -> list[int]:
+    """The places of lower-case lines that :func:`text.similarity` puts above ``similarity`` to no line kept before.
+
+    Such a kept line of n words lacks at most (n - similarity * words of the other) / (1 + similarity) of them there. So the
+    first of its words, rarest first, that is there has no more before it, and only kept lines found by such a word are compared.
+    """
+    cut = [[w for w in _SPACE.split(line) if w] for line in lines]
+    often = Counter(w for words in cut for w in words)
+    order = {w: i for i, w in enumerate(sorted(often, key=often.__getitem__))}
+    kept, seen, by_word = [], {}, {}
+
+    def near(words: set[str], n: int) -> set[int]:
+        least = (similarity * n - 1e-6,)
+        lists = filter(None, map(by_word.get, words))
+        return {place for found in lists for _, place in found[bisect_left(found, least) :]}
+
+    for place, words in enumerate(cut):
+        key, own, n = tuple(words), set(words), len(words)
+        known = key in seen and (similarity < 1 or not seen[key])
+        for k in () if known else near(own, n):
+            common = sum(w in own for w in cut[k])
+            if common / (n + len(cut[k]) - common) > similarity:
+                known = True
+                break
+        seen.setdefault(key, not known)
+        if not known:
+            kept.append(place)
+            last = None
+            for before, w in enumerate(sorted(words, key=order.__getitem__)):
+                room = n - before * (1 + similarity)
+                if room < similarity - 1e-6:
+                    break
+                if w != last and often[w] > 1:  # words that occur once are in no other line
+                    insort(by_word.setdefault(w, []), (room, place))
+                last = w
+    return kept
+
+
 def distinct_lines(rows: DataFrame, column: str = "text", similarity: float = 0.8) -> DataFrame:
     """The texts with their lines trimmed and without empty ones and those too similar to a line kept before."""
+
+    @F.pandas_udf("array<int>")
+    def places(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda lines: None if lines is None else kept_lines(list(lines), similarity))
+
     lines = F.filter(F.transform(F.split(column, "\n"), lambda x: F.regexp_replace(x, f"^{T.EDGES}|{T.EDGES}$", "")), lambda x: x != "")
-    items = F.transform(lines, lambda x: F.struct(x.alias("line"), T.words(x).alias("words")))  # each line is cut into words once
-    known = lambda a, x: F.exists(a, lambda k: T.similarity_of_words(x["words"], k["words"]) > similarity)
-    kept = let(items, lambda all_: F.aggregate(all_, F.slice(all_, 1, 0), lambda a, x: F.when(known(a, x), a).otherwise(F.array_append(a, x))))
-    return rows.withColumn(column, F.array_join(kept["line"], "\n"))
+    kept = rows.withColumn("__lines", lines).withColumn("__kept", places(F.transform("__lines", lambda x: F.lower(x))))
+    return kept.withColumn(column, F.array_join(F.transform("__kept", lambda i: F.get("__lines", i)), "\n")).drop("__lines", "__kept")
 
 
 def merge_quality(elements: DataFrame, merged: DataFrame, scores: DataFrame) -> DataFrame:

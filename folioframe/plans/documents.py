@@ -118,8 +118,8 @@ def processed(
     size. Regions become tensors of the pixels, for which ``recognise`` gives
     scores (image_id, region_id, steps). Boxes go back to the image as it came,
     unless it was seen straight. A page's text is its own (vector), what was read
-    in reading order (ocr), or both merged (hybrid). Pixels are read anew for statistics, polygons and crops, which is less than a shuffle of them.
-    Where ``spark.checkpoint.dir`` is set, decisions, boxes and regions, which hold no pixels, are written there as the plan is made; else all is lazy.
+    in reading order (ocr), or both merged (hybrid). Pixels are read anew for maps, sizes and crops, which is less than a shuffle of them.
+    Where ``spark.checkpoint.dir`` is set, decisions, maps, boxes and regions, which hold no pixels, are written there as the plan is made; else all is lazy.
     """
     o, image_key = options, [*KEY, "image_index"]
     decided = pages.withColumn("strategy", P.strategy(F.col("quality"), F.col("coverage"), F.col("has_text"), F.col("image_count"), o.pages)["strategy"])
@@ -143,14 +143,14 @@ def processed(
         seen = pixels.select("image_id", F.col("width").alias("rw"), F.col("height").alias("rh"), "rectified")
         place = place.join(seen, "image_id").withColumns({"width": F.when(F.col("rectified"), F.col("rw")).otherwise(F.col("width")), "height": F.when(F.col("rectified"), F.col("rh")).otherwise(F.col("height")), "angle": F.when(F.col("rectified"), 0).otherwise(F.col("angle"))}).drop("rw", "rh", "rectified")
     most = replace(o.images, max_width=min(o.images.max_width, o.detector.max_side), max_height=min(o.images.max_height, o.detector.max_side))
-    boxes = _cut(R.regions(detect(I.resize(pixels, most)), map_w, map_h, o.detector))
+    boxes = _cut(R.regions(_cut(detect(I.resize(pixels, most)).select("image_id", "p")), map_w, map_h, o.detector))
     place = _cut(place)
     sideways = F.col("angle").isin(90, 270)
     now_w, now_h = F.when(sideways, F.col("height")).otherwise(F.col("width")), F.when(sideways, F.col("width")).otherwise(F.col("height"))
     boxes = boxes.join(place, "image_id")
     sx, sy = now_w / map_w, now_h / map_h
     boxes = B.rescale(boxes, sx, sy).withColumn("polygon", G.scale_points(F.col("polygon"), sx, sy))
-    read = R.texts(recognise(C.tensors(pixels, boxes, o.recognizer)), dictionary, o.recognizer, o.text)
+    read = R.texts(C.recognised(pixels, boxes, recognise, o.recognizer), dictionary, o.recognizer, o.text)
     boxes = B.unrotate(B.top_left_order(boxes), F.col("angle"), F.col("width"), F.col("height"))
     regions = boxes.join(read, ["image_id", "region_id"], "left")
     regions = regions.select(

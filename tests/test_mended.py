@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from folioframe.config import AdaptiveThresholds, Detector
 from folioframe.functions import text as T
 from folioframe.operators import contours as N
+from folioframe.operators import crops
 from folioframe.operators import limits as L
 from folioframe.operators import pages as P
 from folioframe.plans import catalogue
@@ -155,3 +156,37 @@ def test_memory_of_all_users_beside_the_shared_accounts(spark):
     samples = catalogue.X.requests(spark, d).select(F.col("user_id").alias("host"), F.struct("ts", "event_id").alias("ts"), F.col("data_size").alias("bytes"), "event_id")
     own = {r.event_id: (r.host, round(r.mean, 6), r.peak) for r in L.moving_memory(samples).collect()}
     assert {r.event_id: (r.own_id, r.own_mean, r.own_peak) for r in got} == own and len({r.own_id for r in got}) > 100
+
+
+def test_lines_of_long_pages_are_compared_by_shared_rare_words(spark):
+    rng = random.Random(6)
+    for trial in range(400):
+        vocabulary = rng.choice([3, 6, 30])
+        lines = [[f"w{rng.randrange(vocabulary)}" for _ in range(rng.randint(1, 9))] for _ in range(rng.randint(0, 12))]
+        lines += [[w for w in rng.choice(lines) if rng.random() < 0.9] or ["w0"] for _ in range(len(lines))]
+        least = rng.choice([0.0, 0.5, 0.8, 1.0])
+        plain = []
+        for i, x in enumerate(lines):
+            common = {k: sum(w in x for w in lines[k]) for k in plain}
+            if not any(c / (len(x) + len(lines[k]) - c) > least for k, c in common.items()):
+                plain.append(i)
+        assert P.kept_lines([" ".join(x) for x in lines], least) == plain, trial
+    words = [f"w{i}" for i in range(2000)]
+    text = "\n".join(" ".join(rng.choices(words, [1 / (i + 1) for i in range(2000)], k=40)) for _ in range(1000))
+    rows = spark.createDataFrame([(1, text), (2, None), (3, "Same  Line\n \nsame line\nother")], "id int, text string")
+    begun = time.monotonic()
+    got = {r.id: r.text for r in P.distinct_lines(rows).collect()}
+    assert time.monotonic() - begun < 20 and got == {1: text, 2: None, 3: "Same  Line\nother"}
+
+
+def test_tensors_are_recognised_where_they_are_made(spark):
+    images = spark.createDataFrame([(i, 40, 24, c, bytes([i * 60] * 960 * c)) for i, c in enumerate((1, 2, 3, 4))], "image_id long, width int, height int, channels int, data binary")
+    regions = spark.createDataFrame([(i, k, 4.0 * k, 2.0, 20.0 + k, 20.0) for i in range(4) for k in range(3)], "image_id long, region_id long, min_x double, min_y double, max_x double, max_y double")
+    apart = catalogue.X.shade_scores(crops.tensors(images, regions)).collect()
+
+    def never(tensors):
+        raise AssertionError("tensors left their task")
+
+    never.batch = catalogue.X.shade_scores.batch
+    together = crops.recognised(images, regions, never)
+    assert sorted(map(str, together.collect())) == sorted(map(str, apart)) and len(apart) == 12
