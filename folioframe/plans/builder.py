@@ -126,11 +126,11 @@ class Reader:
         o = self.options
         return reading.results(maps, width, height, recognise, dictionary, o.detector, o.recognizer, o.text, maps_at)
 
-    def run_pages(self, pages: DataFrame, images: DataFrame, detect: Callable[[DataFrame], DataFrame], recognise: Callable[[DataFrame], DataFrame], dictionary: DataFrame, map_w: int, map_h: int, **models: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    def run_pages(self, pages: DataFrame, images: DataFrame, detect: Callable[[DataFrame], DataFrame], recognise: Callable[[DataFrame], DataFrame], dictionary: DataFrame, map_w: int, map_h: int, texts: DataFrame | None = None, **models: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """The results of :func:`documents.processed` under these options; ``models`` may be ``classify`` and ``masks``."""
         if wrong := self.options.problems():
             raise ValueError("; ".join(wrong))
-        return documents.processed(pages, images, detect, recognise, dictionary, map_w, map_h, self.options, **models)
+        return documents.processed(pages, images, detect, recognise, dictionary, map_w, map_h, self.options, texts=texts, **models)
 
     def admitted(self, requests: DataFrame) -> DataFrame:
         """The requests that the limits let pass, with all their columns."""

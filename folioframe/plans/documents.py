@@ -106,6 +106,7 @@ def processed(
     options: Any,
     classify: Callable[[DataFrame], DataFrame] | None = None,
     masks: Callable[[DataFrame], DataFrame] | None = None,
+    texts: DataFrame | None = None,
 ) -> DataFrame:
     """Page results (see :func:`page_results`) with ``read``, the page's text, from pages and their images' pixels in one lazy plan.
 
@@ -119,14 +120,15 @@ def processed(
     scores (image_id, region_id, steps). Boxes go back to the image as it came,
     unless it was seen straight. A page's text is its own (vector), what was read
     in reading order (ocr), or both merged (hybrid). Pixels are read anew for maps, sizes and crops, which is less than a shuffle of them.
+    ``texts`` may be the pages' (file, page, text, page_w, page_h) once more from where they lie, if ``pages`` have been dealt out to be judged.
     Where ``spark.checkpoint.dir`` is set, decisions, maps, boxes and regions, which hold no pixels, are written there as the plan is made; else all is lazy.
     """
     o, image_key = options, [*KEY, "image_index"]
     decided = pages.withColumn("strategy", P.strategy(F.col("quality"), F.col("coverage"), F.col("has_text"), F.col("image_count"), o.pages)["strategy"])
     decided = _cut(decided.select(*KEY, "strategy", "quality"))
-    analysis, own = decided.select(*KEY, "strategy"), pages.select(*KEY, "text", "page_w", "page_h")
+    analysis, own = decided.select(*KEY, "strategy"), (pages if texts is None else texts).select(*KEY, "text", "page_w", "page_h")
     wanted = analysis.filter(F.col("strategy").isin("ocr", "hybrid")).select(*KEY)
-    taken = images.join(wanted, list(KEY), "left_semi").filter(~I.too_small(F.col("width"), F.col("height"), o.images)).withColumn("image_id", F.xxhash64(*image_key))
+    taken = images.filter(~I.too_small(F.col("width"), F.col("height"), o.images)).join(wanted, list(KEY), "left_semi").withColumn("image_id", F.xxhash64(*image_key))
     # Pixels pack well, so by their bytes many images would be one task: they are dealt by number.
     session = pages.sparkSession
     tasks = max(3 * session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
@@ -163,6 +165,7 @@ def processed(
     rows = elements(own.join(both, list(KEY), "left_semi"), sizes.join(both, list(KEY), "left_semi"), regions.join(both, list(KEY), "left_semi"))
     merged = merged_text(rows, decided.select(F.xxhash64(*KEY).alias("page_id"), F.col("quality").alias("score")), o.hybrid)
     lines = regions.filter("text <> ''").groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("image_index", "ord", "text"))).alias("lines"))
-    texts = results.withColumn("page_id", F.xxhash64(*KEY)).join(merged.select("page_id", "combined"), "page_id", "left").join(lines, list(KEY), "left")
+    # Lines meet the results first, by the key that these are dealt by, so that texts go to another place only once.
+    found = results.join(lines, list(KEY), "left").withColumn("page_id", F.xxhash64(*KEY)).join(merged.select("page_id", "combined"), "page_id", "left")
     text = F.when(F.col("strategy") == "vector", F.col("own_text")).when(F.col("strategy") == "hybrid", F.col("combined")).otherwise(F.array_join("lines.text", "\n"))
-    return texts.select(*results.columns, F.coalesce(text, F.lit("")).alias("read"))
+    return found.select(*results.columns, F.coalesce(text, F.lit("")).alias("read"))
